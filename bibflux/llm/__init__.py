@@ -1 +1 @@
-
+"""Operators for cleaning and linking large text collections before training."""
