@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibflux.functions.blank import SPACE, is_blank, strip
+from bibflux.functions.let import let
 
 #: Stand for a separator outside quotes while the pieces are being put together.
 _HARD, _COMMA = "\x01", "\x02"
@@ -35,26 +36,28 @@ def packed_values(field: Column, names: bool = False) -> Column:
     an ordinary character. Blank and null fields give an empty array.
     """
     text = F.regexp_replace(field, rf'(?s)^{SPACE}*\[{SPACE}*(".*"){SPACE}*\]{SPACE}*$', "$1")
-    pieces = F.split(text, '"')
-    last_is_open = F.size(pieces) % 2 == 0
     hard = f"{NAME_JOINERS}|{HARD}" if names else HARD
 
-    def piece(p: Column, i: Column) -> Column:
-        inside = (i % 2 == 1) & ~(last_is_open & (i == F.size(pieces) - 1))
-        outside = F.translate(F.regexp_replace(p, hard, _HARD), ",，", _COMMA * 2)
-        return F.when(inside, p).otherwise(outside)
+    def assembled(pieces: Column) -> Column:
+        # the index from which on a piece is outside quotes, wherever it stands: a quote without partner is no quote
+        unpaired = F.size(pieces) - (F.size(pieces) % 2 == 0).cast("int")
 
-    joined = F.array_join(F.transform(pieces, piece), '"')
+        def piece(p: Column, i: Column) -> Column:
+            outside = F.translate(F.regexp_replace(p, hard, _HARD), ",，", _COMMA * 2)
+            return F.when((i % 2 == 1) & (i < unpaired), p).otherwise(outside)
+
+        return F.array_join(F.transform(pieces, piece), '"')
+
+    joined = let(F.split(text, '"'), assembled)
     if names:
         joined = F.regexp_replace(joined, rf"(^|[\x01\x02])({_SURNAME})\x02({SPACE}*[^\s\x01\x02])", "$1$2,$3")
     else:
-        joined = F.when(F.contains(joined, F.lit(_HARD)), F.translate(joined, _COMMA, ",")).otherwise(joined)
+        joined = let(joined, lambda j: F.when(F.contains(j, F.lit(_HARD)), F.translate(j, _COMMA, ",")).otherwise(j))
     quoted = r'(?s)^"(?:[^"]|"")*"$'
 
     def value(v: Column) -> Column:
-        v = strip(v)
-        inner = F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), '""', '"')
-        return F.when(v.rlike(quoted), strip(inner)).otherwise(v)
+        inner = lambda x: strip(F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), '""', '"'))
+        return let(strip(v), lambda x: F.when(x.rlike(quoted), inner(x)).otherwise(x))
 
     values = F.filter(F.transform(F.split(joined, r"[\x01\x02]"), value), lambda v: v != "")
     return F.when(is_blank(field), F.array().cast("array<string>")).otherwise(values)
