@@ -11,6 +11,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bibflux.functions.let import let
+
 
 def _decompositions() -> tuple[str, str, list[tuple[str, str]]]:
     single_from, single_to, longer = [], [], []
@@ -31,12 +33,16 @@ _FROM, _TO, _LONGER = _decompositions()
 
 
 def fold_accents(c: Column) -> Column:
-    """Latin letters without accents (compatibility forms too); combining marks vanish, all else stays."""
-    c = F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), _FROM, _TO)
-    for ch, plain in _LONGER:
-        if ch in "ﬀﬁﬂﬃﬄ":
-            c = F.regexp_replace(c, ch, plain)
-    return c
+    """Latin letters without accents (compatibility forms too); combining marks vanish, all else stays. ASCII texts are only looked at."""
+
+    def fold(x: Column) -> Column:
+        out = F.translate(F.regexp_replace(x, r"\p{Mn}+", ""), _FROM, _TO)
+        for ch, plain in _LONGER:
+            if ch in "ﬀﬁﬂﬃﬄ":
+                out = F.replace(out, F.lit(ch), F.lit(plain))
+        return F.when(F.octet_length(x) == F.length(x), x).otherwise(out)
+
+    return let(c, fold)
 
 
 def fold_ascii(c: Column) -> Column:
