@@ -8,19 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibflux.functions.blank import clean, is_blank
+from bibflux.functions.fold import fold_accents
 from bibflux.llm.canonical import canonical_udf, map_places
 from bibflux.llm.concepts import bounded_list, found_terms
 from bibflux.llm.cooccur import pair_associations
 from bibflux.llm.countries import country_names
 from bibflux.llm.distinctive import term_scores
 from bibflux.llm.leakage import find_leaks
-from bibflux.llm.linkage import link_between, link_within, opening, profile, text_opening
+from bibflux.llm.linkage import link_between, link_within, profile, text_opening
 from bibflux.llm.packing import pack_documents
 from bibflux.llm.residue import find_residue
 from bibflux.llm.survivors import survivors
 from bibflux.llm.variants import person_variants, venue_variants
 from bibflux.operators.components import connected_components
 from bibflux.operators.packed import explode_packed, packed_values
+from bibflux.queries import sql_blank, sql_packed
 from bibflux.session import cut_lineage, table
 
 #: Rows a country list may have to be sent to every task.
@@ -42,21 +44,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     unified = table(spark, sf_dir, "unified")
     people = person_variants(explode_packed(unified, "record_id", {"authors": True}).select(F.col("value").alias("name")))
-    seen = unified.filter(~is_blank(F.col("source"))).select(F.col("source").alias("name"), F.nullif(clean(F.col("issn")), F.lit("")).alias("mark")).distinct()
+    seen = cut_lineage(unified.filter(~is_blank(F.col("source"))).select(F.col("source").alias("name"), F.nullif(clean(F.col("issn")), F.lit("")).alias("mark")).distinct())
     venues = venue_variants(seen.select("name"), seen)
     cols = ("field", "name_a", "name_b")
     return people.withColumn("field", F.lit("authors")).select(*cols).unionByName(venues.withColumn("field", F.lit("source")).select(*cols))
 
 
 def unified_profile(unified: DataFrame) -> DataFrame:
-    return profile(unified, "record_id", F.col("title"), packed_values(F.col("authors"), names=True), F.col("year"), F.col("doi"), F.col("source"), text_opening(F.col("abstract")))
+    return profile(unified, "record_id", F.col("title"), packed_values(F.lower(fold_accents(F.col("authors"))), names=True), F.col("year"), F.col("doi"), F.col("source"), text_opening(F.col("abstract")))
 
 
 def works_profile(works: DataFrame) -> DataFrame:
-    places = F.flatten(F.transform(F.map_entries("abstract_inverted_index"), lambda e: F.transform(F.filter(e["value"], lambda p: p < 40), lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    early = lambda e: F.transform(F.filter(e["value"], lambda p: p < 40), lambda p: F.struct(p.alias("p"), e["key"].alias("w")))
+    places = F.flatten(F.transform(F.map_entries("abstract_inverted_index"), early))
     start = F.array_join(F.transform(F.array_sort(places), lambda s: s["w"]), " ")
-    names = F.transform("authorships", lambda a: a["author"]["display_name"])
-    return profile(works, "work_id", F.col("title"), F.filter(names, lambda n: n.isNotNull()), F.col("publication_year"), F.col("doi"), F.col("primary_location.source.display_name"), text_opening(start))
+    names = F.filter(F.transform("authorships", lambda a: a["author"]["display_name"]), lambda n: n.isNotNull())
+    folded = F.transform(names, lambda n: F.lower(fold_accents(n)))
+    return profile(works, "work_id", F.col("title"), folded, F.col("publication_year"), F.col("doi"), F.col("primary_location.source.display_name"), text_opening(start))
 
 
 def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,4 +146,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p3_found, p4_found, p4_matches, p5_found, p6_found, p7_found, p7_associations, p8_pack, p9_found, p10_found, p10_residue)
 }
 
-ORACLE: dict[str, str] = {}
+
+def _pairs_sql(items: str, n: str) -> str:
+    """Pair counts of ``items(r, item)``; ``n`` counts the records."""
+    return (
+        f"i as materialized ({items}), c as (select item, count(*) as k from i group by 1), n as ({n}), p as (select a.item as item_a, b.item as item_b, count(*) as n_ab from i a join i b on a.r = b.r and a.item < b.item group by 1, 2 having count(*) >= 4)"
+        " select item_a, item_b, n_ab, x.k as n_a, y.k as n_b, n.n, n_ab::double * n.n / (x.k::double * y.k) as lift, log2(n_ab::double * n.n / (x.k::double * y.k)) as pmi from p join c x on x.item = item_a join c y on y.item = item_b, n"
+    )
+
+
+_KEYWORD_ITEMS = f"select distinct record_id as r, lower(unnest({sql_packed('keywords', False)})) as item from unified where not {sql_blank('keywords')}"
+_SPACED = "' ' || regexp_replace(lower({c}), '\\P{{L}}+', ' ', 'g') || ' '"
+_CONCEPT_ITEMS = f"select record_id as r, term as item from unified join concept_terms on contains({_SPACED.format(c='abstract')}, ' ' || trim({_SPACED.format(c='term')}, ' ') || ' ') where not {sql_blank('abstract')}"
+_N_ABSTRACTS = f"select count(*) as n from unified where not {sql_blank('abstract')}"
+_ASSOCIATIONS = (
+    f"select 'keywords' as field, * from (with {_pairs_sql(_KEYWORD_ITEMS, 'select count(distinct r) as n from i')})"
+    f" union all select 'abstract', * from (with {_pairs_sql(_CONCEPT_ITEMS, _N_ABSTRACTS)})"
+)
+
+ORACLE: dict[str, str] = {
+    "p6_found": (
+        f"with c as (select record_id, term, count(*) as tf from (select record_id, unnest(regexp_extract_all(lower(abstract), '\\p{{L}}{{5,}}')) as term from unified where not {sql_blank('abstract')}) group by 1, 2)"
+        " select record_id, term from c join (select term, count(*) as df from c group by 1) using (term) where tf >= 3 and df between 2 and 8"
+    ),
+    "p7_found": f"select field, item_a, item_b from ({_ASSOCIATIONS}) where n_ab * n >= 4 * n_a * n_b",
+    "p7_associations": _ASSOCIATIONS,
+}

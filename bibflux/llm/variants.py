@@ -124,7 +124,7 @@ def person_variants(spellings: DataFrame, least: float = 0.8) -> DataFrame:
     """
     from bibflux.session import cut_lineage
 
-    names = parse_persons(spellings.filter("name is not null").select("name").distinct())
+    names = parse_persons(cut_lineage(spellings.filter("name is not null").select("name").distinct()))
     names = names.withColumn("initial", F.explode("initials")).drop("initials").withColumn("key", F.xxhash64("surname", "initial"))
     names = cut_lineage(names)
     keys = names.groupBy(F.col("key").alias("id"), "surname", "initial").agg(F.count(F.lit(1)).alias("_uses"))
@@ -184,7 +184,7 @@ def venue_variants(spellings: DataFrame, evidence: DataFrame | None = None, leas
     """
     from bibflux.session import cut_lineage
 
-    v = parse_venues(spellings.filter("name is not null").select("name").distinct()).withColumn("id", F.xxhash64("name"))
+    v = parse_venues(cut_lineage(spellings.filter("name is not null").select("name").distinct())).withColumn("id", F.xxhash64("name"))
     initials = F.array_join(F.transform("tokens", lambda w: F.substring(w, 1, 1)), "")
     v = v.withColumn("initials", F.coalesce("acronym", initials)).withColumn("whole", F.array_join("tokens", ""))
     if evidence is not None:
