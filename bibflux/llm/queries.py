@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bibflux.functions.blank import clean, is_blank
 from bibflux.functions.fold import fold_accents
-from bibflux.llm.canonical import canonical_udf, map_places
+from bibflux.llm.canonical import canonical_udf, map_places, named_places_udf
 from bibflux.llm.concepts import bounded_list, found_terms
 from bibflux.llm.cooccur import pair_associations
 from bibflux.llm.countries import country_names
@@ -29,16 +29,17 @@ from bibflux.session import cut_lineage, table
 MAX_REFERENCE = 20_000
 
 
-def _country_resolver(spark: SparkSession, sf_dir: str):
+def _countries(spark: SparkSession, sf_dir: str):
+    """Names, codes and other entities of the country list, whose size is checked before it is sent anywhere."""
     rows = table(spark, sf_dir, "country_ref").select("country_id", "country", "iso2", "iso3").limit(MAX_REFERENCE + 1).collect()
     if len(rows) > MAX_REFERENCE:
         raise ValueError("country_ref is too large to send to every task")
-    return canonical_udf(*country_names([tuple(r) for r in rows]))
+    return country_names([tuple(r) for r in rows])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     unified = table(spark, sf_dir, "unified")
-    return map_places(unified, "record_id", "country", is_blank(F.col("country")), _country_resolver(spark, sf_dir), "country_id")
+    return map_places(unified, "record_id", "country", is_blank(F.col("country")), canonical_udf(*_countries(spark, sf_dir)), "country_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,15 +84,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = own.join(of_rep, "rep", "left").select(F.col("id").alias("record_id"), F.coalesce("component", "rep").alias("group_id"))
     shared = groups.join(groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "group_id").select("record_id", "group_id")
     members = unified.select("record_id", "source_db", "abstract", "country", "keywords", "harvested_at").join(shared, "record_id")
-    resolve = _country_resolver(spark, sf_dir)
-    places = map_places(members, "record_id", "country", is_blank(F.col("country")), resolve, "country_id")
-    named = places.filter("country_id >= 0").groupBy("record_id").agg(F.count(F.lit(1)).alias("_places"))
-    members = members.join(named, "record_id", "left")
+    members = members.withColumn("_places", named_places_udf(*_countries(spark, sf_dir))("country"))
     col = F.col
     fields = {
         "source_db": (is_blank(col("source_db")), F.lit(0)),
         "abstract": (is_blank(col("abstract")), F.length(clean(col("abstract")))),
-        "country": (is_blank(col("country")), F.coalesce("_places", F.lit(0))),
+        "country": (is_blank(col("country")), F.col("_places")),
         "keywords": (is_blank(col("keywords")), F.size(packed_values(col("keywords")))),
     }
     trust = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in TRUST.items() for x in kv)), col("source_db")), F.lit(0))
