@@ -31,8 +31,8 @@ def canonical(df: DataFrame, source_db: str | None = None, words: tuple[str, ...
 
 
 def unioned(frames: list[DataFrame]) -> DataFrame:
-    """All frames by column name; what a frame lacks is empty."""
+    """All frames by column name; what a frame lacks, or all lack of the canonical columns, is empty."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    return out.fillna("")
+    return out.withColumns({c: F.lit("") for c in CANONICAL if c not in out.columns}).fillna("")
