@@ -131,7 +131,7 @@ CUES = (
 
 def has_cue(text: Column) -> Column:
     """Whether any rule can match; one scan with shared beginnings, far cheaper than the rules."""
-    return F.lower(text).rlike(rf"{trie_pattern(CUES)}|%[a-z]|\b{_LATIN}\W+{_LATIN}\b")
+    return F.lower(text).rlike(rf"{trie_pattern(CUES)}|%[a-z]|<{FIELD}>|\b{_LATIN}\W+{_LATIN}\b")
 
 
 def messages(text: Column) -> Column:
