@@ -81,7 +81,7 @@ def test_links(spark):
     data = [
         (1, TITLE, ["bozivenur, julia"], "2020", "10.1/a", "Journal A", None, "x"),
         (2, TITLE.upper() + ".", ["j. bozivenur"], "2021", None, None, None, "x"),
-        (3, TITLE.replace("machines", "machiens"), ["bozivenur, j."], "n.d.", None, "Journal A", None, "x"),
+        (3, TITLE.replace("machines", "machiens"), ["bozivenur, j."], "2021.0", None, "Journal A", None, "x"),
         (4, TITLE, ["cavizisest, samantha"], "2020", None, "Journal B", None, "x"),
         (5, TITLE + " - Reply", ["bozivenur, julia"], "2020", "10.1/a", "Journal A", None, "x"),
         (6, TITLE, ["bozivenur, julia"], "2014", None, "Journal A", None, "x"),
