@@ -112,7 +112,8 @@ def p7_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts = abstracts.select(found_terms(F.col("abstract"), terms).alias("items"))
     by_keyword = pair_associations(keywords, min_pairs=4)
     by_concept = pair_associations(concepts, n_records=abstracts.agg(F.count(F.lit(1)).alias("n")), min_pairs=4)
-    return by_keyword.withColumn("field", F.lit("keywords")).unionByName(by_concept.withColumn("field", F.lit("abstract")))
+    both = by_keyword.withColumn("field", F.lit("keywords")).unionByName(by_concept.withColumn("field", F.lit("abstract")))
+    return both.withColumns({"lift": F.round("lift", 6), "pmi": F.round("pmi", 6)})
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +150,7 @@ def _pairs_sql(items: str, n: str) -> str:
     """Pair counts of ``items(r, item)``; ``n`` counts the records."""
     return (
         f"i as materialized ({items}), c as (select item, count(*) as k from i group by 1), n as ({n}), p as (select a.item as item_a, b.item as item_b, count(*) as n_ab from i a join i b on a.r = b.r and a.item < b.item group by 1, 2 having count(*) >= 4)"
-        " select item_a, item_b, n_ab, x.k as n_a, y.k as n_b, n.n, n_ab::double * n.n / (x.k::double * y.k) as lift, log2(n_ab::double * n.n / (x.k::double * y.k)) as pmi from p join c x on x.item = item_a join c y on y.item = item_b, n"
+        " select item_a, item_b, n_ab, x.k as n_a, y.k as n_b, n.n, round(n_ab::double * n.n / (x.k::double * y.k), 6) as lift, round(log2(n_ab::double * n.n / (x.k::double * y.k)), 6) as pmi from p join c x on x.item = item_a join c y on y.item = item_b, n"
     )
 
 
