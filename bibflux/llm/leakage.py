@@ -48,13 +48,13 @@ def plain_words(text: str | None) -> list[str]:
 
 
 def _codes(data: np.ndarray, q: int) -> np.ndarray:
-    """A number for each q-gram (q <= 8) of a byte array."""
+    """A number for each q-gram of a byte array: a polynomial hash, unique for q <= 8 in effect; later checks are exact anyway."""
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(q):
-        out = (out << np.uint64(8)) | data[k : k + n]
+        out = out * np.uint64(0x100000001B3) + data[k : k + n]
     return out
 
 
@@ -109,8 +109,11 @@ class _Items:
             found.append((np.repeat(at + start, n), self.owner[index], self.place[index]))
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
-    def regions(self, data: np.ndarray, base: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, diagonal, hits) of the bands that meet the bound. ``base``: where each document begins."""
+    def regions(self, data: np.ndarray, base: np.ndarray) -> list[tuple[int, ...]]:
+        """(document, item, diagonal, hits, first, last, item's first, item's last) of the bands that meet the bound; ``base``: where each document begins.
+
+        ``first`` and ``last`` are the places of the band's outer q-grams in the document, the other two those in the item.
+        """
         at, item, place = self.hits(data)
         if not len(at):
             return []
@@ -122,14 +125,16 @@ class _Items:
             band = (diagonal + offset) // width
             key = np.stack([doc, item, band], 1)
             order = np.lexsort((at, band, item, doc))
-            key, a = key[order], at[order]
+            key, a, there = key[order], at[order], place[order]
             new = np.append(True, (key[1:] != key[:-1]).any(1))
             distinct = new | np.append(True, a[1:] != a[:-1])  # a place counts once per band
             group = np.cumsum(new) - 1
             count = np.bincount(group, distinct)
             firsts = np.flatnonzero(new)
             keep = count >= self.least[key[firsts, 1]]
-            rows += [(int(d), int(i), int(b) * width - offset, int(n)) for (d, i, b), n in zip(key[firsts[keep]], count[keep])]
+            lasts = np.append(firsts[1:], len(a)) - 1
+            ends = zip(a[firsts[keep]], a[lasts[keep]], there[firsts[keep]], there[lasts[keep]])
+            rows += [(int(d), int(i), int(b) * width - offset, int(n), int(x - base[d]), int(y - base[d]), int(u), int(v)) for (d, i, b), n, (x, y, u, v) in zip(key[firsts[keep]], count[keep], ends)]
         return rows
 
 
@@ -180,13 +185,13 @@ def _scan(block: list[tuple], q: int, min_words: int, edits: int):
             base.append(base[-1] + len(data[-1]))
         regions = items.regions(np.frombuffer(b"".join(data), np.uint8), np.array(base[:-1]))
         out: dict[tuple[int, int], tuple] = {}
-        by_pair: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for d, i, diagonal, n in regions:
-            by_pair.setdefault((d, i), []).append((n, diagonal))
+        by_pair: dict[tuple[int, int], list[tuple[int, ...]]] = {}
+        for d, i, diagonal, n, *ends in regions:
+            by_pair.setdefault((d, i), []).append((n, diagonal, *ends))
         for (d, i), bands in by_pair.items():
             # the exact check, over the part of the document that the bands can reach
-            low = max(0, min(g for _, g in bands) - 2 * items.edits)
-            high = max(g for _, g in bands) + len(items.text[i]) + 4 * (items.edits + 1)
+            low = max(0, min(g for _, g, *_ in bands) - 2 * items.edits)
+            high = max(g for _, g, *_ in bands) + len(items.text[i]) + 4 * (items.edits + 1)
             while low > 0 and texts[d][low - 1] != " ":
                 low -= 1
             while high < len(texts[d]) and texts[d][high] != " ":
@@ -195,11 +200,10 @@ def _scan(block: list[tuple], q: int, min_words: int, edits: int):
             n, at, there = longest_run(items.words[i], words, min_words)
             if not n:
                 continue
-            n_hits, diagonal = max(bands)
-            doc_part = texts[d][max(0, diagonal) : max(0, diagonal + len(items.text[i]))]
-            item_part = items.text[i][max(0, -diagonal) :][: len(doc_part)]
-            band = max(items.edits * 2, len(item_part) // 10)
-            distance = banded_distance(item_part, doc_part[: len(item_part)], band)
+            n_hits, _, first, last, item_first, item_last = max(bands)
+            doc_part = texts[d][first : last + items.q]
+            item_part = items.text[i][item_first : item_last + items.q]
+            distance = 0 if item_part == doc_part else banded_distance(item_part, doc_part, 4 * (items.edits + 1))
             out[d, i] = (n, n / len(items.words[i]), int(n_hits), distance)
         return [(d, i, *x) for (d, i), x in out.items()]
 
@@ -232,12 +236,12 @@ def _scan(block: list[tuple], q: int, min_words: int, edits: int):
 
 
 def find_leaks(
-    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = 12, q: int = 6, edits: int = 2, block_chars: int = 8_000_000
+    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = 12, q: int = 12, edits: int = 2, block_chars: int = 8_000_000
 ) -> DataFrame:
     """Rows ``(key, item_key, n_words, coverage, shared, distance)`` for each document with ``min_words`` consecutive words of an item.
 
     ``n_words`` is the longest common run, ``coverage`` its share of the item's words, ``shared`` the q-grams in the best band,
-    ``distance`` the edits of the aligned part (one more than the band if beyond it). Null and empty texts give no row, nor do items
+    ``distance`` the edits between the outer q-grams of that band (one more than the alignment's band if beyond it). Null and empty texts give no row, nor do items
     of fewer words; repeated documents and items each give their own rows. Other columns are ignored. Empty tables give no row.
     """
     length = F.coalesce(F.length(F.col(f"`{item_text}`")), F.lit(0))
