@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibflux.functions.let import let
+from bibflux.session import cut_lineage
 
 
 def _pairs_within(items: Column) -> Column:
@@ -36,7 +37,7 @@ def pair_associations(baskets: DataFrame, items: str = "items", n_records: DataF
     """
     col = F.col(f"`{items}`")
     own = baskets.select(F.sort_array(F.array_distinct(F.filter(col, lambda x: x.isNotNull()))).alias("_items")).filter(F.size("_items") > 0)
-    own = own.groupBy("_items").agg(F.count(F.lit(1)).alias("_w"))
+    own = cut_lineage(own.groupBy("_items").agg(F.count(F.lit(1)).alias("_w")))  # read four times below
     counts = own.select(F.explode("_items").alias("item"), "_w").groupBy("item").agg(F.sum("_w").alias("n_item"))
     if n_records is None:
         n_records = own.agg(F.sum("_w").alias("n"))
