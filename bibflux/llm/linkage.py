@@ -3,8 +3,9 @@
 Each record gets a profile: its title's q-grams in a vector of 4 x 64 bits (the words are dealt to the four segments by
 hash, so that a misspelling changes one or two of them), its authors' surnames, year, identifier and venue. The segments are the
 tables of a multi-index: two vectors that differ in fewer than four bits, or in any number of bits of at most three segments, agree in
-one segment, so equality joins on segments find all such pairs exactly. A segment alone is no selective key among titles made
-alike, so each is joined together with a second attribute; whole vectors, identifiers and beginnings of abstracts are further tables.
+one segment. A segment alone is no selective key among titles made alike, so each is joined together with a part of a surname that survives
+one edit, with the venue, or with all other segments but one; the title's beginning and end, whole sets of authors, identifiers and beginnings of abstracts are
+further tables. Pairs that agree in none of them are not compared (``test_index_recall`` counts them against comparing all pairs).
 What meets is scored by weighted Dice coefficients of the vectors and turned into a confidence.
 
 Records with equal profiles are one class throughout: a hot group of copies is compared once.
@@ -150,18 +151,48 @@ def classes(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").drop("_class"), own.select("id", "_class").join(rep, "_class").select("id", "rep")
 
 
+#: The mark of a record with authors in the tables for records without.
+NAMED = "*"
+
+
+def _surname_parts(s: Column) -> Column:
+    """Beginnings and ends of a surname, marked; of two surnames of four letters or more within one edit, one part agrees, and equal ones share all."""
+
+    def cut(k: Column) -> Column:
+        return F.array(F.concat(F.lit("^"), F.substring(s, F.lit(1), k)), F.concat(F.substring(s, -k, k), F.lit("$")))
+
+    short = F.least(F.floor((F.length(s) - 1) / 2), F.lit(3)).cast("int")
+    long = F.least(F.floor(F.length(s) / 2), F.lit(3)).cast("int")
+    return F.when(F.length(s) < 4, F.array(s)).when(F.length(s) == 4, cut(F.lit(2))).otherwise(F.array_union(cut(short), cut(long)))
+
+
 def _keys(p: DataFrame) -> DataFrame:
-    """``(key, id, year)``: the tables of the index in which each record stands."""
-    whole = F.xxhash64("title")
-    years = lambda: F.array_distinct(F.array(F.floor(F.col("year") / 2), F.floor((F.col("year") + 1) / 2)))
+    """``(key, id, year, mark)``: the tables of the index in which each record stands; ``mark`` is compared by ``_met``.
+
+    Pairs with a surname in common or within one edit meet in a segment, or the title's beginning or end, with a part of it; an equal surname also meets with the
+    venue, equal sets of two or more surnames meet alone. Where a record has no authors, ``scored`` asks for equal venues and titles of more than five words,
+    so segments, beginnings and ends also stand with the venue, for pairs of which one has none. All segments but one together stand alone.
+    """
     none = F.array().cast("array<bigint>")
-    by_author = F.transform("authors", lambda s: F.xxhash64(F.lit("t"), whole, s))
-    segments = F.flatten(F.transform("authors", lambda s: F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda j: F.when(F.get("vector", j) != 0, F.xxhash64(F.lit("s"), j, F.get("vector", j), s)))))
-    by_venue = F.when(F.col("venue").isNotNull() & F.col("year").isNotNull(), F.transform(years(), lambda y: F.xxhash64(F.lit("v"), whole, F.col("venue"), y))).otherwise(none)
-    by_start = F.when(F.col("opening").isNotNull(), F.array(F.xxhash64(F.lit("o"), F.col("opening")))).otherwise(none)
-    by_doi = F.when(F.col("doi").isNotNull(), F.array(F.xxhash64(F.lit("d"), F.col("doi")))).otherwise(none)
-    every = F.concat(by_author, segments, by_venue, by_start, by_doi)
-    return p.filter("title <> ''").select("id", "year", F.explode_outer(F.array_distinct(every)).alias("key")).filter("key is not null")
+    given = lambda c, keys: F.when(c, keys).otherwise(none)
+    known = lambda c: F.filter(c, lambda x: x.isNotNull())
+    specific = F.size(F.split("title", " ")) > 5
+    marked = lambda j: F.when(F.get("vector", F.lit(j)) != 0, F.xxhash64(F.lit("s"), F.lit(j), F.get("vector", F.lit(j))))
+    ends = F.array(F.xxhash64(F.lit("b"), F.substring("title", 1, 12)), F.xxhash64(F.lit("e"), F.substring("title", -12, 12)))
+    p = p.filter("title <> ''").select("id", "year", "authors", "venue", "opening", "doi", specific.alias("_specific"), known(F.array(*map(marked, range(SEGMENTS)))).alias("_segments"), ends.alias("_ends"))
+    each = lambda xs, ys: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.xxhash64(x, y))))
+    marks = lambda keys, mark: F.transform(keys, lambda k: F.struct(k.alias("key"), mark.cast("string").alias("mark")))
+    by_part = F.flatten(F.transform("authors", lambda s: marks(each(_surname_parts(s), F.concat("_segments", "_ends")), s)))
+    by_authors = given(F.size("authors") > 1, F.array(F.xxhash64(F.lit("a"), F.array_join("authors", " "))))
+    by_place = given(F.col("venue").isNotNull(), F.transform("authors", lambda s: F.xxhash64(F.lit("p"), "venue", s)))
+    by_venue = given(F.col("venue").isNotNull() & F.col("_specific"), F.transform(F.concat("_segments", "_ends"), lambda t: F.xxhash64(F.lit("v"), t, "venue")))
+    most = F.transform(F.sequence(F.lit(0), F.size("_segments") - 1), lambda k: F.xxhash64(F.lit("m"), F.array_join(F.filter("_segments", lambda x, i: i != k), " ")))
+    by_most = given(F.col("_specific") & (F.size("_segments") > 2), most)
+    by_start = given(F.col("opening").isNotNull(), F.array(F.xxhash64(F.lit("o"), F.col("opening"))))
+    by_doi = given(F.col("doi").isNotNull(), F.array(F.xxhash64(F.lit("d"), F.col("doi"))))
+    plain = F.concat(by_authors, by_place, by_most, by_start, by_doi)
+    every = F.concat(by_part, marks(by_venue, F.when(F.size("authors") > 0, NAMED).otherwise("")), marks(plain, F.lit(None)))
+    return p.select("id", "year", F.explode(F.array_distinct(every)).alias("_k")).select("_k.key", "id", "year", "_k.mark")
 
 
 def _dice(a: str, b: str) -> Column:
@@ -204,9 +235,12 @@ def _near(s: Column, t: Column) -> Column:
 
 
 def _met(keys_a: DataFrame, keys_b: DataFrame, within: bool) -> DataFrame:
-    a = keys_a.select("key", F.col("id").alias("id_a"), F.col("year").alias("_ya"))
-    b = keys_b.select("key", F.col("id").alias("id_b"), F.col("year").alias("_yb"))
+    a = keys_a.select("key", F.col("id").alias("id_a"), F.col("year").alias("_ya"), F.col("mark").alias("_ma"))
+    b = keys_b.select("key", F.col("id").alias("id_b"), F.col("year").alias("_yb"), F.col("mark").alias("_mb"))
     met = a.join(b, "key").filter(F.coalesce(F.abs(F.col("_ya") - F.col("_yb")) <= 1, F.lit(True)))
+    # surnames further apart are never near, and two records with authors need no table without
+    bare = (F.col("_ma") == "") | (F.col("_mb") == "")
+    met = met.filter(F.col("_ma").isNull() | bare | (F.col("_ma") != NAMED) & (F.levenshtein("_ma", "_mb", 2) >= 0))
     return (met.filter("id_a < id_b") if within else met).select("id_a", "id_b").distinct()
 
 

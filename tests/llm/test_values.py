@@ -1,12 +1,14 @@
 """Values and names: canonical entries, variants, linkage and survivors."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from bibflux.functions.blank import is_blank
 from bibflux.llm.canonical import Canonical, canonical_udf, map_places, osa_distance, plain, token_set_similarity
 from bibflux.llm.countries import country_names
-from bibflux.llm.linkage import link_between, link_within, plain_doi, plain_title, plain_year, profile, text_opening
+from bibflux.llm.linkage import PROFILE, link_between, link_within, plain_doi, plain_title, plain_year, profile, scored, text_opening
 from bibflux.llm.survivors import survivors
 from bibflux.llm.variants import person_variants, venue_variants
 from tests.conftest import rows
@@ -105,6 +107,30 @@ def test_links(spark):
     assert link_within(p.limit(0))[0].count() == 0
 
 
+def test_index_recall(spark):
+    """The index against all pairs: titles misspelt in several words, authors missing or misspelt, years missing, subtitles."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("bcdfglmnrstv") + rng.choice("aeiou") for _ in range(n))
+
+    def typo(t):
+        k = rng.randrange(1, len(t) - 1)
+        return t[:k] + t[k + 1] + t[k] + t[k + 2 :] if rng.random() < 0.5 else t[:k] + t[k + 1 :]
+
+    data = []
+    for i in range(150):
+        title, authors = " ".join(word(rng.randint(2, 4)) for _ in range(rng.randint(6, 11))), [word(rng.randint(3, 4)) for _ in range(rng.randint(1, 3))]
+        near = [a[:k] + "x" + a[k + 1 :] for a in authors for k in [rng.randrange(len(a))]]
+        venue = f"Journal {word(3)}"
+        for k, (t, a, y) in enumerate([(title, authors, "2020"), (typo(title), [], "2020"), (typo(typo(title)), near, "2021"), (typo(title), near, None), (title + " a study of many schools", authors, "2020")]):
+            data.append((5 * i + k, t, a, y, None, venue, None, None))
+    p = record(spark, data).cache()
+    x, y = (p.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", *PROFILE))) for s in "ab")
+    want = {(r.id_a, r.id_b) for r in scored(x.crossJoin(y).filter("id_a < id_b")).filter("confidence >= 0.5").select("id_a", "id_b").collect()}
+    got = {(r.id_a, r.id_b) for r in link_within(p)[0].collect()}
+    assert len(want) > 600 and got <= want
+    assert len(want - got) <= 0.01 * len(want), (len(want), len(got))
+
+
 def test_survivors(spark):
     df = spark.createDataFrame([(1, 10, "ab", 1, "2024-01-01"), (1, 11, "abc", 0, None), (1, 12, "xyz", 2, "2024-01-01"), (1, 13, "uvw", 2, "2024-02-01"), (1, 14, "rst", 2, "2024-02-01"), (2, 20, None, 1, None)], "g long, r long, v string, t int, h string")
     fields = {"v": (is_blank(F.col("v")), F.length("v")), "w": (F.lit(True), F.lit(0))}
