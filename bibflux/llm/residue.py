@@ -126,19 +126,28 @@ CUES = (
     "exception", "warning", "sqlstate", "query failed", "undefined", "existe", "encontrada", "introuvable", "gefunden", "denegado", "negado", "accès", "zugriff", "fue posible",
     "foi possível", "impossible", "más tarde", "mais tarde", "plus tard", "serviço está", "servicio ", "le service est", "der dienst", "is down", "script", "skript", "cookie", "browser",
     "are human", "are a human", "navegador", "navigateur", "active ", "ative ", "activez", "activer", "aktivieren", "habilit", "loading", "cargando", "oops", "please wait", "not found",
+    "until the real", "abstract to be ", "inserir", "digite", "introduzca", "votre ", "text hier", "titel hier", "abstract hier", "forwarding", "connection ", "restricted", "stack trace", "trouvée", "try again later",
 )
 
 
+#: Cues that are no plain substrings.
+_CUE_PATTERNS = rf"%[a-z]|<\s?{FIELD}\s?>|\b{_LATIN}\W+{_LATIN}\b|\btest\b \d*\W*test\b|\btext\b\W+text\b|\b(?:example|placeholder|filler|default) (?:text|paragraph|content|copy)\b"
+
+
 def has_cue(text: Column) -> Column:
-    """Whether any rule can match; one scan with shared beginnings, far cheaper than the rules."""
-    return F.lower(text).rlike(rf"{trie_pattern(CUES)}|%[a-z]|<{FIELD}>|\b{_LATIN}\W+{_LATIN}\b")
+    """Whether any rule can match a text that went through ``flat``; one scan with shared beginnings, far cheaper than the rules."""
+    return F.lower(text).rlike(rf"{trie_pattern(CUES)}|{_CUE_PATTERNS}")
+
+
+def flat(text: Column) -> Column:
+    """A text without tags and with single spaces."""
+    plain = F.regexp_replace(text, rf"(?i)(?!<{FIELD}>)</?[a-z][a-z0-9]*(?:\s[^<>]{{0,300}})?/?>|</?title>", " ")
+    return F.regexp_replace(plain, r"[\s\x{a0}\x{ad}\x{200b}]+", " ")
 
 
 def messages(text: Column) -> Column:
     """The sentences of a text without tags and with single spaces; ``array<string>``."""
-    plain = F.regexp_replace(text, rf"(?i)(?!<{FIELD}>)</?[a-z][a-z0-9]*(?:\s[^<>]{{0,300}})?/?>|</?title>", " ")
-    plain = F.regexp_replace(plain, r"[\s\x{a0}\x{ad}\x{200b}]+", " ")
-    return F.split(plain, r"(?<=[.!?…]) ")
+    return F.split(flat(text), r"(?<=[.!?…]) ")
 
 
 def masked(message: Column) -> Column:
@@ -173,7 +182,7 @@ def find_residue(df: DataFrame, key: str, text: str, source: str, min_docs: int
     its own. Other columns are ignored; an empty table gives an empty result. ``min_docs`` and ``min_sources`` only
     govern the vague rules.
     """
-    rows = df.filter(has_cue(F.col(f"`{text}`"))).select(
+    rows = df.filter(has_cue(flat(F.col(f"`{text}`")))).select(
         F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_source"), F.explode_outer(messages(F.col(f"`{text}`"))).alias("_m")
     )
     rows = rows.filter(has_cue(F.col("_m"))).select("_key", "_source", masked(F.col("_m")).alias("message"))

@@ -13,7 +13,7 @@ from bibflux.llm.cooccur import pair_associations
 from bibflux.llm.distinctive import term_scores
 from bibflux.llm.leakage import banded_distance, find_leaks, longest_run, plain_words
 from bibflux.llm.packing import best_fit_decreasing, lower_bound, pack_documents
-from bibflux.llm.residue import find_residue
+from bibflux.llm.residue import CLEAR, VAGUE, find_residue, has_cue, masked
 from tests.conftest import rows
 
 
@@ -179,3 +179,19 @@ def test_residue(spark):
     vague = [(i, "Page not found", s) for i, s in enumerate(["a", "b", None])]
     assert find_residue(spark.createDataFrame(vague, "doc_id long, text string, source string"), "doc_id", "text", "source").count() == 3
     assert find_residue(spark.createDataFrame(vague[:2], "doc_id long, text string, source string"), "doc_id", "text", "source").count() == 0
+
+
+def test_cues(spark):
+    """What a rule matches has a cue, and line ends, double blanks and tags inside a message hide none."""
+    texts = [
+        "connection timed out", "connection refused", "connection reset", "stack trace:", "access to this article is restricted", "no forwarding address", "page non trouvée", "abstract to be provided", "abstract to be completed",
+        "please try again later", "digite o texto", "inserir o texto", "introduzca el resumen", "ihr text hier", "der titel hier", "votre résumé ici", "test 1 test 2", "text. text, text", "this is some example text", "this is a placeholder paragraph", "this is filler copy", "this is default content",
+        "stand-in until the real", "placeholder until the real", "réessayez plus tard", "o serviço está indisponível", "uncaught typeerror", "object moved", "too many requests", "the repository is down", "veuillez activer", "ihr browser",
+    ]
+    rules = "|".join(f"(?:{p})" for p in [VAGUE, *(p for patterns in CLEAR.values() for p in patterns)])
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.t for r in df.filter(~masked(F.col("t")).rlike(rules)).collect()] == []
+    assert [r.t for r in df.filter(~has_cue(F.col("t"))).collect()] == []
+    broken = [(k, f"{t}", f"s{k % 2}") for k, t in enumerate(["Page not\nfound", "Page not  found", "Page not <b>found</b>", "Connection timed\nout.", "Text. Text, text"])]
+    found = find_residue(spark.createDataFrame(broken, "doc_id long, text string, source string"), "doc_id", "text", "source")
+    assert {r.doc_id for r in found.collect()} >= {0, 1, 2, 3}
