@@ -96,12 +96,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(members, "group_id", "record_id", fields, trust, col("harvested_at")).select("group_id", "field", "record_id")
 
 
-def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_scores(table(spark, sf_dir, "unified"), "record_id", "abstract")
 
 
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p6_scores(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_scores(spark, sf_dir).filter("tf >= 3 and df between 2 and 8").select("record_id", "term")
+    return _p6_scores(spark, sf_dir).filter("tf >= 3 and df between 2 and 8").select("record_id", "term")
 
 
 def p7_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +146,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p4_found, p4_matches, p5_found, p6_found, p7_found, p7_associations, p8_pack, p9_found, p10_found, p10_residue)
+    f.__name__: f for f in (p2_found, p3_found, p4_found, p4_matches, p5_found, p6_found, p6_scores, p7_found, p7_associations, p8_pack, p9_found, p10_found, p10_residue)
 }
 
 
@@ -168,6 +172,11 @@ ORACLE: dict[str, str] = {
         f"with c as (select record_id, term, count(*) as tf from (select record_id, unnest(regexp_extract_all(lower(abstract), '\\p{{L}}{{5,}}')) as term from unified where not {sql_blank('abstract')}) group by 1, 2)"
         " select record_id, term from c join (select term, count(*) as df from c group by 1) using (term) where tf >= 3 and df between 2 and 8"
     ),
+    "p6_scores": (
+        f"with c as (select record_id, term, count(*) as tf from (select record_id, unnest(regexp_extract_all(lower(abstract), '\\p{{L}}{{5,}}')) as term from unified where not {sql_blank('abstract')}) group by 1, 2),"
+        " r as (select record_id, sum(tf)::double as k from c group by 1), t as (select term, count(*) as df, sum(tf)::double as m from c group by 1), n as (select sum(tf)::double as n from c)"
+        " select record_id, term, tf, df, case when k = n or m = n then 0.0 else round((tf - k * m / n) / sqrt(k * m / n * ((1 - k / n) * (1 - m / n))), 6) end as score from c join r using (record_id) join t using (term), n"
+    ),
     "p7_found": f"select field, item_a, item_b from ({_ASSOCIATIONS}) where n_ab * n >= 4 * n_a * n_b",
     "p7_associations": _ASSOCIATIONS,
 }

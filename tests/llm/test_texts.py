@@ -195,3 +195,11 @@ def test_cues(spark):
     broken = [(k, f"{t}", f"s{k % 2}") for k, t in enumerate(["Page not\nfound", "Page not  found", "Page not <b>found</b>", "Connection timed\nout.", "Text. Text, text"])]
     found = find_residue(spark.createDataFrame(broken, "doc_id long, text string, source string"), "doc_id", "text", "source")
     assert {r.doc_id for r in found.collect()} >= {0, 1, 2, 3}
+
+
+def test_scores_are_a_query(spark):
+    import __spark_entry__ as entry
+
+    scores = entry.queries()["p6_scores"](spark, "/root/testdata/sf0.001")
+    assert scores.columns == ["record_id", "term", "tf", "df", "score"] and "p6_scores" in entry.oracle_sql()
+    assert scores.filter("tf < 3").count() > 0 and scores.filter("score is null").count() == 0
