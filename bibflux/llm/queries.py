@@ -108,18 +108,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p6_scores(spark, sf_dir).filter("tf >= 3 and df between 2 and 8").select("record_id", "term")
 
 
-def p7_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p7_pairs(spark: SparkSession, sf_dir: str, min_pairs: int = 1) -> DataFrame:
+    """Every pair that occurs together, from one record on."""
     unified = table(spark, sf_dir, "unified")
     keywords = unified.select(F.transform(packed_values(F.col("keywords")), F.lower).alias("items"))
     terms = bounded_list(table(spark, sf_dir, "concept_terms"), "term")
     abstracts = unified.filter(~is_blank(F.col("abstract")))
     concepts = abstracts.select(found_terms(F.col("abstract"), terms).alias("items"))
-    by_keyword = pair_associations(keywords, min_pairs=4)
-    by_concept = pair_associations(concepts, n_records=abstracts.agg(F.count(F.lit(1)).alias("n")), min_pairs=4)
+    by_keyword = pair_associations(keywords, min_pairs=min_pairs)
+    by_concept = pair_associations(concepts, n_records=abstracts.agg(F.count(F.lit(1)).alias("n")), min_pairs=min_pairs)
     both = by_keyword.withColumn("field", F.lit("keywords")).unionByName(by_concept.withColumn("field", F.lit("abstract")))
     return both.withColumns({"lift": F.round("lift", 6), "pmi": F.round("pmi", 6)})
 
 
+def p7_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of four records or more, as its SQL has them; ``p7_pairs`` has all."""
+    return p7_pairs(spark, sf_dir, min_pairs=4)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     strong = F.col("n_ab") * F.col("n") >= 4 * F.col("n_a") * F.col("n_b")
     return p7_associations(spark, sf_dir).filter(strong).select("field", "item_a", "item_b")
@@ -146,7 +152,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p4_found, p4_matches, p5_found, p6_found, p6_scores, p7_found, p7_associations, p8_pack, p9_found, p10_found, p10_residue)
+    f.__name__: f for f in (p2_found, p3_found, p4_found, p4_matches, p5_found, p6_found, p6_scores, p7_found, p7_associations, p7_pairs, p8_pack, p9_found, p10_found, p10_residue)
 }
 
 

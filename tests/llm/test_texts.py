@@ -203,3 +203,10 @@ def test_scores_are_a_query(spark):
     scores = entry.queries()["p6_scores"](spark, "/root/testdata/sf0.001")
     assert scores.columns == ["record_id", "term", "tf", "df", "score"] and "p6_scores" in entry.oracle_sql()
     assert scores.filter("tf < 3").count() > 0 and scores.filter("score is null").count() == 0
+
+
+def test_rare_pairs_are_in_a_query(spark):
+    import __spark_entry__ as entry
+
+    pairs = entry.queries()["p7_pairs"](spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in pairs.groupBy("field").agg(F.min("n_ab").alias("n")).select("n").collect()} == {1}
