@@ -1,15 +1,16 @@
 """Free-entered values mapped to the entries of a canonical list.
 
-An automaton over all names, aliases and known other entities finds the mentions embedded in a value; the longest
-non-overlapping ones count, and of those the last, since a place ends with its largest unit. A value, or its last part, that is
-just a code names the entry with that code. What holds no mention goes to token-set similarity: entries reached through
-shared deletions of up to two letters are scored, and the best one counts unless it ties with another entry.
+An automaton over all names, aliases and known other entities finds the mentions embedded in a value; the longest one wins, of equally long
+ones the last, since a place ends with its largest unit. A value, or its last part, that is just a code names the entry with that code: a code is a
+whole field of its own, so it is read before mentions. What holds no mention goes to token-set similarity: the entries whose name, or any word of
+it, lies within two edits of the value or any word of it are scored, and the best one counts unless it ties with another entry.
 
 The list is held by every task; it must have at most ``max_names`` names, which is checked before it is sent.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -34,47 +35,84 @@ def plain(value: str) -> str:
 
 
 def osa_distance(a: str, b: str, limit: int) -> int:
-    """Edits (with swaps of neighbours) from a to b, or ``limit + 1`` if more."""
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    """Edits (with swaps of neighbours) from a to b, or ``limit + 1`` if more; takes time in proportion to length times limit."""
+    n, m = len(a), len(b)
+    far = limit + 1
+    if abs(n - m) > limit:
+        return far
+    before: list[int] = []
+    last = [j if j <= limit else far for j in range(m + 1)]
+    for i in range(1, n + 1):
+        low, high = max(1, i - limit), min(m, i + limit)
+        row = [far] * (m + 1) if m <= 64 else _Row(far)
+        row[0] = i if i <= limit else far
+        x, best = a[i - 1], row[0]
+        for j in range(low, high + 1):
+            y = b[j - 1]
+            cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y), far)
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 cost = min(cost, before[j - 2] + 1)
-            row.append(cost)
-        if min(row) > limit:
-            return limit + 1
+            row[j] = cost
+            best = min(best, cost)
+        if best > limit:
+            return far
         before, last = last, row
-    return last[-1]
+    return last[m]
+
+
+class _Row(dict):
+    """A row of the table of which only the band is held."""
+
+    def __init__(self, far: int):
+        super().__init__()
+        self.far = far
+
+    def __missing__(self, key: int) -> int:
+        return self.far
 
 
 def _allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 8 else 2
 
 
-def token_set_similarity(a: str, b: str) -> float:
-    """Share of letters in tokens of a and b that pair up, each pair weighted by its closeness; blanks in the wrong place are forgiven."""
-    x, y = a.split(), b.split()
-    joined, other = a.replace(" ", ""), b.replace(" ", "")
-    d = osa_distance(joined, other, _allowed(len(other)))
-    best = 1 - d / max(len(other), 1) if d <= _allowed(len(other)) else 0.0
-    score, rest = 0.0, list(x)
+def _paired(x: list[str], y: list[str]) -> list[tuple[str, str, float]]:
+    """(word of x, word of y, closeness) for each word of y that finds one of x within the edits its length allows, each used once."""
+    out, rest = [], list(x)
     for t in y:
-        near = [(osa_distance(s, t, _allowed(len(t))), k) for k, s in enumerate(rest)]
-        near = [(d, k) for d, k in near if d <= _allowed(len(t))]
+        limit = _allowed(len(t))
+        near = [(d, k) for k, s in enumerate(rest) if (d := osa_distance(s, t, limit)) <= limit]
         if near:
             d, k = min(near)
-            score += (len(t) + len(rest[k])) * (1 - d / len(t))
-            del rest[k]
-    total = sum(map(len, x)) + sum(map(len, y))
-    return max(best, score / total if total else 0.0)
+            out.append((rest.pop(k), t, 1 - d / len(t)))
+    return out
+
+
+def token_set_similarity(a: str, b: str) -> float:
+    """Closeness of the words of a value ``a`` and a name ``b``, from 0 to 1: the best of three readings.
+
+    Letters in words that pair up as a share of all letters; the two written without blanks, which forgives blanks in the wrong place; and, where
+    every word of a name of six letters or more is found, nine tenths of the closeness of those words, whatever else the value says.
+    """
+    x, y = a.split(), b.split()
+    joined, other = "".join(x), "".join(y)
+    limit = _allowed(len(other))
+    d = osa_distance(joined, other, limit)
+    best = 1 - d / max(len(other), 1) if d <= limit else 0.0
+    pairs = _paired(x, y)
+    total = len(joined) + len(other)
+    score = sum((len(s) + len(t)) * c for s, t, c in pairs) / total if total else 0.0
+    if len(pairs) == len(y) and len(other) >= 6:
+        score = max(score, 0.9 * sum(len(t) * c for _, t, c in pairs) / len(other))
+    return max(best, score)
+
+
+#: Letters of a word of which deletions are taken. Two words within n edits have beginnings of this length that share a string after n deletions each.
+_HEAD = 10
 
 
 def _deletions(word: str, n: int) -> set[str]:
-    return {"".join(c for k, c in enumerate(word) if k not in gone) for r in range(n + 1) for gone in combinations(range(len(word)), r)}
+    head = word[:_HEAD]
+    return {"".join(c for k, c in enumerate(head) if k not in gone) for r in range(n + 1) for gone in combinations(range(len(head)), r)}
 
 
 class Canonical:
@@ -98,12 +136,16 @@ class Canonical:
         for p, entry in self.names.items():
             self.automaton.add_word(f" {p} ", (len(p) + 2, entry))
         self.automaton.make_automaton()
+        #: Names by the deletions of their beginnings, written without blanks, and of those of their words.
         self.near: dict[str, set[str]] = {}
+        self.near_word: dict[str, set[str]] = {}
         for p in self.names:
-            joined = p.replace(" ", "")
-            if len(joined) >= 4:
-                for d in _deletions(joined, _allowed(len(joined))):
-                    self.near.setdefault(d, set()).add(p)
+            words = p.split()
+            for index, keys in ((self.near, ["".join(words)]), (self.near_word, words)):
+                for w in keys:
+                    if len(w) >= 4:
+                        for d in _deletions(w, _allowed(len(w))):
+                            index.setdefault(d, set()).add(p)
         self.seen: dict[str, int] = {}
 
     def __call__(self, value: str | None) -> int:
@@ -122,28 +164,26 @@ class Canonical:
         last = parts[-1].replace(" ", "")
         if last in self.codes:
             return self.codes[last]
-        if mentions := self._mentions(" ".join(parts)):
-            return mentions[-1]
+        if (entry := self._mentioned(" ".join(parts))) is not None:
+            return entry
         for part in reversed(parts):
             if (entry := self._similar(part)) is not None:
                 return entry
         return self.none
 
-    def _mentions(self, text: str) -> list[int]:
-        """Entries of the longest non-overlapping mentions, in order."""
-        padded = f" {text} "
-        found = sorted(((size, end - size + 1, entry) for end, (size, entry) in self.automaton.iter(padded)), key=lambda x: (-x[0], x[1]))
-        taken: list[tuple[int, int, int]] = []
-        for size, start, entry in found:
-            if all(start + size - 1 <= s or e - 1 <= start for s, e, _ in taken):
-                taken.append((start, start + size, entry))
-        return [entry for _, _, entry in sorted(taken)]
+    def _mentioned(self, text: str) -> int | None:
+        """The entry of the longest mention, of equally long ones the last: no longer one overlaps it."""
+        found = max(((size, end, entry) for end, (size, entry) in self.automaton.iter(f" {text} ")), default=None)
+        return None if found is None else found[2]
 
     def _similar(self, part: str) -> int | None:
-        joined = part.replace(" ", "")
-        if not 3 <= len(joined) <= 60:
-            return None
-        near = {p for d in _deletions(joined, min(2, max(1, _allowed(len(joined))))) for p in self.near.get(d, ())}
+        words = part.split()
+        reach = lambda w: 0 if len(w) < 3 else min(2, max(1, _allowed(len(w))))
+        near: set[str] = set()
+        for index, keys in ((self.near, ["".join(words)]), (self.near_word, words)):
+            for w in keys:
+                for d in _deletions(w, reach(w)):
+                    near |= index.get(d, set())
         scores: dict[int, float] = {}
         for p in near:
             s = token_set_similarity(part, p)
@@ -157,28 +197,46 @@ class Canonical:
         return top[0] if len(top) == 1 else None
 
 
-def canonical_udf(names: list[tuple[int, str]], codes: list[tuple[str, int]], others: list[str], none: int = -1, max_names: int = 200_000):
-    """A pandas UDF ``string -> int``; null and empty values give ``none``."""
+#: What a worker has built, by the list it is for.
+_built: dict[str, Canonical] = {}
+
+
+def _finder(names: list[tuple[int, str]], codes: list[tuple[str, int]], others: list[str], none: int, max_names: int):
+    """A function that gives the list's ``Canonical``, built once per worker; raises for a list that is too large to send to every task."""
     if len(names) + len(codes) + len(others) > max_names:
         raise ValueError(f"more than {max_names} names: too large to send to every task")
+    mark = hashlib.sha256(repr((names, codes, others, none)).encode()).hexdigest()
+
+    def find() -> Canonical:
+        if mark not in _built:
+            _built[mark] = Canonical(names, codes, others, none)
+        return _built[mark]
+
+    return find
+
+
+def canonical_udf(names: list[tuple[int, str]], codes: list[tuple[str, int]], others: list[str], none: int = -1, max_names: int = 200_000):
+    """A pandas UDF ``string -> int``; null and empty values give ``none``."""
+    find = _finder(names, codes, others, none, max_names)
 
     @F.pandas_udf("int")
     def resolve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = Canonical(names, codes, others, none)
+        own = find()
         for values in batches:
-            yield values.map(find).astype("int32")
+            yield values.map(own).astype("int32")
 
     return resolve
 
 
-def named_places_udf(names: list[tuple[int, str]], codes: list[tuple[str, int]], others: list[str], separator: str = ";", none: int = -1):
+def named_places_udf(names: list[tuple[int, str]], codes: list[tuple[str, int]], others: list[str], separator: str = ";", none: int = -1, max_names: int = 200_000):
     """A pandas UDF ``string -> int``: how many places of a separated list name an entry; 0 for null and empty."""
+    find = _finder(names, codes, others, none, max_names)
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = Canonical(names, codes, others, none)
+        own = find()
         for values in batches:
-            yield values.map(lambda v: sum(find(p) != none for p in v.split(separator)) if v else 0).astype("int32")
+            yield values.map(lambda v: sum(own(p) != none for p in v.split(separator)) if v else 0).astype("int32")
 
     return count
 

@@ -1,12 +1,15 @@
 """Values and names: canonical entries, variants, linkage and survivors."""
 
 import random
+import time
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bibflux.functions.blank import is_blank
-from bibflux.llm.canonical import Canonical, canonical_udf, map_places, osa_distance, plain, token_set_similarity
+from bibflux.llm.canonical import Canonical, _deletions, canonical_udf, map_places, osa_distance, plain, token_set_similarity
 from bibflux.llm.countries import country_names
 from bibflux.llm.linkage import PROFILE, link_between, link_within, plain_doi, plain_title, plain_year, profile, scored, text_opening
 from bibflux.llm.survivors import survivors
@@ -29,7 +32,29 @@ def test_canonical_parts():
     assert plain("U.K.") == "uk" and plain("P.R. China") == "pr china" and plain("Côte d'Ivoire") == "cote divoire"
     assert osa_distance("abcd", "acbd", 2) == 1 and osa_distance("abcd", "xyzw", 2) == 3
     assert token_set_similarity("hong kong", "hongkong") == 1.0
-    assert Canonical([(1, "x" * 5000), (2, "ab")], [], [])("y" * 5000) == -1
+    began = time.time()
+    long = Canonical([(1, "x" * 5000), (2, "ab"), (3, "y" * 4999 + "z")], [], [])
+    assert long("x" * 4999) == 1 and long("y" * 5000) == 3 and long("z" * 5000) == -1
+    assert time.time() - began < 1
+    far = Canonical([(1, "a" * 30 + " " + "b" * 40), (2, "Germany"), (3, "United Kingdom")], [], [])
+    assert far("a" * 30 + "c " + "b" * 40) == 1  # values of any length
+    assert far("Kingdom Unitd") == 3 and far("Univ of Munich Germny") == 2 and far("Campus Norte") == -1
+
+
+@given(st.text("abcd", max_size=8), st.text("abcd", max_size=8))
+def test_canonical_edits(a, b):
+    """The banded distance equals the whole table, and near words share a deletion of their beginnings."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], rows[-2][j - 2] + 1)
+        rows.append(row)
+    assert osa_distance(a, b, 2) == min(rows[-1][-1], 3)
+    if rows[-1][-1] <= 2:
+        assert _deletions(a + "qrstuvwxyz", 2) & _deletions(b + "qrstuvwxyz", 2)
 
 
 def test_places(spark):
