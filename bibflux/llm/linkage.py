@@ -1,12 +1,14 @@
 """Records of one publication found without a common key, in one table or across two.
 
-Each record gets a profile: its title's q-grams in a vector of 4 x 64 bits (the words are dealt to the four segments by
-hash, so that a misspelling changes one or two of them), its authors' surnames, year, identifier and venue. The segments are the
-tables of a multi-index: two vectors that differ in fewer than four bits, or in any number of bits of at most three segments, agree in
-one segment. A segment alone is no selective key among titles made alike, so each is joined together with a part of a surname that survives
-one edit, with the venue, or with all other segments but one; the title's beginning and end, whole sets of authors, identifiers and beginnings of abstracts are
-further tables. Pairs that agree in none of them are not compared (``test_index_recall`` counts them against comparing all pairs).
-What meets is scored by weighted Dice coefficients of the vectors and turned into a confidence.
+Each record gets a profile: the q-grams of its title in a vector of 4 x 64 bits (the words are dealt to the four segments by hash, so that a
+misspelling changes one or two of them), those of its surnames in 2 x 64 bits, its surnames, year, identifier and venue. The segments are the tables
+of a multi-index: all vectors that agree in three of the four segments meet, whatever their distance in the other. Vectors that agree in fewer meet
+where another attribute agrees too: one segment with a surname, two with the venue. What changes most words of a title at once, a subtitle that is
+left out, is met by the title's beginning or end with a surname, or its beginning with the venue. Equal identifiers meet alone. Within these bounds the search is exact;
+``test_index_recall`` counts against comparing all pairs what lies outside them.
+
+What meets is scored by weighted Dice coefficients of the vectors. The score becomes a confidence by comparison with the identifiers: among the pairs of
+like score of which both have one, the share whose identifiers agree tells how many are true (``calibrated``).
 
 Records with equal profiles are one class throughout: a hot group of copies is compared once.
 """
@@ -26,42 +28,52 @@ from bibflux.functions.fold import fold_accents
 from bibflux.functions.let import let
 from bibflux.llm.variants import _one_edit
 from bibflux.operators.packed import PARTICLES
+from bibflux.session import written
 
 SEGMENTS = 4
+#: Words of 64 bits for the surnames.
+NAME_SEGMENTS = 2
 #: Endings that make a title another publication's.
 SEQUELS = r"^(?:a )?(?:reply|response|rejoinder|comment|commentary|correction|corrigendum|erratum|retraction|addendum|part|vol|volume|second|supplement)\b"
 
 
-def _vectors(texts: pd.Series) -> np.ndarray:
-    """Bits of the 3-grams of each word (blanks as its ends) in the word's segment; shape (n, SEGMENTS), int64."""
-    n = len(texts)
+def _words(texts: pd.Series) -> tuple[np.ndarray, ...]:
+    """(text, word, letter, 3-gram) of every letter of texts of lower-case words; blanks are the ends of a word's grams."""
     joined = (" " + " \n ".join(texts) + " ").encode("ascii", "ignore")
     b = np.frombuffer(joined, np.uint8).astype(np.uint64)
     row = np.cumsum(b == 10)
     letter = (b != 32) & (b != 10)
-    bits = np.zeros((n, SEGMENTS * 64), bool)
     at = np.flatnonzero(letter)
-    if len(at):
-        starts = at[np.append(True, np.diff(at) > 1)]
-        word = np.searchsorted(starts, at, side="right") - 1
-        # a polynomial hash per word decides its segment
-        power = np.uint64(1099511628211) ** (at - starts[word]).astype(np.uint64)
+    starts = at[np.append(True, np.diff(at) > 1)[: len(at)]]
+    word = np.searchsorted(starts, at, side="right") - 1
+    b = np.where(letter, b, np.uint64(32))
+    gram = (b[at - 1] << np.uint64(16)) | (b[at] << np.uint64(8)) | b[at + 1]
+    return row[at], word, b[at], gram, at - starts[word]
+
+
+def _vectors(titles: pd.Series, names: pd.Series) -> np.ndarray:
+    """Bits of the 3-grams of each title word in the word's segment, then those of all surnames; shape (n, SEGMENTS + NAME_SEGMENTS), int64."""
+    n, mix = len(titles), np.uint64(0x9E3779B97F4A7C15)
+    bits = np.zeros((n, (SEGMENTS + NAME_SEGMENTS) * 64), bool)
+    row, word, letter, gram, place = _words(titles)
+    if len(row):
+        # a polynomial hash of the word decides its segment
         first = np.flatnonzero(np.append(True, np.diff(word) > 0))
-        h = np.add.reduceat((b[at] + np.uint64(7)) * power, first)
+        h = np.add.reduceat((letter + np.uint64(7)) * np.uint64(1099511628211) ** place.astype(np.uint64), first)
         h ^= h >> np.uint64(29)
-        segment = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62))[word]
-        clean_b = np.where(letter, b, np.uint64(32))
-        gram = (clean_b[at - 1] << np.uint64(16)) | (clean_b[at] << np.uint64(8)) | clean_b[at + 1]
-        bit = (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
-        bits[row[at], (segment * np.uint64(64) + bit).astype(np.int64)] = True
+        segment = ((h * mix) >> np.uint64(62))[word]
+        bits[row, (segment * np.uint64(64) + ((gram * mix) >> np.uint64(58))).astype(np.int64)] = True
+    row, _, _, gram, _ = _words(names)
+    if len(row):
+        bits[row, SEGMENTS * 64 + ((gram * mix) >> np.uint64(57)).astype(np.int64)] = True
     return np.packbits(bits, axis=1).view(">i8").astype(np.int64)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def qgram_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The bit vector of a text of lower-case ASCII words."""
-    for texts in batches:
-        yield pd.Series(list(_vectors(texts.fillna("")))) if len(texts) else pd.Series([], dtype=object)
+def qgram_vector(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The bit vector of a title and of joined surnames, both lower-case ASCII words."""
+    for titles, names in batches:
+        yield pd.Series(list(_vectors(titles.fillna(""), names.fillna("")))) if len(titles) else pd.Series([], dtype=object)
 
 
 def plain_title(c: Column) -> Column:
@@ -116,117 +128,92 @@ def venue_mark(c: Column) -> Column:
     return let(clean(c), lambda x: F.nullif(F.when(x.rlike(r"^\p{Lu}{2,8}$"), letters(x)).otherwise(initials(x)), F.lit("")))
 
 
-def text_opening(abstract: Column) -> Column:
-    """A hash of an abstract's first 25 words, after a leading label; null if it has fewer than 15."""
-    start = F.lower(fold_accents(F.substring(abstract, 1, 600)))
-    labels = ("", "abstract", "summary", "resumen", "resumo", "resume", "zusammenfassung")
-    words = lambda w: F.filter(w, lambda x, i: (x != "") & ~((i <= 1) & x.isin(*labels)))
-    return let(words(F.split(start, r"[^a-z0-9]+", 40)), lambda w: F.when(F.size(w) >= 15, F.xxhash64(F.array_join(F.slice(w, 1, 25), " "))))
-
-
-PROFILE = ("title", "vector", "authors", "names", "year", "doi", "venue", "opening")
+PROFILE = ("title", "vector", "authors", "names", "year", "doi", "venue")
 
 
-def profile(df: DataFrame, key: str, title: Column, names: Column, year: Column, doi: Column, venue: Column, start: Column) -> DataFrame:
-    """``(id, title, vector, authors, names, year, doi, venue, opening)`` of records; any attribute may be null or empty.
+def profile(df: DataFrame, key: str, title: Column, names: Column, year: Column, doi: Column, venue: Column, extra: dict[str, Column] | None = None) -> DataFrame:
+    """``(id, title, vector, authors, names, year, doi, venue, class)`` of records, written once; any attribute may be null or empty.
 
-    ``names`` are folded and in lower case (``fold_accents``, ``lower``).
+    ``names`` are folded and in lower case (``fold_accents``, ``lower``). ``extra`` are further columns to carry, which do not count for the class.
     """
     names = F.coalesce(names, F.array().cast("array<string>"))
     both = let(names, lambda n: F.struct(surnames(n).alias("authors"), name_tokens(n).alias("names")))
-    rows = df.select(F.col(f"`{key}`").alias("id"), plain_title(title).alias("title"), both.alias("_n"), plain_year(year).alias("year"), plain_doi(doi).alias("doi"), venue_mark(venue).alias("venue"), start.alias("opening"))
-    return rows.select("id", "title", qgram_vector("title").alias("vector"), "_n.authors", "_n.names", "year", "doi", "venue", "opening")
+    rows = df.select(
+        F.col(f"`{key}`").alias("id"), plain_title(title).alias("title"), both.alias("_n"), plain_year(year).alias("year"), plain_doi(doi).alias("doi"), venue_mark(venue).alias("venue"), *(c.alias(n) for n, c in (extra or {}).items())
+    )
+    same = F.xxhash64("title", F.array_join("_n.authors", " "), F.array_join("_n.names", " "), "year", "doi", "venue")
+    return written(rows.select("id", "title", qgram_vector("title", F.array_join("_n.authors", " ")).alias("vector"), "_n.authors", "_n.names", "year", "doi", "venue", same.alias("class"), *(extra or {})))
 
 
 def classes(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The profiles of one record (the smallest id) per set of equal ones, and ``(id, rep)`` for every record.
+    """The profiles of one record (the smallest id) per set of equal ones, and ``(class, rep)``.
 
     A set of any size is only ever aggregated; no task holds it.
     """
-    from bibflux.session import cut_lineage
-
-    same = F.xxhash64("title", F.array_join("authors", " "), F.array_join("names", " "), "year", "doi", "venue", "opening")
-    own = cut_lineage(profiles.withColumn("_class", same))
-    rep = own.groupBy("_class").agg(F.min("id").alias("rep"))
-    return own.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").drop("_class"), own.select("id", "_class").join(rep, "_class").select("id", "rep")
-
-
-#: The mark of a record with authors in the tables for records without.
-NAMED = "*"
-
-
-def _surname_parts(s: Column) -> Column:
-    """Beginnings and ends of a surname, marked; of two surnames of four letters or more within one edit, one part agrees, and equal ones share all."""
-
-    def cut(k: Column) -> Column:
-        return F.array(F.concat(F.lit("^"), F.substring(s, F.lit(1), k)), F.concat(F.substring(s, -k, k), F.lit("$")))
-
-    short = F.least(F.floor((F.length(s) - 1) / 2), F.lit(3)).cast("int")
-    long = F.least(F.floor(F.length(s) / 2), F.lit(3)).cast("int")
-    return F.when(F.length(s) < 4, F.array(s)).when(F.length(s) == 4, cut(F.lit(2))).otherwise(F.array_union(cut(short), cut(long)))
+    rep = profiles.groupBy("class").agg(F.min("id").alias("rep"))
+    return profiles.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").select("id", *PROFILE), rep
 
 
 def _keys(p: DataFrame) -> DataFrame:
-    """``(key, id, year, mark)``: the tables of the index in which each record stands; ``mark`` is compared by ``_met``.
-
-    Pairs with a surname in common or within one edit meet in a segment, or the title's beginning or end, with a part of it; an equal surname also meets with the
-    venue, equal sets of two or more surnames meet alone. Where a record has no authors, ``scored`` asks for equal venues and titles of more than five words,
-    so segments, beginnings and ends also stand with the venue, for pairs of which one has none. All segments but one together stand alone.
-    """
+    """``(key, id, year)``: the tables of the index in which each record stands. Records with an empty title stand in none."""
     none = F.array().cast("array<bigint>")
     given = lambda c, keys: F.when(c, keys).otherwise(none)
-    known = lambda c: F.filter(c, lambda x: x.isNotNull())
     specific = F.size(F.split("title", " ")) > 5
-    marked = lambda j: F.when(F.get("vector", F.lit(j)) != 0, F.xxhash64(F.lit("s"), F.lit(j), F.get("vector", F.lit(j))))
-    ends = F.array(F.xxhash64(F.lit("b"), F.substring("title", 1, 12)), F.xxhash64(F.lit("e"), F.substring("title", -12, 12)))
-    p = p.filter("title <> ''").select("id", "year", "authors", "venue", "opening", "doi", specific.alias("_specific"), known(F.array(*map(marked, range(SEGMENTS)))).alias("_segments"), ends.alias("_ends"))
-    each = lambda xs, ys: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.xxhash64(x, y))))
-    marks = lambda keys, mark: F.transform(keys, lambda k: F.struct(k.alias("key"), mark.cast("string").alias("mark")))
-    by_part = F.flatten(F.transform("authors", lambda s: marks(each(_surname_parts(s), F.concat("_segments", "_ends")), s)))
-    by_authors = given(F.size("authors") > 1, F.array(F.xxhash64(F.lit("a"), F.array_join("authors", " "))))
-    by_place = given(F.col("venue").isNotNull(), F.transform("authors", lambda s: F.xxhash64(F.lit("p"), "venue", s)))
-    by_venue = given(F.col("venue").isNotNull() & F.col("_specific"), F.transform(F.concat("_segments", "_ends"), lambda t: F.xxhash64(F.lit("v"), t, "venue")))
-    most = F.transform(F.sequence(F.lit(0), F.size("_segments") - 1), lambda k: F.xxhash64(F.lit("m"), F.array_join(F.filter("_segments", lambda x, i: i != k), " ")))
-    by_most = given(F.col("_specific") & (F.size("_segments") > 2), most)
-    by_start = given(F.col("opening").isNotNull(), F.array(F.xxhash64(F.lit("o"), F.col("opening"))))
+    marked = lambda j: F.when(F.get("vector", F.lit(j)) != 0, F.xxhash64(F.lit(j), F.get("vector", F.lit(j))))
+    segments = F.array(*map(marked, range(SEGMENTS)))
+    ends = F.array(F.xxhash64(F.lit("b"), F.substring("title", 1, 16)), F.xxhash64(F.lit("e"), F.substring("title", -20, 20)))
+    p = p.filter("title <> ''").select("id", "year", "authors", "venue", "doi", specific.alias("_specific"), segments.alias("_segments"), ends.alias("_ends"), F.substring("title", 1, 24).alias("_start"))
+    found = F.filter("_segments", lambda x: x.isNotNull())
+    by_surname = F.flatten(F.transform("authors", lambda s: F.transform(F.concat(found, F.col("_ends")), lambda x: F.xxhash64(x, s))))
+    # all segments but one; a segment without words counts as one
+    by_most = given(F.col("_specific"), F.array(*(F.xxhash64(F.lit("m"), *(F.get("_segments", F.lit(i)) if i != j else F.lit(None).cast("long") for i in range(SEGMENTS))) for j in range(SEGMENTS))))
+    two = [F.xxhash64(F.lit("v"), "venue", F.get("_segments", F.lit(i)), F.get("_segments", F.lit(j)), F.lit(i * SEGMENTS + j)) for i in range(SEGMENTS) for j in range(i)]
+    by_venue = given(F.col("venue").isNotNull() & F.col("_specific"), F.array(*two, F.xxhash64(F.lit("t"), "venue", "_start")))
     by_doi = given(F.col("doi").isNotNull(), F.array(F.xxhash64(F.lit("d"), F.col("doi"))))
-    plain = F.concat(by_authors, by_place, by_most, by_start, by_doi)
-    every = F.concat(by_part, marks(by_venue, F.when(F.size("authors") > 0, NAMED).otherwise("")), marks(plain, F.lit(None)))
-    return p.select("id", "year", F.explode(F.array_distinct(every)).alias("_k")).select("_k.key", "id", "year", "_k.mark")
+    every = F.array_distinct(F.concat(by_surname, by_most, by_venue, by_doi))
+    return p.select("id", "year", F.explode(every).alias("key"))
 
 
-def _dice(a: str, b: str) -> Column:
-    both = lambda f: sum((f(j) for j in range(1, SEGMENTS)), f(0))
+def _dice(a: str, b: str, first: int, n: int) -> Column:
+    """Dice coefficient of the words ``first`` to ``first + n - 1`` of two vectors."""
+    both = lambda f: sum((f(j) for j in range(first + 1, first + n)), f(first))
     shared = both(lambda j: F.bit_count(F.get(a, F.lit(j)).bitwiseAND(F.get(b, F.lit(j)))))
     return 2 * shared / F.greatest(both(lambda j: F.bit_count(F.get(a, F.lit(j))) + F.bit_count(F.get(b, F.lit(j)))), F.lit(1))
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """Adds ``confidence`` to pairs of profiles (columns with ``_a`` and ``_b``); 0 for pairs that contradict each other."""
+    """Adds ``score``, the log-odds of what titles, authors, venue and year say, and ``same_doi`` (null where one has none); no score for pairs that contradict each other.
+
+    The weights are fixed: a shared title alone says little, least of all a generic one.
+    """
     ta, tb = F.col("title_a"), F.col("title_b")
     longer, shorter = F.when(F.length(ta) >= F.length(tb), ta).otherwise(tb), F.when(F.length(ta) >= F.length(tb), tb).otherwise(ta)
-    rest = F.trim(F.substring(longer, F.length(shorter) + 1, F.lit(1_000_000)))
+    rest = F.trim(F.substring(longer, F.length(shorter) + 1, F.length(longer)))
     same = lambda c: F.coalesce((F.col(f"{c}_a") == F.col(f"{c}_b")).cast("int"), F.lit(0))
-    doi, venue, start = same("doi"), same("venue"), same("opening")
+    doi, venue = same("doi"), same("venue")
     # more misspellings are believed where another attribute agrees
-    share = F.when(doi + venue * start > 0, 0.12).otherwise(0.07)
+    share = F.when(doi + venue > 0, 0.12).otherwise(0.07)
     allowed = F.greatest(F.lit(3), F.floor(F.length(shorter) * share).cast("int"))
-    distance = F.levenshtein(ta, tb, 12)
-    close = (ta == tb) | (distance >= 0) & (distance <= allowed) & ~rest.rlike(SEQUELS)
+    distance = F.call_function("levenshtein", ta, tb, allowed)
+    close = (ta == tb) | (distance >= 0) & ~rest.rlike(SEQUELS)
     without_subtitle = (F.length(shorter) >= 25) & F.startswith(longer, F.concat(shorter, F.lit(" "))) & ~rest.rlike(SEQUELS) & (F.length(rest) >= 8)
-    title = F.when(close, _dice("vector_a", "vector_b")).when(without_subtitle, F.lit(0.75)).otherwise(F.lit(0.0))
+    title = F.when(close, _dice("vector_a", "vector_b", 0, SEGMENTS)).when(without_subtitle, F.lit(0.75)).otherwise(F.lit(0.0))
     missing = (F.size("authors_a") == 0) | (F.size("authors_b") == 0)
     common = F.greatest(F.size(F.array_intersect("authors_a", "names_b")), F.size(F.array_intersect("authors_b", "names_a")))
     near = F.exists("authors_a", lambda s: F.exists("authors_b", lambda t: (F.length(s) >= 5) & _near(s, t)))
     fewer = F.least(F.size("authors_a"), F.size("authors_b"))
-    authors = F.when(missing, F.lit(None)).when(common > 0, F.least(F.lit(1.0), common / fewer)).when(near, 0.8 / fewer).otherwise(F.lit(0.0))
+    alike = F.greatest(_dice("vector_a", "vector_b", SEGMENTS, NAME_SEGMENTS), 0.8 / fewer)
+    authors = F.when(missing, F.lit(None)).when(common > 0, F.least(F.lit(1.0), common / fewer)).when(near, alike).otherwise(F.lit(0.0))
     years = F.coalesce(F.abs(F.col("year_a") - F.col("year_b")) <= 1, F.lit(True))
     generic = F.size(F.split(shorter, " ")) <= 5
-    # log-odds: a shared title alone says little, least of all a generic one
-    odds = F.lit(-6.0) + 5.0 * title + F.coalesce(5.0 * authors, F.lit(0.0)) + 4.0 * doi + 2.0 * venue + 4.0 * start
+    odds = F.lit(-6.0) + 5.0 * title + F.coalesce(5.0 * authors, F.lit(0.0)) + 2.0 * venue
     odds = odds - F.when(generic, 3.0).otherwise(0.0) - F.when(F.coalesce(authors == 0, F.lit(False)), 3.0).otherwise(0.0)
     odds = odds + F.when(F.coalesce(F.col("year_a") == F.col("year_b"), F.lit(False)), 0.5).otherwise(0.0)
-    return pairs.withColumn("confidence", F.when((title > 0) & years, 1 / (1 + F.exp(-odds))).otherwise(F.lit(0.0)))
+    return pairs.withColumn("score", F.when((title > 0) & years, odds)).withColumn("same_doi", F.col("doi_a") == F.col("doi_b"))
+
+
+#: What an equal identifier adds to the score of a pair.
+DOI_ODDS = 4.0
 
 
 def _near(s: Column, t: Column) -> Column:
@@ -235,34 +222,77 @@ def _near(s: Column, t: Column) -> Column:
 
 
 def _met(keys_a: DataFrame, keys_b: DataFrame, within: bool) -> DataFrame:
-    a = keys_a.select("key", F.col("id").alias("id_a"), F.col("year").alias("_ya"), F.col("mark").alias("_ma"))
-    b = keys_b.select("key", F.col("id").alias("id_b"), F.col("year").alias("_yb"), F.col("mark").alias("_mb"))
+    a = keys_a.select("key", F.col("id").alias("id_a"), F.col("year").alias("_ya"))
+    b = keys_b.select("key", F.col("id").alias("id_b"), F.col("year").alias("_yb"))
     met = a.join(b, "key").filter(F.coalesce(F.abs(F.col("_ya") - F.col("_yb")) <= 1, F.lit(True)))
-    # surnames further apart are never near, and two records with authors need no table without
-    bare = (F.col("_ma") == "") | (F.col("_mb") == "")
-    met = met.filter(F.col("_ma").isNull() | bare | (F.col("_ma") != NAMED) & (F.levenshtein("_ma", "_mb", 2) >= 0))
     return (met.filter("id_a < id_b") if within else met).select("id_a", "id_b").distinct()
 
 
-def _rated(met: DataFrame, a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+def _rated(met: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     x, y = (p.select(F.col("id").alias(f"id_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in PROFILE)) for p, s in ((a, "a"), (b, "b")))
-    return scored(met.join(x, "id_a").join(y, "id_b")).filter(F.col("confidence") >= least).select("id_a", "id_b", "confidence")
+    rated = scored(met.join(x, "id_a").join(y, "id_b")).filter(F.col("score").isNotNull())
+    return rated.select("id_a", "id_b", "score", "same_doi")
+
+
+def _believed() -> Column:
+    """A pair is one publication where what it shares outweighs what is expected of two."""
+    return F.col("score") + F.when(F.coalesce("same_doi", F.lit(False)), DOI_ODDS).otherwise(0.0) >= 0
 
 
-def link_within(profiles: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(id_a, id_b, confidence)`` of class representatives, and ``(id, rep)`` for every record."""
-    reps, own = classes(profiles)
+def rising(values: list[float], weights: list[float]) -> list[float]:
+    """The values nearest to ``values`` (weighted least squares) that never fall."""
+    blocks: list[list[float]] = []
+    for v, w in zip(values, weights):
+        blocks.append([v, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            v2, w2, n2 = blocks.pop()
+            v1, w1, n1 = blocks.pop()
+            blocks.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
+    return [v for v, _, n in blocks for _ in range(int(n))]
+
+
+#: Bounds and width of the classes of score for which agreement is counted.
+SCORE_FROM, SCORE_TO, SCORE_STEP = -12.0, 8.0, 0.5
+
+
+def calibrated(rated: DataFrame, prior: float = 4.0) -> DataFrame:
+    """Adds ``confidence`` to rated pairs: the probability that a pair of this score, with what its identifiers say, is one publication.
+
+    Identifiers do not enter the score. For each class of score the share of equal ones among pairs that have two is counted; how often true pairs differ
+    (an identifier may belong to another publication) is taken from the best class with pairs enough, how often false ones agree from the worst. Between these two rates the share tells how
+    many pairs of the class are true. It is made rising, and tempered by ``prior`` pairs of the logistic of the score, which is all there is where no identifier is known.
+    Only the few counts reach the driver.
+    """
+    n = int((SCORE_TO - SCORE_FROM) / SCORE_STEP)
+    cls = lambda c: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((c - SCORE_FROM) / SCORE_STEP).cast("int")))
+    counts = {r[0]: (r[1], r[2]) for r in rated.filter(F.col("same_doi").isNotNull()).groupBy(cls(F.col("score")).alias("c")).agg(F.count_if("same_doi"), F.count(F.lit(1))).collect()}
+    equal, total = ([counts.get(c, (0, 0))[k] for c in range(n)] for k in (0, 1))
+    known = [c for c in range(n) if total[c] >= 20]
+    agree = (equal[known[-1]] + 1) / (total[known[-1]] + 1.05) if known else 0.95
+    chance = min((equal[known[0]] + 0.01) / (total[known[0]] + 1) if len(known) > 1 else 0.01, agree / 2)
+    logistic = [1 / (1 + np.exp(-(SCORE_FROM + (c + 0.5) * SCORE_STEP))) for c in range(n)]
+    shares = [((equal[c] - chance * total[c]) / (agree - chance) + prior * logistic[c]) / (total[c] + prior) for c in range(n)]
+    shares = [min(0.9999, max(0.0001, s)) for s in rising(shares, [t + prior for t in total])]
+    odds = F.element_at(F.array(*(F.lit(float(s / (1 - s))) for s in shares)), cls(F.col("score")) + 1)
+    seen = F.when(F.col("same_doi"), agree / chance).when(~F.col("same_doi"), (1 - min(agree, 0.999)) / (1 - chance)).otherwise(1.0)
+    return rated.withColumn("confidence", odds * seen / (1 + odds * seen))
+
+
+def link_within(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(id_a, id_b, score, same_doi)`` of class representatives, and ``(class, rep)`` for every class."""
+    reps, rep = classes(profiles)
     keys = _keys(reps)
-    return _rated(_met(keys, keys, True), reps, reps, least), own
+    return _rated(_met(keys, keys, True), reps, reps).filter(_believed()), rep
 
 
-def link_between(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+def link_between(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows ``(id_a, id_b, confidence)`` for each record of ``left`` and record of ``right`` of the same publication.
 
     Records with an empty title have no pair. Repeated records each have theirs.
     """
     (ra, a), (rb, b) = classes(left), classes(right)
-    pairs = _rated(_met(_keys(ra), _keys(rb), False), ra, rb, least)
-    members = lambda p, s: p.select(F.col("rep").alias(f"_r{s}"), F.col("id").alias(f"id_{s}"))
-    pairs = pairs.withColumnsRenamed({"id_a": "_ra", "id_b": "_rb"}).join(members(a, "a"), "_ra").join(members(b, "b"), "_rb")
+    rated = written(_rated(_met(_keys(ra), _keys(rb), False), ra, rb))
+    members = lambda p, rep, s: p.select("class", F.col("id").alias(f"id_{s}")).join(rep, "class").select(F.col("rep").alias(f"_r{s}"), f"id_{s}")
+    pairs = calibrated(rated).filter(_believed()).withColumnsRenamed({"id_a": "_ra", "id_b": "_rb"})
+    pairs = pairs.join(members(left, a, "a"), "_ra").join(members(right, b, "b"), "_rb")
     return pairs.select("id_a", "id_b", "confidence")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibflux.functions.blank import clean, is_blank
+from bibflux.functions.blank import clean, is_blank, strip
 from bibflux.functions.fold import fold_accents
 from bibflux.llm.canonical import canonical_udf, map_places, named_places_udf
 from bibflux.llm.concepts import bounded_list, found_terms
@@ -15,7 +15,7 @@ from bibflux.llm.cooccur import pair_associations
 from bibflux.llm.countries import country_names
 from bibflux.llm.distinctive import term_scores
 from bibflux.llm.leakage import find_leaks
-from bibflux.llm.linkage import link_between, link_within, profile, text_opening
+from bibflux.llm.linkage import link_between, link_within, profile
 from bibflux.llm.packing import pack_documents
 from bibflux.llm.residue import find_residue
 from bibflux.llm.survivors import survivors
@@ -51,17 +51,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.withColumn("field", F.lit("authors")).select(*cols).unionByName(venues.withColumn("field", F.lit("source")).select(*cols))
 
 
-def unified_profile(unified: DataFrame) -> DataFrame:
-    return profile(unified, "record_id", F.col("title"), packed_values(F.lower(fold_accents(F.col("authors"))), names=True), F.col("year"), F.col("doi"), F.col("source"), text_opening(F.col("abstract")))
+def unified_profile(unified: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    return profile(unified, "record_id", F.col("title"), packed_values(F.lower(fold_accents(F.col("authors"))), names=True), F.col("year"), F.col("doi"), F.col("source"), extra)
 
 
 def works_profile(works: DataFrame) -> DataFrame:
-    early = lambda e: F.transform(F.filter(e["value"], lambda p: p < 40), lambda p: F.struct(p.alias("p"), e["key"].alias("w")))
-    places = F.flatten(F.transform(F.map_entries("abstract_inverted_index"), early))
-    start = F.array_join(F.transform(F.array_sort(places), lambda s: s["w"]), " ")
     names = F.filter(F.transform("authorships", lambda a: a["author"]["display_name"]), lambda n: n.isNotNull())
     folded = F.transform(names, lambda n: F.lower(fold_accents(n)))
-    return profile(works, "work_id", F.col("title"), folded, F.col("publication_year"), F.col("doi"), F.col("primary_location.source.display_name"), text_opening(start))
+    return profile(works, "work_id", F.col("title"), folded, F.col("publication_year"), F.col("doi"), F.col("primary_location.source.display_name"))
 
 
 def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,22 +75,24 @@ TRUST = {"ScienceDirect": 4, "EBSCO": 3, "ACM": 2, "OpenAlex": 1}
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unified = table(spark, sf_dir, "unified")
-    pairs, own = link_within(unified_profile(unified))
-    of_rep = connected_components(pairs, "id_a", "id_b").withColumnRenamed("id", "rep")
-    groups = own.join(of_rep, "rep", "left").select(F.col("id").alias("record_id"), F.coalesce("component", "rep").alias("group_id"))
-    shared = groups.join(groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "group_id").select("record_id", "group_id")
-    members = unified.select("record_id", "source_db", "abstract", "country", "keywords", "harvested_at").join(shared, "record_id")
-    members = members.withColumn("_places", named_places_udf(*_countries(spark, sf_dir))("country"))
     col = F.col
-    fields = {
-        "source_db": (is_blank(col("source_db")), F.lit(0)),
-        "abstract": (is_blank(col("abstract")), F.length(clean(col("abstract")))),
-        "country": (is_blank(col("country")), F.col("_places")),
-        "keywords": (is_blank(col("keywords")), F.size(packed_values(col("keywords")))),
-    }
     trust = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in TRUST.items() for x in kv)), col("source_db")), F.lit(0))
-    return survivors(members, "group_id", "record_id", fields, trust, col("harvested_at")).select("group_id", "field", "record_id")
+    # what decides between values is measured in the one scan; the values themselves need not move
+    measures = {
+        "_source_db": F.when(~is_blank(col("source_db")), F.lit(0)),
+        "_abstract": F.when(~is_blank(col("abstract")), F.length(strip(col("abstract")))),
+        "_country": F.when(~is_blank(col("country")), named_places_udf(*_countries(spark, sf_dir))("country")),
+        "_keywords": F.when(~is_blank(col("keywords")), F.size(packed_values(col("keywords")))),
+        "_trust": trust,
+        "_time": col("harvested_at"),
+    }
+    profiles = unified_profile(table(spark, sf_dir, "unified"), measures)
+    pairs, rep = link_within(profiles)
+    component = connected_components(pairs, "id_a", "id_b").withColumnRenamed("id", "rep")
+    of_class = rep.join(component, "rep", "left").select("class", F.coalesce("component", "rep").alias("group_id"))
+    members = profiles.select(col("id").alias("record_id"), "class", *measures).join(of_class, "class")
+    fields = {f: (col(f"_{f}").isNull(), col(f"_{f}")) for f in ("source_db", "abstract", "country", "keywords")}
+    return survivors(members, "group_id", "record_id", fields, col("_trust"), col("_time"), least_records=2).select("group_id", "field", "record_id")
 
 
 def _p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
