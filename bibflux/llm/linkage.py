@@ -2,10 +2,10 @@
 
 Each record gets a profile: the q-grams of its title in a vector of 4 x 64 bits (the words are dealt to the four segments by hash, so that a
 misspelling changes one or two of them), those of its surnames in 2 x 64 bits, its surnames, year, identifier and venue. The segments are the tables
-of a multi-index: all vectors that agree in three of the four segments meet, whatever their distance in the other. Vectors that agree in fewer meet
-where another attribute agrees too: one segment with a surname, two with the venue. What changes most words of a title at once, a subtitle that is
-left out, is met by the title's beginning or end with a surname, or its beginning with the venue. Equal identifiers meet alone. Within these bounds the search is exact;
-``test_index_recall`` counts against comparing all pairs what lies outside them.
+of a multi-index: vectors that agree in all four segments meet, and those that agree in fewer where another attribute agrees too: in one segment with a
+surname, in two with the venue, whatever their distance in the others. What changes most words of a title at once, a subtitle that is left out, is met by
+the title's beginning or end with a surname. Equal identifiers meet alone. Within these bounds the search is exact; ``test_index_recall`` counts
+against comparing all pairs what lies outside them.
 
 What meets is scored by weighted Dice coefficients of the vectors. The score becomes a confidence by comparison with the identifiers: among the pairs of
 like score of which both have one, the share whose identifiers agree tells how many are true (``calibrated``).
@@ -162,15 +162,14 @@ def _keys(p: DataFrame) -> DataFrame:
     marked = lambda j: F.when(F.get("vector", F.lit(j)) != 0, F.xxhash64(F.lit(j), F.get("vector", F.lit(j))))
     segments = F.array(*map(marked, range(SEGMENTS)))
     ends = F.array(F.xxhash64(F.lit("b"), F.substring("title", 1, 16)), F.xxhash64(F.lit("e"), F.substring("title", -20, 20)))
-    p = p.filter("title <> ''").select("id", "year", "authors", "venue", "doi", specific.alias("_specific"), segments.alias("_segments"), ends.alias("_ends"), F.substring("title", 1, 24).alias("_start"))
+    p = p.filter("title <> ''").select("id", "year", "authors", "venue", "doi", specific.alias("_specific"), segments.alias("_segments"), ends.alias("_ends"))
     found = F.filter("_segments", lambda x: x.isNotNull())
     by_surname = F.flatten(F.transform("authors", lambda s: F.transform(F.concat(found, F.col("_ends")), lambda x: F.xxhash64(x, s))))
-    # all segments but one; a segment without words counts as one
-    by_most = given(F.col("_specific"), F.array(*(F.xxhash64(F.lit("m"), *(F.get("_segments", F.lit(i)) if i != j else F.lit(None).cast("long") for i in range(SEGMENTS))) for j in range(SEGMENTS))))
+    by_title = given(F.col("_specific"), F.array(F.xxhash64(F.lit("m"), "_segments")))
     two = [F.xxhash64(F.lit("v"), "venue", F.get("_segments", F.lit(i)), F.get("_segments", F.lit(j)), F.lit(i * SEGMENTS + j)) for i in range(SEGMENTS) for j in range(i)]
-    by_venue = given(F.col("venue").isNotNull() & F.col("_specific"), F.array(*two, F.xxhash64(F.lit("t"), "venue", "_start")))
+    by_venue = given(F.col("venue").isNotNull() & F.col("_specific"), F.array(*two))
     by_doi = given(F.col("doi").isNotNull(), F.array(F.xxhash64(F.lit("d"), F.col("doi"))))
-    every = F.array_distinct(F.concat(by_surname, by_most, by_venue, by_doi))
+    every = F.array_distinct(F.concat(by_surname, by_title, by_venue, by_doi))
     return p.select("id", "year", F.explode(every).alias("key"))
 
 
