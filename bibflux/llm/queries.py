@@ -23,7 +23,7 @@ from bibflux.llm.variants import person_variants, venue_variants
 from bibflux.operators.components import connected_components
 from bibflux.operators.packed import explode_packed, packed_values
 from bibflux.queries import sql_blank, sql_packed
-from bibflux.session import cut_lineage, table
+from bibflux.session import table, written
 
 #: Rows a country list may have to be sent to every task.
 MAX_REFERENCE = 20_000
@@ -45,7 +45,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     unified = table(spark, sf_dir, "unified")
     people = person_variants(explode_packed(unified, "record_id", {"authors": True}).select(F.col("value").alias("name")))
-    seen = cut_lineage(unified.filter(~is_blank(F.col("source"))).select(F.col("source").alias("name"), F.nullif(clean(F.col("issn")), F.lit("")).alias("mark")).distinct())
+    seen = written(unified.filter(~is_blank(F.col("source"))).select(F.col("source").alias("name"), F.nullif(clean(F.col("issn")), F.lit("")).alias("mark")).distinct())
     venues = venue_variants(seen.select("name"), seen)
     cols = ("field", "name_a", "name_b")
     return people.withColumn("field", F.lit("authors")).select(*cols).unionByName(venues.withColumn("field", F.lit("source")).select(*cols))

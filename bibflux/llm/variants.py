@@ -1,10 +1,10 @@
 """Variant spellings of persons and venues.
 
-Spellings are reduced to keys first: a person's folded surname and given initial, a venue's significant words. Close keys are found
-by a prefix-filtered set-similarity join on q-grams: keys within one edit share all but a few q-grams, so they share one
-of the first few in any common order; rare q-grams come first in that order, so the lists that meet stay short. What meets is verified by
-a soft similarity of its tokens in which rare tokens count more, and by the given names. Two keys that are each one edit
-from a more frequent third are linked through it.
+Spellings are reduced to token sets first: a person's folded surname and given initial, a venue's significant words. Close sets are found
+by a prefix-filtered set-similarity join on the q-grams of their tokens: sets within one edit share all but a few q-grams, so they share one
+of the first few in any common order; rare q-grams come first in that order, so the lists that meet stay short. Tokens too short for q-grams are met by
+shared deletions. What meets is verified by a soft similarity of all tokens, surname and given name, in which rare tokens count more and an edit between
+two surnames that are both well attested counts for more than one. Two keys that are each one edit from a more frequent third are linked through it.
 """
 
 from __future__ import annotations
@@ -16,18 +16,115 @@ from bibflux.functions.fold import fold_accents
 from bibflux.functions.let import let
 from bibflux.operators.components import connected_components
 from bibflux.operators.packed import PARTICLES
+from bibflux.session import written
 
 #: Short forms of given names, each with the names it may stand for.
-NICKNAMES = (
-    "bob robert;rob robert;bobby robert;bert robert,albert;bill william;will william;billy william;willy william;liam william;ted edward,theodore;ned edward;eddie edward;ed edward,edgar"
-    ";liz elizabeth;beth elizabeth;betty elizabeth;lisa elizabeth;eliza elizabeth;kate katherine,catherine;kathy katherine,catherine;katie katherine;kat katherine;mike michael;mick michael"
-    ";nick nicholas;nico nicholas;ben benjamin;sam samantha,samuel;gabi gabriela;gaby gabriela;bella isabella;izzy isabella;fritz friedrich;fred friedrich,frederick;lupe guadalupe;lupita guadalupe"
-    ";sasha alexander,alexandra;alex alexander,alexandra;sandy alexander;pepa josefina;fina josefina;pepe jose;hannes johannes;hans johannes;jan johannes;peggy margaret;maggie margaret;meg margaret"
-    ";rita margarita;paco francisco;pancho francisco;frank francis,francisco;kiko francisco;dora theodora;thea theodora;teddy theodora,theodore;vova vladimir;volodya vladimir;vlad vladimir"
-    ";dick richard;rick richard;jim james;jimmy james;jack john;johnny john;tom thomas,tomas;tommy thomas;tony anthony,antonio;toni antonio;dan daniel;danny daniel;dave david;joe joseph;steve steven,stephen"
-    ";chris christopher,christina;matt matthew;andy andrew;greg gregory;jeff jeffrey;ken kenneth;larry lawrence;ron ronald;sue susan;jenny jennifer;jen jennifer;becky rebecca;debbie deborah;patty patricia;pat patrick,patricia"
-    ";lola dolores;concha concepcion;chema jose;nacho ignacio;memo guillermo;beto alberto,roberto;lalo eduardo;kolya nikolai;misha mikhail;dima dmitri;tanya tatiana;katya ekaterina;natasha natalia;heinz heinrich;sepp josef"
-)
+NICKNAMES: dict[str, list[str]] = {
+    "bob": ["robert"],
+    "rob": ["robert"],
+    "bobby": ["robert"],
+    "bert": ["robert", "albert"],
+    "bill": ["william"],
+    "will": ["william"],
+    "billy": ["william"],
+    "willy": ["william"],
+    "liam": ["william"],
+    "ted": ["edward", "theodore"],
+    "ned": ["edward"],
+    "eddie": ["edward"],
+    "ed": ["edward", "edgar"],
+    "liz": ["elizabeth"],
+    "beth": ["elizabeth"],
+    "betty": ["elizabeth"],
+    "lisa": ["elizabeth"],
+    "eliza": ["elizabeth"],
+    "kate": ["katherine", "catherine"],
+    "kathy": ["katherine", "catherine"],
+    "katie": ["katherine"],
+    "kat": ["katherine"],
+    "mike": ["michael"],
+    "mick": ["michael"],
+    "nick": ["nicholas"],
+    "nico": ["nicholas"],
+    "ben": ["benjamin"],
+    "sam": ["samantha", "samuel"],
+    "gabi": ["gabriela"],
+    "gaby": ["gabriela"],
+    "bella": ["isabella"],
+    "izzy": ["isabella"],
+    "fritz": ["friedrich"],
+    "fred": ["friedrich", "frederick"],
+    "lupe": ["guadalupe"],
+    "lupita": ["guadalupe"],
+    "sasha": ["alexander", "alexandra"],
+    "alex": ["alexander", "alexandra"],
+    "sandy": ["alexander"],
+    "pepa": ["josefina"],
+    "fina": ["josefina"],
+    "pepe": ["jose"],
+    "hannes": ["johannes"],
+    "hans": ["johannes"],
+    "jan": ["johannes"],
+    "peggy": ["margaret"],
+    "maggie": ["margaret"],
+    "meg": ["margaret"],
+    "rita": ["margarita"],
+    "paco": ["francisco"],
+    "pancho": ["francisco"],
+    "frank": ["francis", "francisco"],
+    "kiko": ["francisco"],
+    "dora": ["theodora"],
+    "thea": ["theodora"],
+    "teddy": ["theodora", "theodore"],
+    "vova": ["vladimir"],
+    "volodya": ["vladimir"],
+    "vlad": ["vladimir"],
+    "dick": ["richard"],
+    "rick": ["richard"],
+    "jim": ["james"],
+    "jimmy": ["james"],
+    "jack": ["john"],
+    "johnny": ["john"],
+    "tom": ["thomas", "tomas"],
+    "tommy": ["thomas"],
+    "tony": ["anthony", "antonio"],
+    "toni": ["antonio"],
+    "dan": ["daniel"],
+    "danny": ["daniel"],
+    "dave": ["david"],
+    "joe": ["joseph"],
+    "steve": ["steven", "stephen"],
+    "chris": ["christopher", "christina"],
+    "matt": ["matthew"],
+    "andy": ["andrew"],
+    "greg": ["gregory"],
+    "jeff": ["jeffrey"],
+    "ken": ["kenneth"],
+    "larry": ["lawrence"],
+    "ron": ["ronald"],
+    "sue": ["susan"],
+    "jenny": ["jennifer"],
+    "jen": ["jennifer"],
+    "becky": ["rebecca"],
+    "debbie": ["deborah"],
+    "patty": ["patricia"],
+    "pat": ["patrick", "patricia"],
+    "lola": ["dolores"],
+    "concha": ["concepcion"],
+    "chema": ["jose"],
+    "nacho": ["ignacio"],
+    "memo": ["guillermo"],
+    "beto": ["alberto", "roberto"],
+    "lalo": ["eduardo"],
+    "kolya": ["nikolai"],
+    "misha": ["mikhail"],
+    "dima": ["dmitri"],
+    "tanya": ["tatiana"],
+    "katya": ["ekaterina"],
+    "natasha": ["natalia"],
+    "heinz": ["heinrich"],
+    "sepp": ["josef"],
+}
 _STOP = ("of", "on", "in", "and", "for", "the", "a", "an", "at", "to", "de", "del", "la", "las", "los", "el", "y", "e", "en", "du", "des", "et", "der", "die", "das", "und", "fur")
 
 
@@ -35,14 +132,6 @@ def _map(pairs: dict[str, list[str]]) -> Column:
     return F.create_map(*(c for k, v in pairs.items() for c in (F.lit(k), F.array(*map(F.lit, v)))))
 
 
-def _nicknames() -> Column:
-    out: dict[str, list[str]] = {}
-    for entry in NICKNAMES.split(";"):
-        short, full = entry.split()
-        out.setdefault(short, []).extend(full.split(","))
-    return _map(out)
-
-
 def parse_persons(spellings: DataFrame) -> DataFrame:
     """``(name)`` with its ``surname`` (folded, without particles), ``given`` forms, ``short`` (initial or dotted start) and ``middle`` initial.
 
@@ -70,7 +159,7 @@ def parse_persons(spellings: DataFrame) -> DataFrame:
     inverted = rows.filter("_comma").select("name", F.col("_a").alias("_s"), F.col("_b").alias("_g"))
     both = plain.unionByName(inverted).filter((F.size("_s") > 0) & (F.size("_g") > 0))
     g = F.get("_g", F.lit(0))
-    forms = F.coalesce(F.element_at(_nicknames(), bare(g)), F.array(bare(g)))
+    forms = F.coalesce(F.element_at(_map(NICKNAMES), bare(g)), F.array(bare(g)))
     return both.select(
         "name",
         F.regexp_replace(bare(F.array_join("_s", "")), "ph", "f").alias("surname"),
@@ -94,70 +183,80 @@ def _grams(c: Column, q: int) -> Column:
     return let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - q + 1, F.lit(1))), lambda i: F.struct(F.substring(p, i, F.lit(q)).alias("gram"), i.alias("pos"))))
 
 
-def close_keys(keys: DataFrame, text: str, block: str, prefix: int = 5, q: int = 3, least_length: int = 5) -> DataFrame:
-    """Pairs ``(id_a, id_b)`` of ``keys(id, text, block)`` of equal block within one edit, id_a < id_b.
+def _deletions(c: Column) -> Column:
+    """A string and what is left of it without each of its letters."""
+    return let(c, lambda x: F.array_distinct(F.concat(F.array(x), F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))))
+
+
+def close_keys(keys: DataFrame, text: str, block: str, prefix: int = 5, q: int = 3) -> DataFrame:
+    """Pairs of ``keys(id, text, block, ...)`` of equal block within one edit, id_a < id_b; every column but the block comes back with ``_a`` and ``_b``.
 
-    One edit changes at most four of the 3-grams of a string (a swap), so two strings within one edit share one of the first
-    five in a common order. The order is by rarity within the block, then by the gram itself. Strings under ``least_length`` letters,
-    whose q-grams one edit can all change, are only ever equal to themselves.
+    One edit changes at most four of the 3-grams of a string (a swap), so two strings of five letters or more within one edit share one of
+    the first five in a common order. The order is by rarity within the block, then by the gram itself. Two strings of up to five letters,
+    whose q-grams one edit can all change, share a string after one deletion each.
     """
-    rows = keys.filter(F.length(text) >= least_length).select("id", text, block, F.explode(_grams(F.col(text), q)).alias("_g"))
-    rows = rows.select("id", text, block, "_g.gram", "_g.pos")
-    rarity = rows.groupBy(block, "gram").agg(F.count(F.lit(1)).alias("_df"))
-    rows = rows.join(rarity.filter("_df > 1"), [block, "gram"])  # a gram that only one key has meets nothing, but keeps its place in the order
-    lonely = keys.filter(F.length(text) >= least_length).select("id", F.size(_grams(F.col(text), q)).alias("_n"))
-    kept = rows.groupBy("id", text, block).agg(F.sort_array(F.collect_list(F.struct("_df", "gram", "pos"))).alias("_l")).join(lonely, "id")
-    room = F.lit(prefix) - (F.col("_n") - F.size("_l"))  # lonely grams come first
-    kept = kept.filter(room > 0).select("id", text, block, F.explode(F.slice("_l", F.lit(1), room)).alias("_g")).select("id", text, block, "_g.gram", "_g.pos")
-    a = kept.select(F.col("id").alias("id_a"), F.col(text).alias("_ta"), block, "gram", F.col("pos").alias("_pa"))
-    b = kept.select(F.col("id").alias("id_b"), F.col(text).alias("_tb"), block, "gram", F.col("pos").alias("_pb"))
-    met = a.join(b, [block, "gram"]).filter((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("_pa") - F.col("_pb")) <= 1) & (F.abs(F.length("_ta") - F.length("_tb")) <= 1))
-    return met.filter(_one_edit(F.col("_ta"), F.col("_tb"))).select("id_a", "id_b").distinct()
-
-
-def person_variants(spellings: DataFrame, least: float = 0.8) -> DataFrame:
+    carried = [c for c in keys.columns if c != block]
+    of = F.struct(*carried).alias("_k")
+    rows = keys.filter(F.length(text) >= 5).select(of, block, F.length(text).alias("_n"), F.explode(_grams(F.col(text), q)).alias("_g"))
+    rows = rows.select("_k", block, "_n", "_g.gram", "_g.pos")
+    rarity = rows.groupBy(block, "gram").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
+    # a gram that only one key has meets nothing, but keeps its place at the head of the order
+    kept = rows.join(rarity, [block, "gram"]).groupBy("_k", block, "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "gram", "pos"))).alias("_l"))
+    room = F.lit(prefix) - (F.col("_n") - F.size("_l"))
+    kept = kept.filter(room > 0).select("_k", block, F.explode(F.slice("_l", F.lit(1), room)).alias("_g")).select("_k", block, "_g.gram", "_g.pos")
+    short = keys.filter(F.length(text) <= 5).select(of, block, F.explode(_deletions(F.col(text))).alias("gram")).select("_k", block, F.concat(F.lit("-"), "gram").alias("gram"), F.lit(0).alias("pos"))
+    kept = kept.unionByName(short)
+    a, b = (kept.select(F.col("_k").alias(f"_{s}"), block, "gram", F.col("pos").alias(f"_p{s}")) for s in "ab")
+    ta, tb = F.col(f"_a.{text}"), F.col(f"_b.{text}")
+    met = a.join(b, [block, "gram"]).filter((F.col("_a.id") < F.col("_b.id")) & (F.abs(F.col("_pa") - F.col("_pb")) <= 1) & (F.abs(F.length(ta) - F.length(tb)) <= 1))
+    return met.filter(_one_edit(ta, tb)).select(*(F.col(f"_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in carried)).distinct()
+
+
+def person_variants(spellings: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs ``(name_a, name_b)`` of different spellings of ``spellings(name)`` that mean the same person, name_a < name_b.
 
-    Repeated spellings count once; nulls, empty names and names of one part have no variants. Same person: equal surnames up to case,
-    accents and particles or within one edit; given names equal, one a short form or a beginning of the other; middle initials
-    that do not contradict each other; and a soft token similarity, weighted by rarity, of at least ``least``.
+    Repeated spellings count once; nulls, empty names and names of one part have no variants, for a single part names no one in particular. Same person: surnames equal up
+    to case, accents and particles, or close; given names equal, close, one a short form or a beginning of the other; middle initials that do not
+    contradict each other; and a soft similarity of surname and given name, weighted by rarity, of at least ``least``.
     """
-    from bibflux.session import cut_lineage
-
-    names = parse_persons(cut_lineage(spellings.filter("name is not null").select("name").distinct()))
-    names = names.withColumn("initial", F.explode("initials")).drop("initials").withColumn("key", F.xxhash64("surname", "initial"))
-    names = cut_lineage(names)
-    keys = names.groupBy(F.col("key").alias("id"), "surname", "initial").agg(F.count(F.lit(1)).alias("_uses"))
-    total = keys.agg(F.count(F.lit(1)).alias("_total"), F.lit(1).alias("_one"))  # one row
-    by_surname = keys.groupBy("surname").agg(F.count(F.lit(1)).alias("_ds"))
-    by_initial = keys.groupBy("initial").agg(F.count(F.lit(1)).alias("_di"))
-    weight = lambda d: F.log1p(F.col("_total") / F.col(d))
-    weighed = keys.join(by_surname, "surname").join(by_initial, "initial").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-    weighed = weighed.select("id", "surname", "_uses", weight("_ds").alias("_ws"), weight("_di").alias("_wg"))
-    near = close_keys(keys.select("id", "surname", "initial"), "surname", "initial")
-    a, b = (weighed.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "surname", "_uses", "_ws", "_wg"))) for s in "ab")
-    rated = near.join(a, "id_a").join(b, "id_b")
-    ws, wg = F.greatest("_ws_a", "_ws_b"), F.greatest("_wg_a", "_wg_b")
-    likeness = 1 - 1 / F.greatest(F.length("surname_a"), F.length("surname_b"))
-    edges = cut_lineage(rated.filter((ws * likeness + wg) / (ws + wg) >= least).select("id_a", "id_b", "_uses_a", "_uses_b"))
+    parsed = parse_persons(written(spellings.filter("name is not null").select("name").distinct()))
+    names = written(parsed.withColumn("initial", F.explode("initials")).drop("initials").withColumn("key", F.xxhash64("surname", "initial")))
+    keys = names.groupBy(F.col("key").alias("id"), "surname", "initial").agg(F.count(F.lit(1)).alias("uses"))
+    keys = written(keys.join(keys.groupBy("surname").agg(F.count(F.lit(1)).alias("ds")), "surname"))
+    total, n_names = keys.count(), names.count()
+    edges = written(close_keys(keys, "surname", "initial"))
     # through a key that is used at least as often as both
-    either = edges.select("id_a", "id_b", "_uses_a", "_uses_b").union(edges.select("id_b", "id_a", "_uses_b", "_uses_a"))
-    spokes = either.filter("_uses_b >= _uses_a").select(F.col("id_b").alias("_hub"), F.col("id_a").alias("_spoke"))
-    two = spokes.join(spokes.withColumnRenamed("_spoke", "_other"), "_hub").filter("_spoke < _other").select(F.col("_spoke").alias("id_a"), F.col("_other").alias("id_b"))
-    links = edges.select("id_a", "id_b").union(two).distinct().union(keys.select(F.col("id").alias("id_a"), F.col("id").alias("id_b")))
-    cols = ("name", "given", "short", "middle")
-    x, y = (names.select(F.col("key").alias(f"id_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in cols)) for s in "ab")
+    cols = ("id", "uses", "ds", "surname")
+    turned = edges.select(*(F.col(f"{c}_{s}").alias(f"{c}_{t}") for s, t in ("ba", "ab") for c in cols))
+    either = edges.select(*turned.columns).union(turned)
+    spokes = either.filter("uses_b >= uses_a")
+    size = lambda x, y: F.greatest(F.length(x), F.length(y))
+    ends = lambda p, s: p.select(F.col("id_b").alias("_hub"), F.col("id_a").alias(f"id_{s}"), F.col("ds_a").alias(f"ds_{s}"), F.col("surname_a").alias(f"surname_{s}"))
+    two = ends(spokes, "a").join(ends(spokes, "b"), "_hub").filter("id_a < id_b")
+    link = lambda p, edits: p.select("id_a", "id_b", F.least("ds_a", "ds_b").alias("ds"), (F.lit(float(edits)) / size("surname_a", "surname_b")).alias("loss"))
+    equal = keys.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), "ds", F.lit(0.0).alias("loss"))
+    links = link(edges, 1).union(link(two, 2)).groupBy("id_a", "id_b").agg(F.min("ds").alias("ds"), F.min("loss").alias("loss")).union(equal)
+    # given names count by their rarity among all spellings
+    first = F.coalesce(F.get("given", F.lit(0)), "short")
+    given_df = names.groupBy(first.alias("_first")).agg(F.count(F.lit(1)).alias("_dg"))
+    weighed = names.withColumn("_first", first).join(given_df, "_first").withColumn("wg", F.log1p(F.lit(n_names) / F.col("_dg")))
+    cols = ("name", "given", "short", "middle", "wg")
+    x, y = (weighed.select(F.col("key").alias(f"id_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in cols)) for s in "ab")
     pairs = links.join(x, "id_a").join(y, "id_b").filter((F.col("name_a") < F.col("name_b")) | (F.col("id_a") != F.col("id_b")) & (F.col("name_a") != F.col("name_b")))
     starts = lambda short, forms: F.exists(forms, lambda f: F.startswith(f, F.col(short)))
-    given = (
-        F.when(F.col("given_a").isNotNull() & F.col("given_b").isNotNull(), F.arrays_overlap("given_a", "given_b") | F.exists("given_a", lambda f: F.exists("given_b", lambda g: (F.length(f) >= 5) & (F.length(g) >= 5) & _one_edit(f, g))))
-        .when(F.col("given_a").isNotNull(), starts("short_b", F.col("given_a")))
+    close = F.exists("given_a", lambda f: F.exists("given_b", lambda g: (F.length(f) >= 5) & (F.length(g) >= 5) & _one_edit(f, g)))
+    begun = (
+        F.when(F.col("given_a").isNotNull(), starts("short_b", F.col("given_a")))
         .when(F.col("given_b").isNotNull(), starts("short_a", F.col("given_b")))
         .otherwise(F.startswith(F.col("short_a"), F.col("short_b")) | F.startswith(F.col("short_b"), F.col("short_a")))
     )
+    both = F.col("given_a").isNotNull() & F.col("given_b").isNotNull()
+    given = F.when(both, F.when(F.arrays_overlap("given_a", "given_b"), 1.0).when(close, 0.8).otherwise(0.0)).when(begun, 0.9).otherwise(0.0)
     middle = F.coalesce(F.col("middle_a") == F.col("middle_b"), F.lit(True)) | (F.col("middle_a") == "") | (F.col("middle_b") == "")
-    ordered = pairs.filter(given & middle).select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"))
-    return ordered.distinct()
+    surname = F.greatest(F.lit(0.0), 1 - F.col("loss") * (1 + F.log2("ds")))
+    ws, wg = F.log1p(F.lit(total) / F.col("ds")), F.greatest("wg_a", "wg_b")
+    fits = pairs.withColumn("_g", given).filter((F.col("_g") > 0) & middle).filter((ws * surname + wg * F.col("_g")) / (ws + wg) >= least)
+    return fits.select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b")).distinct()
 
 
 def parse_venues(spellings: DataFrame) -> DataFrame:
@@ -171,7 +270,7 @@ def parse_venues(spellings: DataFrame) -> DataFrame:
     turn = rf"^\s*(.*\S)\s*,\s*((?:\S+\s+)+(?:{'|'.join(_STOP)}))\s*$"
     text = F.regexp_replace(F.regexp_replace(text, turn, "$2 $1"), r"(?<=\p{L})[-‐](?=\p{L})", "")
     tokens = F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\d]+", " "), " "), lambda w: (w != "") & ~w.isin(*_STOP))
-    acronym = F.when(F.trim("name").rlike(r"^\p{Lu}{2,8}$"), F.lower(F.trim("name")))
+    acronym = F.when(F.trim("name").rlike(r"^\p{Lu}{2,}$"), F.lower(F.trim("name")))
     return spellings.select("name", tokens.alias("tokens"), acronym.alias("acronym")).filter(F.size("tokens") > 0)
 
 
@@ -179,31 +278,28 @@ def venue_variants(spellings: DataFrame, evidence: DataFrame | None = None, leas
     """Pairs ``(name_a, name_b)`` of different spellings of ``spellings(name)`` that mean the same venue, name_a < name_b.
 
     Significant words must pair up in order, each equal, one the beginning of the other, or within one edit (two from seven
-    letters on); an acronym must equal the initials. Word weights grow with rarity. ``evidence(name, mark)`` are marks seen with a spelling, such
+    letters on); an acronym must equal the initials. Word weights grow with rarity. A name in which words are torn
+    apart or run together is compared as a whole. ``evidence(name, mark)`` are marks seen with a spelling, such
     as serial numbers: an acronym is only linked where the two share one, if both have any. Repeated spellings count once; nulls have no variants.
     """
-    from bibflux.session import cut_lineage
-
-    v = parse_venues(cut_lineage(spellings.filter("name is not null").select("name").distinct())).withColumn("id", F.xxhash64("name"))
-    initials = F.array_join(F.transform("tokens", lambda w: F.substring(w, 1, 1)), "")
-    v = v.withColumn("initials", F.coalesce("acronym", initials)).withColumn("whole", F.array_join("tokens", ""))
+    v = parse_venues(written(spellings.filter("name is not null").select("name").distinct())).withColumn("id", F.xxhash64("name"))
     if evidence is not None:
         v = v.join(evidence.filter("mark is not null").groupBy("name").agg(F.collect_set("mark").alias("marks")), "name", "left")
     else:
         v = v.withColumn("marks", F.lit(None).cast("array<string>"))
-    v = cut_lineage(v)
+    v = written(v)
+    n, total = F.posexplode("tokens").alias("_p", "w"), v.count()
     df = v.select(F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("_df"))
-    total = v.agg(F.count(F.lit(1)).alias("_total"), F.lit(1).alias("_one"))  # one row
-    weight = v.select("id", F.posexplode("tokens").alias("_p", "w")).join(df, "w").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-    weight = weight.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", F.log1p(F.col("_total") / F.col("_df")).alias("_w")))), lambda s: s["_w"]).alias("weights"))
-    v = v.join(weight, "id")
-    cols = ("id", "name", "tokens", "acronym", "whole", "weights", "marks")
-    a, b = (v.select("initials", *(F.col(c).alias(f"{c}_{s}") for c in cols)) for s in "ab")
-    same = a.join(b, "initials").filter("name_a < name_b").drop("initials")
+    listed = F.sort_array(F.collect_list(F.struct("_p", F.log1p(F.lit(total) / F.col("_df")).alias("_w"))))
+    weight = v.select(F.struct(*v.columns).alias("_v"), n).join(df, "w").groupBy("_v").agg(F.transform(listed, lambda s: s["_w"]).alias("weights"))
+    letters = lambda c: F.array_join(F.transform(c, lambda w: F.substring(w, 1, 1)), "")
+    v = written(weight.select("_v.*", "weights").withColumn("initials", F.coalesce("acronym", letters("tokens"))).withColumn("whole", F.array_join("tokens", "")))
+    cols = ("id", "name", "tokens", "acronym", "initials", "whole", "weights", "marks")
+    a, b = (v.select(*(F.col(c).alias(f"{c}_{s}") for c in cols)) for s in "ab")
+    same = v.select("initials", F.col("id").alias("id_a")).join(v.select("initials", F.col("id").alias("id_b")), "initials").filter("id_a < id_b").select("id_a", "id_b")
     # whole names: rare q-grams first, sets that share at least 60 %
     near = similar_sets(v.select("id", F.array_distinct(F.transform(_grams(F.col("whole"), 3), lambda g: g["gram"])).alias("grams")), 0.6)
-    other = near.join(a.drop("initials"), "id_a").join(b.drop("initials"), "id_b")
-    pairs = same.unionByName(other)
+    pairs = same.union(near).distinct().join(a, "id_a").join(b, "id_b")
     word = lambda x, y: (
         F.when(x == y, F.lit(1.0))
         .when(F.startswith(x, y) | F.startswith(y, x), F.lit(0.95))
@@ -216,14 +312,15 @@ def venue_variants(spellings: DataFrame, evidence: DataFrame | None = None, leas
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     score = add(F.zip_with(likeness, weights, lambda x, w: x * w)) / add(weights)
     in_order = (F.size("tokens_a") == F.size("tokens_b")) & F.col("acronym_a").isNull() & F.col("acronym_b").isNull()
-    shifted = (F.least(F.length("whole_a"), F.length("whole_b")) >= 12) & (F.levenshtein("whole_a", "whole_b", 3) >= 0) & ~in_order
+    # words torn apart or run together: one edit for every four letters, three at most
+    torn = F.least(F.lit(3), F.floor(F.least(F.length("whole_a"), F.length("whole_b")) / 4)).cast("int")
+    shifted = (F.call_function("levenshtein", F.col("whole_a"), F.col("whole_b"), torn) >= 0) & ~in_order
     shared = F.coalesce(F.arrays_overlap("marks_a", "marks_b"), F.lit(True))
     acronym = (F.col("acronym_a").isNotNull() | F.col("acronym_b").isNotNull()) & shared
     linked = F.when(in_order, (F.array_min(likeness) > 0) & (score >= least)).otherwise(shifted)
-    letters = lambda c: F.array_join(F.transform(c, lambda w: F.substring(w, 1, 1)), "")
-    by_letters = acronym & (F.coalesce("acronym_a", letters("tokens_a")) == F.coalesce("acronym_b", letters("tokens_b")))
+    by_letters = acronym & (F.col("initials_a") == F.col("initials_b"))
     # links are exact enough to be followed: an abbreviation and a misspelling meet in the full name
-    member = connected_components(pairs.filter(linked | by_letters).select("id_a", "id_b"), "id_a", "id_b").join(v.select("id", "name"), "id")
+    member = connected_components(pairs.filter(linked | by_letters), "id_a", "id_b").join(v.select("id", "name"), "id")
     x, y = (member.select("component", F.col("name").alias(f"name_{s}")) for s in "ab")
     return x.join(y, "component").filter("name_a < name_b").select("name_a", "name_b")
 
