@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibflux.functions.lexicon import CATEGORY_TERMS
-from bibflux.functions.text import bigrams, term_pattern, unigrams
+from bibflux.functions.text import bigrams, counted, term_pattern, unigrams
+from bibflux.session import written
 
 
 def _texts(df: DataFrame, text: str) -> DataFrame:
@@ -20,17 +21,45 @@ def in_category(text: Column, terms: tuple[str, ...] = CATEGORY_TERMS) -> Column
     return text.rlike("|".join(f"(?:{term_pattern(t)})" for t in terms))
 
 
+def _plain(term: str) -> str:
+    """A term as it is in a text once hyphens and blanks are gone."""
+    return re.sub(r"[-\s]", "", term.lower())
+
+
+def _one_scan(terms: tuple[str, ...]) -> bool:
+    """Whether one pattern can find all terms: none begins another, overlaps itself or reads like another without its blanks."""
+    words = [re.split(r"[-\s]+", t.lower()) for t in terms]
+    begins = any(x is not y and y[: len(x)] == x for x in words for y in words)
+    return not begins and not any(len(w) > 1 and w[0] == w[-1] for w in words) and len({_plain(t) for t in terms}) == len(terms)
+
+
+def _found(text: Column, terms: tuple[str, ...]) -> Column:
+    """``array<struct<item,k>>``: the number of each term that stands in the text and how often; null if none does."""
+    if _one_scan(terms):
+        # a look ahead, so that terms may overlap
+        bodies = "|".join(term_pattern(t).removeprefix(r"(?iU)\b").removesuffix(r"\b") for t in sorted(terms, key=len, reverse=True))
+        hits = F.regexp_extract_all(text, F.lit(rf"(?iU)\b(?=({bodies})\b)"), F.lit(1))
+        number = F.create_map(*(x for i, t in enumerate(terms) for x in (F.lit(_plain(t)), F.lit(i))))
+        return counted(F.filter(F.transform(hits, lambda h: F.element_at(number, F.regexp_replace(F.lower(h), r"(?U)[-\s]", ""))), lambda i: i.isNotNull()))
+    counts = F.array(*(F.struct(F.lit(i).alias("item"), F.regexp_count(text, F.lit(term_pattern(t))).cast("long").alias("k")) for i, t in enumerate(terms)))
+    return F.filter(counts, lambda c: c["k"] > 0)
+
+
 def term_counts(df: DataFrame, text: str, terms: tuple[str, ...] = CATEGORY_TERMS) -> DataFrame:
-    """Rows ``(term, doc_frequency, total_occurrences, doc_frequency_pct)`` for every term, all counted in one scan.
+    """Rows ``(term, doc_frequency, total_occurrences, doc_frequency_pct)`` for every term, all counted in one scan, the most frequent first, of equals in the given order.
 
     Texts of blanks and nulls do not count; an empty table gives zeros.
     """
-    counts = [F.regexp_count(F.col(text), F.lit(term_pattern(t))) for t in terms]
-    sums = [x for i, c in enumerate(counts) for x in (F.count_if(c > 0).alias(f"d{i}"), F.coalesce(F.sum(c), F.lit(0)).alias(f"t{i}"))]
-    row = _texts(df, text).agg(F.count(F.lit(1)).alias("n"), *sums)
-    cells = F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"d{i}").alias("doc_frequency"), F.col(f"t{i}").cast("long").alias("total_occurrences")) for i, t in enumerate(terms)))
-    pct = F.round(F.col("_c.doc_frequency") / F.greatest(F.col("n"), F.lit(1)) * 100, 2)
-    return row.select("n", F.explode(cells).alias("_c")).select("_c.*", pct.alias("doc_frequency_pct"))
+    none = F.array(F.struct(F.lit(-1).alias("item"), F.lit(0).cast("long").alias("k")))
+    found = F.coalesce(_found(F.col(text), terms), F.array().cast("array<struct<item:int,k:bigint>>"))
+    # a text also counts as one without any term, so that the same pass counts all texts
+    rows = _texts(df, text).select(F.explode(F.concat(none, found)).alias("_c")).groupBy("_c.item").agg(F.count(F.lit(1)).alias("d"), F.sum("_c.k").alias("t"))
+    by_item = rows.agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct("d", "t")))).alias("_m"))  # as many entries as terms
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("term"), F.element_at("_m", F.lit(i)).alias("c")) for i, t in enumerate(terms)))
+    flat = by_item.select(F.coalesce(F.element_at("_m", F.lit(-1))["d"], F.lit(0)).alias("n"), F.explode(cells).alias("_c"))
+    known = flat.select("n", "_c.i", "_c.term", F.coalesce("_c.c.d", F.lit(0)).alias("doc_frequency"), F.coalesce("_c.c.t", F.lit(0)).alias("total_occurrences"))
+    pct = F.round(F.col("doc_frequency") / F.greatest(F.col("n"), F.lit(1)) * 100, 2)
+    return known.orderBy(F.desc("doc_frequency"), "i").select("term", "doc_frequency", "total_occurrences", pct.alias("doc_frequency_pct"))
 
 
 def coverage(df: DataFrame, text: str, terms: tuple[str, ...] = CATEGORY_TERMS) -> DataFrame:
@@ -59,17 +88,19 @@ def _excluded(terms: tuple[str, ...]) -> list[str]:
 def candidates(df: DataFrame, text: str, terms: tuple[str, ...] = CATEGORY_TERMS, with_bigrams: bool = True) -> DataFrame:
     """Rows ``(term, doc_frequency, total_occurrences, docs_with_category, n, n_cat)`` for every uni- and bigram outside the category.
 
-    A text's repeats are counted inside its row, so one shuffle by term suffices and is combined before.
+    A text's repeats are counted inside its row, so the only shuffle is the one by term, which is combined before it moves.
     """
     t = F.col(text)
     grams = F.concat(unigrams(t), bigrams(t)) if with_bigrams else unigrams(t)
-    texts = _texts(df, text).select(in_category(t, terms).alias("_cat"), grams.alias("_g"))
-    n = texts.agg(F.count(F.lit(1)).alias("n"), F.count_if("_cat").alias("n_cat"), F.lit(1).alias("_one"))
-    per_text = texts.withColumn("_id", F.monotonically_increasing_id()).select("_id", "_cat", F.explode("_g").alias("term"))
-    per_text = per_text.groupBy("_id", "_cat", "term").agg(F.count(F.lit(1)).alias("_k"))
-    rows = per_text.groupBy("term").agg(F.count(F.lit(1)).alias("doc_frequency"), F.sum("_k").alias("total_occurrences"), F.count_if("_cat").alias("docs_with_category"))
-    rows = rows.filter(~F.col("term").isin(*_excluded(terms))).withColumn("_one", F.lit(1))
-    return rows.join(F.broadcast(n), "_one").drop("_one")  # n is one row
+    texts = _texts(df, text).select(in_category(t, terms).alias("_cat"), counted(grams).alias("_g"))
+    # each text also counts once under an empty term, so that the same pass counts texts and those of the category
+    whole = F.array(F.struct(F.lit("").alias("item"), F.lit(0).cast("long").alias("k")))
+    rows = texts.select("_cat", F.explode(F.concat(whole, F.coalesce("_g", F.array().cast("array<struct<item:string,k:bigint>>")))).alias("_t"))
+    rows = rows.groupBy(F.col("_t.item").alias("term")).agg(F.count(F.lit(1)).alias("doc_frequency"), F.sum("_t.k").alias("total_occurrences"), F.count_if("_cat").alias("docs_with_category"))
+    rows = written(rows)
+    all_texts = rows.filter("term = ''").first()
+    n, n_cat = (all_texts["doc_frequency"], all_texts["docs_with_category"]) if all_texts else (0, 0)
+    return rows.filter((F.col("term") != "") & ~F.col("term").isin(*_excluded(terms))).withColumns({"n": F.lit(n), "n_cat": F.lit(n_cat)})
 
 
 def associated_terms(df: DataFrame, text: str, max_terms: int = 15, min_doc_freq: int = 2, terms: tuple[str, ...] = CATEGORY_TERMS, with_bigrams: bool = True) -> DataFrame:
@@ -91,22 +122,24 @@ def precision_label(p: Column) -> Column:
 
 
 def precision(df: DataFrame, text: str, found: DataFrame, terms: tuple[str, ...] = CATEGORY_TERMS) -> DataFrame:
-    """``found`` with ``precision``, ``precision_pct`` and ``precision_label``: of the texts that hold a term as whole words, the share in the category.
+    """``found`` with ``precision_rank, precision, precision_pct, precision_label``, best first: of the texts that hold a term as whole words, the share in the category.
 
-    ``found`` has at most a few terms, which become patterns of one scan; the texts are raw, so terms that only exist after cleaning get 0.
+    Of equal precision the higher NPMI comes first, then the lower NPMI rank. ``found`` has at most a few terms, which become patterns of one scan; the texts are
+    raw, so terms that only exist after cleaning get 0.
     """
+    found = written(found)
     names = [r[0] for r in found.select("term").collect()]
-    t = F.col(text)
-    hits = [t.rlike(rf"(?iU)\b{re.escape(w)}\b") for w in names]
-    flagged = _texts(df, text).select(in_category(t, terms).alias("_cat"), *(h.alias(f"_{i}") for i, h in enumerate(hits)))
-    sums = [x for i in range(len(names)) for x in (F.count_if(F.col(f"_{i}")).alias(f"d{i}"), F.count_if(F.col(f"_{i}") & F.col("_cat")).alias(f"b{i}"))]
     if not names:
-        return found.withColumns({"precision": F.lit(0.0), "precision_pct": F.lit(0.0), "precision_label": F.lit("")})
-    cells = F.array(*(F.struct(F.lit(w).alias("term"), F.col(f"d{i}").alias("d"), F.col(f"b{i}").alias("b")) for i, w in enumerate(names)))
-    counted = flagged.agg(*sums).select(F.explode(cells).alias("_c")).select("_c.*")
-    share = F.when(F.col("d") > 0, F.col("b") / F.col("d")).otherwise(F.lit(0.0))
-    rated = found.join(F.broadcast(counted), "term")  # as many rows as found
-    return rated.select(*found.columns, F.round(share, 4).alias("precision"), F.round(share * 100, 1).alias("precision_pct"), precision_label(share).alias("precision_label"))
+        return found.select(F.lit(0).alias("precision_rank"), "*", F.lit(0.0).alias("precision"), F.lit(0.0).alias("precision_pct"), F.lit("").alias("precision_label"))
+    t = F.col(text)
+    hits = F.filter(F.array(*(F.when(t.rlike(rf"(?iU)\b{re.escape(w)}\b"), F.lit(w)) for w in names)), lambda w: w.isNotNull())
+    counts = _texts(df, text).select(in_category(t, terms).alias("_cat"), F.explode(hits).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d"), F.count_if("_cat").alias("b"))
+    share = F.coalesce(F.col("b") / F.col("d"), F.lit(0.0))
+    rated = found.join(F.broadcast(counts), "term", "left")  # as many rows as found
+    fields = [*found.columns, F.round(share, 4).alias("precision"), F.round(share * 100, 1).alias("precision_pct"), precision_label(share).alias("precision_label")]
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("precision")).alias("_p"), (-F.col("npmi")).alias("_s"), "npmi_rank", F.struct("*").alias("r"))))
+    ranked = rated.select(*fields).agg(listed.alias("_l")).select(F.posexplode("_l").alias("_p", "_r"))
+    return ranked.select((F.col("_p") + 1).alias("precision_rank"), "_r.r.*")
 
 
 def precision_figures(rated: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibflux.functions.similarity import levenshtein_similarity
 from bibflux.functions.text import normalize_title
 from bibflux.operators.components import connected_components
 from bibflux.schema import CANONICAL
-from bibflux.session import cut_lineage
+from bibflux.session import written
 
 DEFAULT_THRESHOLD = 0.92
 #: The order of sources by which a representative is chosen.
@@ -39,12 +40,14 @@ def similar_titles(titles: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> D
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     t = titles.select("title").filter("title <> ''").distinct().withColumn("n", F.length("title"))
+    # few rows become very many below: spread them over all tasks first
+    t = t.repartition(F.xxhash64("title"))
     longest = F.floor(F.col("n") / threshold + 1e-9).cast("int")
     # as the shorter one: cut for every number of edits that a partner may allow
     ks = F.array_distinct(F.transform(F.sequence(F.col("n"), longest), lambda m: _edits(m, threshold)))
     index = t.select("title", "n", F.explode(ks).alias("k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
     start, size = _segment(F.col("n"), F.col("k"), F.col("i"))
-    index = index.select(F.col("title").alias("title_a"), "n", "k", "i", F.substring(F.col("title"), start, size).alias("part"))
+    index = index.select(F.col("title").alias("title_a"), "k", "i", start.cast("int").alias("p"), size.cast("int").alias("s"), F.xxhash64("n", "k", "i", F.substring(F.col("title"), start, size)).alias("key"))
     # as the longer one: every place where that segment can stand
     probe = t.withColumn("m", F.col("n")).withColumn("k", _edits(F.col("m"), threshold))
     probe = probe.withColumn("n", F.explode(F.sequence(F.greatest(F.col("m") - F.col("k"), F.lit(1)), F.col("m")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
@@ -53,13 +56,24 @@ def similar_titles(titles: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> D
     low = F.greatest(F.col("p") - F.col("i"), F.col("p") + F.col("d") - (F.col("k") - F.col("i")), F.lit(1))
     high = F.least(F.col("p") + F.col("i"), F.col("p") + F.col("d") + (F.col("k") - F.col("i")), F.col("m") - F.col("s") + 1)
     probe = probe.filter(low <= high).withColumn("at", F.explode(F.sequence(low, high)))
-    probe = probe.select(F.col("title").alias("title_b"), "n", "k", "i", F.substring(F.col("title"), F.col("at"), F.col("s")).alias("part"))
-    met = index.join(probe, ["n", "k", "i", "part"])
+    probe = probe.select(F.col("title").alias("title_b"), F.col("at").cast("int").alias("at"), F.xxhash64("n", "k", "i", F.substring(F.col("title"), F.col("at"), F.col("s"))).alias("key"))
+    met = index.hint("merge").join(probe, "key")
+    # what stands before the segment may hold i edits, what stands after it the rest
+    part = lambda c, start, size: F.substring(F.col(c), start, size)
+    before = F.call_function("levenshtein", part("title_a", F.lit(1), F.col("p") - 1), part("title_b", F.lit(1), F.col("at") - 1), F.col("i"))
+    after = F.call_function("levenshtein", part("title_a", F.col("p") + F.col("s"), F.length("title_a")), part("title_b", F.col("at") + F.col("s"), F.length("title_b")), F.col("k") - F.col("i"))
     same_length = F.length("title_a") == F.length("title_b")
-    met = met.filter((F.col("title_a") != F.col("title_b")) & (~same_length | (F.col("title_a") < F.col("title_b")))).select("title_a", "title_b", "k").distinct()
-    d = F.levenshtein("title_a", "title_b")
+    met = met.filter((F.col("title_a") != F.col("title_b")) & (~same_length | (F.col("title_a") < F.col("title_b")))).filter(before >= 0).filter(after >= 0)
+    met = met.select("title_a", "title_b", "k").distinct()
+    d = F.call_function("levenshtein", F.col("title_a"), F.col("title_b"), F.col("k"))
     similarity = 1.0 - d / F.length("title_b")
-    return met.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select("title_a", "title_b", "similarity")
+    return met.withColumn("_d", d).filter("_d >= 0").withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select("title_a", "title_b", "similarity")
+
+
+def titles_are_duplicate(a: Column, b: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
+    """Whether two titles are alike after normalisation; false if either is then empty or null."""
+    x, y = normalize_title(a), normalize_title(b)
+    return (x != "") & (y != "") & (levenshtein_similarity(x, y) >= threshold)
 
 
 def duplicate_groups(df: DataFrame, key: str = "record_id", threshold: float = DEFAULT_THRESHOLD, strict_empty: bool = False) -> DataFrame:
@@ -71,7 +85,7 @@ def duplicate_groups(df: DataFrame, key: str = "record_id", threshold: float = D
     rows = df.select(F.col(key).alias("_id"), normalize_title(F.col("title")).alias("title"))
     if not strict_empty:
         rows = rows.filter("title <> ''")
-    rows = cut_lineage(rows)
+    rows = written(rows)
     classes = rows.groupBy("title").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
     pairs = similar_titles(classes, threshold)
     rep = classes.select("title", "rep")
@@ -100,8 +114,8 @@ def unify(df: DataFrame, key: str = "record_id", threshold: float = DEFAULT_THRE
 
     A kept record without abstract gets the longest one of the OpenAlex records that were discarded for it.
     """
-    groups = cut_lineage(duplicate_groups(df, key, threshold))
-    kept = cut_lineage(representatives(df, groups, key))
+    groups = written(duplicate_groups(df, key, threshold))
+    kept = written(representatives(df, groups, key))
     fate = groups.join(kept, "group_id").select(key, "kept_id")
     lost = fate.filter(F.col(key) != F.col("kept_id"))
     cols = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in CANONICAL]

@@ -21,13 +21,12 @@ def affiliation_country(c: Column) -> Column:
     Punctuation is read as blanks, so names with dots never match. The longest name anywhere wins, the first listed of equal length.
     """
     text = F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[,;.()\[\]]", " "), r"\s+", " "))
-    aliases = sorted(affiliation_table(), key=lambda r: (-len(r[0]), r[3]))
-    # one alternation finds candidates at each place; \b rules of the whole list are kept by trying longer names first
-    hit = F.lit(None).cast("string")
-    for alias, country, _, _ in reversed(aliases):
-        hit = F.when(text.rlike(rf"(?U)\b{re.escape(alias)}\b"), F.lit(country)).otherwise(hit)
-    quick = text.rlike(r"(?U)\b(?:" + "|".join(re.escape(a) for a, *_ in aliases) + r")\b")
-    return F.when(quick, hit)
+    rows = affiliation_table()
+    longest_first = sorted((alias for alias, *_ in rows), key=lambda a: -len(a))
+    # one pattern that gives the longest name at every place; it looks ahead, so that names may overlap
+    names = F.regexp_extract_all(text, F.lit(rf"(?U)\b(?=({'|'.join(map(re.escape, longest_first))})\b)"), F.lit(1))
+    ranks = F.create_map(*(x for alias, country, _, k in rows for x in (F.lit(alias), F.struct(F.lit(len(alias)).alias("n"), F.lit(-k).alias("k"), F.lit(country).alias("country")))))
+    return F.array_max(F.transform(names, lambda n: F.element_at(ranks, n)))["country"]
 
 
 def first_author_countries(df: DataFrame, column: str = "country") -> DataFrame:
@@ -71,10 +70,20 @@ def text_country(c: Column) -> Column:
     return F.when(is_blank(c), F.lit("")).otherwise(F.coalesce(F.get(by_adjective, F.lit(0)), F.get(by_name, F.lit(0)), F.lit("")))
 
 
-def country_column(df: DataFrame, parts: tuple[str, ...] = ("country", "pais", "affiliation", "institution")) -> str | None:
-    """The first column, by the order of ``parts``, whose name holds a part and that has a value; one scan for all candidates."""
-    candidates = [c for p in parts for c in df.columns if p in c.lower()]
+# Parts of the names of columns that say where a record is from, in the order in which they are tried.
+PLACE_COLUMNS = ("country", "authorlocation", "location", "affili", "institution", "organization", "address")
+
+
+def country_column(df: DataFrame, parts: tuple[str, ...] = PLACE_COLUMNS) -> str | None:
+    """The first column, by the order of ``parts``, whose name holds a part and that is not empty in every row; one scan for all candidates."""
+    candidates = list(dict.fromkeys(c for p in parts for c in df.columns if p in c.lower()))
     if not candidates:
         return None
-    filled = df.agg(*(F.max(~is_blank(F.col(f"`{c}`"))).alias(f"_{i}") for i, c in enumerate(candidates))).first()
+    filled = df.agg(*(F.max(F.trim(F.col(f"`{c}`")) != "").alias(f"_{i}") for i, c in enumerate(candidates))).first()
     return next((c for c, ok in zip(candidates, filled) if ok), None)
+
+
+def split_by_code(places: DataFrame, code: str = "iso_a3") -> tuple[DataFrame, DataFrame]:
+    """The rows with a country code, which a map can show, and those without."""
+    has = F.coalesce(F.trim(F.col(code)) != "", F.lit(False))
+    return places.filter(has), places.filter(~has)

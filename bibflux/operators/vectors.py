@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibflux.functions.text import counted
+from bibflux.session import written
+
 
 def term_frequencies(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """Rows ``(key, term, tf)``: share of the document's tokens; documents without tokens have no row."""
+    """Rows ``(key, term, tf)``: share of the document's tokens, counted inside its row; documents without tokens have no row."""
     rows = docs.select(F.col(key), tokens.alias("_t")).filter(F.size("_t") > 0)
-    rows = rows.select(key, F.size("_t").alias("_n"), F.explode("_t").alias("term"))
-    return rows.groupBy(key, "_n", "term").agg(F.count(F.lit(1)).alias("_k")).select(key, "term", (F.col("_k") / F.col("_n")).alias("tf"))
+    rows = rows.select(key, F.size("_t").alias("_n"), F.explode(counted(F.col("_t"))).alias("_c"))
+    return rows.select(key, F.col("_c.item").alias("term"), (F.col("_c.k") / F.col("_n")).alias("tf"))
 
 
-def inverse_frequencies(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """Rows ``(term, df, idf)`` with idf = ln((N + 1) / (df + 1)) + 1; ``n_docs`` is one row with N, documents without tokens included."""
-    n = n_docs.select(F.col(n_docs.columns[0]).alias("_N"), F.lit(1).alias("_one"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1))
-    return df.join(F.broadcast(n), "_one").select("term", "df", (F.log((F.col("_N") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+def inverse_frequencies(tf: DataFrame, n_docs: int) -> DataFrame:
+    """Rows ``(term, df, idf)`` with idf = ln((N + 1) / (df + 1)) + 1; ``n_docs`` is N, documents without tokens included."""
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.select("term", "df", (F.log(F.lit(n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def tfidf(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """Rows ``(key, term, weight)``."""
-    tf = term_frequencies(docs, key, tokens)
-    idf = inverse_frequencies(tf, docs.agg(F.count(F.lit(1)).alias("n")))
+    """Rows ``(key, term, weight)``. The frequencies are written once, so that no text is read twice."""
+    tf = written(term_frequencies(docs, key, tokens))
+    idf = inverse_frequencies(tf, docs.count())
     return tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 

@@ -108,7 +108,7 @@ def canonical_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    " union all ".join(f"select '{c}' as column_name, round(count(*) filter (where not {sql_blank(c)}) / count(*)::double * 100, 2) as pct from unified" for c in CANONICAL)
+    " union all ".join(f"select '{c}' as column_name, round(count(*) filter (where trim({c}, ' ') <> '') / count(*)::double * 100, 1) as pct from unified" for c in CANONICAL)
 )
 def column_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.completeness(table(spark, sf_dir, "unified"), list(CANONICAL))
@@ -316,7 +316,11 @@ def titles_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The project's concept terms stand in for the category, whose own terms its texts hardly use.
 CONCEPTS = (
     "prompt scaffolding", "feedback literacy", "few-shot exemplars", "model disclosure", "draft tracing", "rubric alignment", "co-writing", "hallucination audit",
-    "consent records", "learner agency", "bias probing", "source attribution", "token budgets", "retrieval grounding", "persona drift",
+    "consent records", "learner agency", "bias probing", "source attribution", "token budgets", "retrieval grounding", "persona drift", "human-in-loop review",
+    "grade inflation", "peer critique", "synthetic cohorts", "reading ladders", "style mimicry", "oral defence", "plagiarism screens", "dialogic tutoring",
+    "lesson planning", "code explanation", "image captioning", "voice cloning", "accessibility prompts", "red-team exercises", "policy templates", "temperature tuning",
+    "chain prompting", "citation repair", "teacher workload", "metacognitive prompts", "misuse taxonomies", "trust calibration", "answer hedging", "domain glossaries",
+    "item generation", "error taxonomies", "version histories", "guardrail fatigue", "translation aids", "worked examples", "curiosity gaps", "equity audits",
 )
 
 
@@ -366,15 +370,15 @@ def npmi_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABEL = "case when {p} >= 0.75 then 'very relevant' when {p} >= 0.5 then 'moderately relevant' when {p} >= 0.25 then 'weakly relevant' else 'hardly relevant' end"
 _PREC = (
     _NPMI
-    + ", p as (select term, npmi, case when count(*) filter (where h) > 0 then count(*) filter (where h and c) / (count(*) filter (where h))::double else 0.0 end as p from (select top.term, npmi, c, regexp_matches(abstract, '(?i)\\b' || top.term || '\\b') as h from texts cross join top) group by 1, 2)"
+    + ", p as (select term, npmi, npmi_rank, case when count(*) filter (where h) > 0 then count(*) filter (where h and c) / (count(*) filter (where h))::double else 0.0 end as p from (select top.term, npmi, npmi_rank, c, regexp_matches(abstract, '(?i)\\b' || top.term || '\\b') as h from texts cross join top) group by 1, 2, 3)"
 )
 
 
-@query(_PREC + f" select term, npmi, round(p, 4) as precision, round(p * 100, 1) as precision_pct, {_LABEL.format(p='p')} as precision_label from p")
+@query(_PREC + f" select row_number() over (order by round(p, 4) desc, npmi desc, npmi_rank) as precision_rank, npmi_rank, term, npmi, round(p, 4) as precision, round(p * 100, 1) as precision_pct, {_LABEL.format(p='p')} as precision_label from p")
 def npmi_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = table(spark, sf_dir, "unified")
     found = category.associated_terms(u, "abstract", terms=CONCEPTS)
-    return category.precision(u, "abstract", found, CONCEPTS).select("term", "npmi", "precision", "precision_pct", "precision_label")
+    return category.precision(u, "abstract", found, CONCEPTS).select("precision_rank", "npmi_rank", "term", "npmi", "precision", "precision_pct", "precision_label")
 
 
 @query(
@@ -507,7 +511,7 @@ _STEMS = f"(select record_id, case when length(w) > 4 then regexp_replace(w, '{_
 def tfidf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = table(spark, sf_dir, "unified")
     tf = vectors.term_frequencies(u, "record_id", cluster_tokens(F.col("abstract")))
-    return vectors.inverse_frequencies(tf, u.agg(F.count(F.lit(1)).alias("n"))).withColumn("idf", F.round("idf", 6))
+    return vectors.inverse_frequencies(tf, u.count()).withColumn("idf", F.round("idf", 6))
 
 
 @query(
