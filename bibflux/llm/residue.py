@@ -1,10 +1,12 @@
 """Template residue, filler, error pages and script notices that stand where content should be.
 
-Each text is cut into messages (sentences of the text without tags and line breaks). Numbers, addresses, dates and
-placeholder names are masked, so that copies of one message with other values get one hash. Messages are
-grouped by that hash over all documents, counted by document and source, and only then classified: once per message,
-however often it occurs. Clear rules suffice alone; vague ones count only for a message that recurs in
-``min_docs`` documents of ``min_sources`` sources. A message that writes *about* such things is kept.
+Each text is cut into messages: its sentences and lines without tags. Numbers, addresses, dates and placeholder names are masked, so that copies of one
+message with other values get one hash. All messages of all documents are counted by that hash; those that recur widely, in ``min_docs``
+documents of ``min_sources`` sources, are classified by phrase and placeholder rules, once per message however often it occurs. A message that does not
+recur is content, whatever it says, and so is one that writes *about* such things.
+
+Filler made of words in random order never recurs as a message, but its words do: the words of messages that begin with "lorem ipsum" and recur among these form the
+corpus's filler vocabulary, and a message of nothing else is filler.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibflux.functions.trie import trie_pattern
+from bibflux.session import written
 
 #: Field names that templates use; a bracketed word is a placeholder only if it is made of such names.
 FIELD = r"(?:first|last|full|user|your|n|no|num)?[_ ]?(?:name|author|title|date|year|month|day|city|country|place|institution|university|department|journal|volume|course|class|topic|subject|summary|abstract|keyword|keywords|students|email|address|phone|company|organi[sz]ation|text|content|description|url|link|id|number|value|amount)s?(?:[_ ]?(?:name|\d+))?"
@@ -35,19 +37,10 @@ SLOTS = (
 )
 SLOT = "(?:" + "|".join(SLOTS) + ")"
 
-#: Words of the Latin that stands in for text; a run of them is no content in any language.
-LATIN = (
-    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud"
-    " exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint"
-    " occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum pagina doctus codex ludus sermo lumen signum aurea finit orat vetus novus tempus"
-    " campus calamus clavis silva mensa velum magistra scribit currit rivus hortus quarum porta omnia cantat tacet legit ratio nomen brevis vertit"
-)
-_LATIN = trie_pattern(LATIN.split())
-#: Sentences of fillers, errors and notices; matched anywhere in a message.
-CLEAR = {
+#: Phrases of fillers, errors and notices; matched anywhere in a message that recurs.
+PHRASES = {
     "filler": (
         r"\blorem ipsum\b",
-        rf"(?:\b{_LATIN}\b\W*){{5,}}",
         r"(?:\bblah\b[ ,.]*){2,}",
         r"(?:\basdf\b\W*){2,}",
         r"(?:\bqwer(?:ty)?\b\W*){2,}",
@@ -95,6 +88,7 @@ CLEAR = {
         r"\b(?:intente|tente) (?:de nuevo |novamente )?más tarde\b|\btente (?:novamente )?mais tarde\b|\bréessayez plus tard\b",
         r"\b(?:o serviço está|el servicio (?:está|no está)|le service est|der dienst ist) (?:\w+ )?(?:indisponível|indisponible|disponible|momentanément|vorübergehend|temporalmente)\b",
         r"\bthe repository is down\b",
+        r"^\W*(?:please )?(?:try again later|wait|loading)\b|\b(?:page )?not found\W*$|^\W*access denied\b|\bloading(?:\.{3}|…)|\bcargando(?:\.{3}|…)|\boops\b|\berror\b[^.]{0,20} 0\b|\bdisabled in your browser\b|\bunavailable\b",
     ),
     "script": (
         r"\b(?:enable|activate|turn on|switch on|allow) (?:java ?script|scripts?|scripting|cookies)\b[^.]{0,40}\b(?:to|for|in) (?:read|view|use|continue|see|display|access|this|your)\b",
@@ -112,84 +106,70 @@ CLEAR = {
         r"\bhabilite los scripts\b",
     ),
 }
-#: Shorter phrases that need a message that recurs.
-VAGUE = r"\btry again later\b|\bplease wait\b|\bpage not found\b|\bnot found\b|\baccess denied\b|\bloading\.{3}|\bloading…|\bcargando…|\boops\b|\berror\b[^.]{0,20}\d{3}|\bdisabled in your browser\b|\bunavailable\b"
 #: Words of sentences that write about placeholders, errors and scripts.
 ABOUT_SLOT = r"\b(?:tags?|annotators?|variables?|examples?|template|written as|placeholders?|called|stored as|notation|syntax)\b"
 ABOUT = r"\b(?:students?|pupils?|novices?|learn(?:s|ers?)?|teach(?:es|ers?|ing)?|courses?|unit|exercises?|examples?|annotators?|reviewers?|called|such as|paragraphs and|were (?:first )?tested|explained|when we|we checked|cited|is raised|returned an?|how to|participants|interviews?)\b"
-#: What the rules need; texts and messages with none of these substrings skip everything else.
-CUES = (
-    "{", "<%", "__", "«", "<<", "[", "@", "#", "lorem", "blah", "asdf", "qwer", "test test", "text text", "foo bar", "xxxx", "dummy", "sample", "stand-in", "replace", "insert", "your ",
-    "todo", "tbd", "fixme", "coming soon", "to follow", "supplied", "to be added", "no content", "texto de", "texte ", "steht", "beispiel", "platzhalter", "blindtext", "mustertext",
-    "aquí", "aqui", "insira", "escreva", "escriba", "inserte", "saisissez", "insérez", "http", "error", "erreur", "fehler", "erro ", "not available", "gateway", "unavailable", "moved",
-    "could", "cannot", "can't", "requests", "did not", "session", "sesión", "sessão", "sitzung", "sign in", "reload", "went wrong", "maintenance", "denied", "forbidden", "traceback",
-    "exception", "warning", "sqlstate", "query failed", "undefined", "existe", "encontrada", "introuvable", "gefunden", "denegado", "negado", "accès", "zugriff", "fue posible",
-    "foi possível", "impossible", "más tarde", "mais tarde", "plus tard", "serviço está", "servicio ", "le service est", "der dienst", "is down", "script", "skript", "cookie", "browser",
-    "are human", "are a human", "navegador", "navigateur", "active ", "ative ", "activez", "activer", "aktivieren", "habilit", "loading", "cargando", "oops", "please wait", "not found",
-    "until the real", "abstract to be ", "inserir", "digite", "introduzca", "votre ", "text hier", "titel hier", "abstract hier", "forwarding", "connection ", "restricted", "stack trace", "trouvée", "try again later",
-)
-
-
-#: Cues that are no plain substrings.
-_CUE_PATTERNS = rf"%[a-z]|<\s?{FIELD}\s?>|\b{_LATIN}\W+{_LATIN}\b|\btest\b \d*\W*test\b|\btext\b\W+text\b|\b(?:example|placeholder|filler|default) (?:text|paragraph|content|copy)\b"
-
-
-def has_cue(text: Column) -> Column:
-    """Whether any rule can match a text that went through ``flat``; one scan with shared beginnings, far cheaper than the rules."""
-    return F.lower(text).rlike(rf"{trie_pattern(CUES)}|{_CUE_PATTERNS}")
-
-
-def flat(text: Column) -> Column:
-    """A text without tags and with single spaces."""
-    plain = F.regexp_replace(text, rf"(?i)(?!<{FIELD}>)</?[a-z][a-z0-9]*(?:\s[^<>]{{0,300}})?/?>|</?title>", " ")
-    return F.regexp_replace(plain, r"[\s\x{a0}\x{ad}\x{200b}]+", " ")
+_BLOCK = r"</?(?:p|br|hr|div|li|ul|ol|td|th|tr|table|h[1-6]|html|body|head|section|article|header|footer|nav|form|script|style)\b[^<>]*>|</title>|<title>(?=[^<>]{0,300}</title>)"
+_INLINE = rf"(?<!<)(?!<{FIELD}>)</?[a-z][a-z0-9]*(?:\s[^<>]{{0,300}})?/?>(?!>)"
 
 
 def messages(text: Column) -> Column:
-    """The sentences of a text without tags and with single spaces; ``array<string>``."""
-    return F.split(flat(text), r"(?<=[.!?…]) ")
+    """The sentences and lines of a text without tags, with single spaces; a long line that ends within a sentence goes on in the next."""
+    plain = F.when(F.contains(text, F.lit("<")), F.regexp_replace(F.regexp_replace(text, rf"(?i){_BLOCK}", "\n"), rf"(?i){_INLINE}", " ")).otherwise(text)
+    lines = F.regexp_replace(plain, r"\n(?<=[^\n]{30}[\p{Ll},][ \t]{0,4}\r?\n)[ \t]*(?=\p{Ll})", " ")
+    return F.split(lines, r"\s*[\r\n]\s*|(?<=[.!?…])\s+")
 
 
 def masked(message: Column) -> Column:
-    """Lower case; numbers, addresses, dates and slot names replaced by one sign each."""
-    m = F.lower(F.trim(message))
-    m = F.regexp_replace(m, r"\b(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "⟨address⟩")
-    m = F.regexp_replace(m, SLOT, "⟨slot⟩")
-    m = F.regexp_replace(m, r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b", "⟨date⟩")
-    return F.regexp_replace(m, r"\d", "0")
+    """Lower case with single spaces; numbers, addresses, dates, codes and slot names replaced by one sign each, a repeated phrase said three times."""
+    m = F.trim(F.regexp_replace(F.lower(message), r"[\s\x{a0}\x{ad}\x{200b}]+", " "))
+    m = F.when(m.rlike(r"[@/]|www\."), F.regexp_replace(m, r"\b(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "⟨address⟩")).otherwise(m)
+    m = F.when(m.rlike(r"[{<%$«\[@#]|__"), F.regexp_replace(m, SLOT, "⟨slot⟩")).otherwise(m)
+    m = F.when(m.rlike(r"\d"), F.regexp_replace(m, r"\b[0-9a-f]*\d[0-9a-f]{5,}\b|\d+(?:[.,/:-]\d+)*", "0")).otherwise(m)
+    # one thing said over and over is the same however often
+    return F.regexp_replace(m, r"^(.{2,40}?)(?: ?\1)+[ .!?…]*$", "$1 $1 $1")
 
 
 def _any(*patterns: str) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def classified(messages_: DataFrame, min_docs: int = 3, min_sources: int = 2) -> DataFrame:
-    """Adds ``kind`` to ``(message, n_docs, n_sources)``: placeholder, filler, error, script, or null for content."""
+def classified(messages_: DataFrame) -> DataFrame:
+    """Adds ``kind`` to ``(message)``: placeholder, filler, error, script, or null for content."""
     m = F.col("message")
     about = m.rlike(ABOUT)
     kind = F.when(F.contains(m, F.lit("⟨slot⟩")) & ~m.rlike(ABOUT_SLOT), "placeholder")
-    for name, patterns in CLEAR.items():
+    for name, patterns in PHRASES.items():
         kind = kind.when(m.rlike(_any(*patterns)) & ~about, name)
-    recurs = (F.col("n_docs") >= min_docs) & (F.col("n_sources") >= min_sources)
-    kind = kind.when(recurs & m.rlike(VAGUE) & ~about & (F.length(m) <= 160), "error")
     return messages_.withColumn("kind", kind)
 
 
+def _widely(rows: DataFrame, by: str, min_docs: int, min_sources: int) -> DataFrame:
+    """``(by)`` of what occurs in enough documents and sources; ``rows(by, _source)`` has one row per document."""
+    counted = rows.groupBy(by, "_source").agg(F.count(F.lit(1)).alias("_n")) if min_sources > 2 else rows.select(by, "_source", F.lit(1).alias("_n"))
+    sources = F.count(F.lit(1)) if min_sources > 2 else F.when(F.min("_source") == F.max("_source"), 1).otherwise(2)
+    return counted.groupBy(by).agg(F.sum("_n").alias("_docs"), sources.alias("_sources")).filter((F.col("_docs") >= min_docs) & (F.col("_sources") >= min_sources)).select(by)
+
+
 def find_residue(df: DataFrame, key: str, text: str, source: str, min_docs: int = 3, min_sources: int = 2) -> DataFrame:
     """Rows ``(key, kind, n_messages)`` for every document with residue, one per kind found in it.
 
     ``df`` has a unique ``key``; rows whose text is null or empty give no row; a null ``source`` counts as one source of
-    its own. Other columns are ignored; an empty table gives an empty result. ``min_docs`` and ``min_sources`` only
-    govern the vague rules.
+    its own. ``n_messages`` counts different messages. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = df.filter(has_cue(flat(F.col(f"`{text}`")))).select(
-        F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_source"), F.explode_outer(messages(F.col(f"`{text}`"))).alias("_m")
-    )
-    rows = rows.filter(has_cue(F.col("_m"))).select("_key", "_source", masked(F.col("_m")).alias("message"))
-    rows = rows.groupBy("_key", "_source", "message").agg(F.count(F.lit(1)).alias("_n")).withColumn("_hash", F.xxhash64("message"))
-    # one message text per hash: the hash decides, the text is only read by the rules
-    groups = rows.groupBy("_hash").agg(F.min("message").alias("message"), F.count(F.lit(1)).alias("n_docs"), F.count_distinct("_source").alias("n_sources"), F.sum("_n").alias("n_all"))
-    # n_all keeps both uses of rows the same to the optimizer, which then shuffles them once
-    bad = classified(groups, min_docs, min_sources).filter(F.col("kind").isNotNull() & (F.col("n_all") > 0)).select("_hash", "kind")
-    found = rows.select("_key", "_hash", "_n").join(bad, "_hash")
-    return found.groupBy(F.col("_key").alias(key), "kind").agg(F.sum("_n").alias("n_messages"))
+    own = F.array_distinct(F.filter(F.transform(messages(F.col(f"`{text}`")), masked), lambda m: m != ""))
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))).alias("_source"), F.explode(own).alias("message"))
+    rows = written(rows.withColumn("_hash", F.xxhash64("message")))
+    # only hashes are counted; of the messages that recur one text each is classified
+    seen = rows.select("_key", "_hash", "message").join(_widely(rows, "_hash", min_docs, min_sources), "_hash")
+    bad = classified(seen.groupBy("_hash").agg(F.min("message").alias("message"))).filter(F.col("kind").isNotNull()).select("_hash", "kind")
+    recurring = rows.select("_key", "_hash").join(bad, "_hash").select("_key", "kind", "_hash")
+    words = lambda m: F.filter(F.split(m, r"\P{L}+"), lambda w: w != "")
+    seeds = rows.filter(F.startswith("message", F.lit("lorem ipsum"))).select("_key", "_source", F.explode(F.array_distinct(words(F.col("message")))).alias("_w")).distinct()
+    filler = _widely(seeds.select("_w", "_source"), "_w", min_docs, min_sources)
+    # a message of five words or more that are all filler: each of its different words finds itself there
+    parts = rows.select("_hash", F.array_distinct(words(F.col("message"))).alias("_ws"), words(F.col("message")).alias("_all")).filter(F.size("_all") >= 5)
+    parts = parts.select("_hash", F.size("_ws").alias("_n"), F.explode("_ws").alias("_w")).join(filler, "_w").groupBy("_hash", "_n", "_w").agg(F.count(F.lit(1)).alias("_k"))
+    random = parts.groupBy("_hash", "_n").agg(F.count(F.lit(1)).alias("_found")).filter("_found = _n").select("_hash")
+    scrambled = rows.select("_key", "_hash").join(random, "_hash").join(bad.select("_hash"), "_hash", "left_anti").select("_key", F.lit("filler").alias("kind"), "_hash")
+    return recurring.unionByName(scrambled).groupBy(F.col("_key").alias(key), "kind").agg(F.count(F.lit(1)).alias("n_messages"))
