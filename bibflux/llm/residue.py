@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibflux.functions.let import let
 from bibflux.session import written
 
 #: Field names that templates use; a bracketed word is a placeholder only if it is made of such names.
@@ -122,10 +123,14 @@ def messages(text: Column) -> Column:
 
 def masked(message: Column) -> Column:
     """Lower case with single spaces; numbers, addresses, dates, codes and slot names replaced by one sign each, a repeated phrase said three times."""
+
+    def step(m: Column, needs: str, pattern: str, sign: str) -> Column:
+        return let(m, lambda x: F.when(x.rlike(needs), F.regexp_replace(x, pattern, sign)).otherwise(x))
+
     m = F.trim(F.regexp_replace(F.lower(message), r"[\s\x{a0}\x{ad}\x{200b}]+", " "))
-    m = F.when(m.rlike(r"[@/]|www\."), F.regexp_replace(m, r"\b(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "⟨address⟩")).otherwise(m)
-    m = F.when(m.rlike(r"[{<%$«\[@#]|__"), F.regexp_replace(m, SLOT, "⟨slot⟩")).otherwise(m)
-    m = F.when(m.rlike(r"\d"), F.regexp_replace(m, r"\b[0-9a-f]*\d[0-9a-f]{5,}\b|\d+(?:[.,/:-]\d+)*", "0")).otherwise(m)
+    m = step(m, r"[@/]|www\.", r"\b(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "⟨address⟩")
+    m = step(m, r"[{<%$«\[@#]|__", SLOT, "⟨slot⟩")
+    m = step(m, r"\d", r"\b[0-9a-f]*\d[0-9a-f]{5,}\b|\d+(?:[.,/:-]\d+)*", "0")
     # one thing said over and over is the same however often
     return F.regexp_replace(m, r"^(.{2,40}?)(?: ?\1)+[ .!?…]*$", "$1 $1 $1")
 
@@ -166,10 +171,11 @@ def find_residue(df: DataFrame, key: str, text: str, source: str, min_docs: int
     recurring = rows.select("_key", "_hash").join(bad, "_hash").select("_key", "kind", "_hash")
     words = lambda m: F.filter(F.split(m, r"\P{L}+"), lambda w: w != "")
     seeds = rows.filter(F.startswith("message", F.lit("lorem ipsum"))).select("_key", "_source", F.explode(F.array_distinct(words(F.col("message")))).alias("_w")).distinct()
-    filler = _widely(seeds.select("_w", "_source"), "_w", min_docs, min_sources)
-    # a message of five words or more that are all filler: each of its different words finds itself there
-    parts = rows.select("_hash", F.array_distinct(words(F.col("message"))).alias("_ws"), words(F.col("message")).alias("_all")).filter(F.size("_all") >= 5)
-    parts = parts.select("_hash", F.size("_ws").alias("_n"), F.explode("_ws").alias("_w")).join(filler, "_w").groupBy("_hash", "_n", "_w").agg(F.count(F.lit(1)).alias("_k"))
-    random = parts.groupBy("_hash", "_n").agg(F.count(F.lit(1)).alias("_found")).filter("_found = _n").select("_hash")
+    filler = written(_widely(seeds.select("_w", "_source"), "_w", min_docs, min_sources))
+    # a message of five words or more that are all filler: the first of them is, and then each of its different words finds itself there
+    found = words(F.col("message"))
+    parts = rows.select("_hash", found.alias("_all"), F.get(found, F.lit(0)).alias("_w")).filter(F.size("_all") >= 5).join(filler, "_w", "left_semi")
+    parts = parts.select("_hash", F.array_distinct("_all").alias("_ws")).select("_hash", F.size("_ws").alias("_n"), F.explode("_ws").alias("_w")).join(filler, "_w")
+    random = parts.distinct().groupBy("_hash", "_n").agg(F.count(F.lit(1)).alias("_found")).filter("_found = _n").select("_hash")
     scrambled = rows.select("_key", "_hash").join(random, "_hash").join(bad.select("_hash"), "_hash", "left_anti").select("_key", F.lit("filler").alias("kind"), "_hash")
     return recurring.unionByName(scrambled).groupBy(F.col("_key").alias(key), "kind").agg(F.count(F.lit(1)).alias("n_messages"))
