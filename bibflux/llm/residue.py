@@ -166,8 +166,8 @@ def find_residue(df: DataFrame, key: str, text: str, source: str, min_docs: int
     rows = df.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))).alias("_source"), F.explode(own).alias("message"))
     rows = written(rows.withColumn("_hash", F.xxhash64("message")))
     # only hashes are counted; of the messages that recur one text each is classified
-    seen = rows.select("_key", "_hash", "message").join(_widely(rows, "_hash", min_docs, min_sources), "_hash")
-    bad = classified(seen.groupBy("_hash").agg(F.min("message").alias("message"))).filter(F.col("kind").isNotNull()).select("_hash", "kind")
+    seen = rows.select("_hash", "message").join(_widely(rows, "_hash", min_docs, min_sources), "_hash")
+    bad = written(classified(seen.groupBy("_hash").agg(F.min("message").alias("message"))).filter(F.col("kind").isNotNull()).select("_hash", "kind"))
     recurring = rows.select("_key", "_hash").join(bad, "_hash").select("_key", "kind", "_hash")
     words = lambda m: F.filter(F.split(m, r"\P{L}+"), lambda w: w != "")
     seeds = rows.filter(F.startswith("message", F.lit("lorem ipsum"))).select("_key", "_source", F.explode(F.array_distinct(words(F.col("message")))).alias("_w")).distinct()
