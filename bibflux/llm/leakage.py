@@ -1,12 +1,11 @@
 """Evaluation texts that stand in a corpus: the q-gram lemma, bands of diagonals and banded alignment.
 
-Two passages of m characters within e edits share at least m - q + 1 - e * q of their q-grams, all on diagonals (place in the
-document minus place in the item) that differ by at most e. Each document's q-grams are looked up among those of the
-items; hits are counted per item in overlapping bands of diagonals; bands below the bound are dropped. What remains is
-verified by an alignment inside the band and by the longest run of equal words.
-
-The corpus is only streamed through once, without a shuffle. The items are held by every task: they are sent in blocks of at
-most ``block_chars`` characters, whatever their number, one pass over the corpus per block.
+Texts are reduced to words. Two passages of m characters within e edits share at least m - q + 1 - e * q of their q-grams, all on diagonals (place in
+the document minus place in the item) that differ by at most e. Of any e * q + 1 q-grams of such a passage they therefore share one. The corpus is streamed
+through twice. The first time the q-grams that items have are counted, and of every passage of ``min_words`` words of an item the e * q + 1 rarest are chosen, so
+that phrases which items and corpus have in common lead nowhere. The second time these are looked up in a bitmap of fixed size, and the stretches around
+them meet their items in a join by q-gram. Where the two meet, all shared q-grams are counted in overlapping bands of diagonals, bands below the bound are
+dropped, and a banded alignment decides. Items are never collected: what their number changes is the join, not the scan.
 """
 
 from __future__ import annotations
@@ -21,240 +20,281 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bibflux.session import written
+
 _IGNORED = re.compile("[­​‌‍⁠﻿]")
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|td|th|tr|table|h[1-6]|html|body|head|title|section|article)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _BROKEN = re.compile(r"-[ \t ]*(?:\r\n|\r|\n)[ \t ]*")
-_WORD = re.compile(r"[a-z0-9]+")
-#: Characters a worker turns into q-grams at a time.
-_SLICE = 1 << 20
+#: Letters in lower case and digits as they are, all other bytes blanks.
+_PLAIN = bytes(c if chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(128)) + b" " * 128
+#: Bits of the bitmap of the items' q-grams: a megabyte, whatever the number of items.
+BITMAP_BITS = 1 << 23
 
 
-def plain_words(text: str | None) -> list[str]:
-    """The runs of a-z and 0-9 of a text without case, accents, tags, entities, invisible signs and hyphenation."""
+def plain_text(text: str | None) -> bytes:
+    """The runs of a-z and 0-9 of a text without case, accents, tags, entities, invisible signs and hyphenation, with one blank between two."""
     if not text:
-        return []
+        return b""
     if "<" in text:
         text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
     if "&" in text:
         text = html.unescape(text)
-    text = _IGNORED.sub("", text)
+    if not text.isascii():
+        text = _IGNORED.sub("", text)
     if "-" in text and ("\n" in text or "\r" in text):
         text = _BROKEN.sub("", text)
-    text = text.lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return _WORD.findall(text)
+        text = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    return b" ".join(text.encode("ascii", "replace").translate(_PLAIN).split())
+
 
+def plain_words(text: str | None) -> list[str]:
+    return plain_text(text).decode().split()
 
-def _codes(data: np.ndarray, q: int) -> np.ndarray:
-    """A number for each q-gram of a byte array: a polynomial hash, unique for q <= 8 in effect; later checks are exact anyway."""
-    n = len(data) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+
+def codes(data: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q-gram at each place; alignment decides later, so a collision costs time only."""
+    n = max(0, len(data) - q + 1)
     out = np.zeros(n, np.uint64)
     for k in range(q):
-        out = out * np.uint64(0x100000001B3) + data[k : k + n]
-    return out
+        out *= np.uint64(0x100000001B3)
+        out += data[k : k + n]
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Items:
-    """The q-grams of a block of items, and what is needed to verify against them."""
+def bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - BITMAP_BITS.bit_length() + 1)).astype(np.int64)
 
-    def __init__(self, items: list[tuple], q: int, min_words: int, edits: int):
-        self.q, self.min_words, self.edits = q, min_words, edits
-        self.ids, self.words, self.text, self.least = [], [], [], []
-        codes, owner, place = [], [], []
-        for item_id, text in items:
-            words = plain_words(text)
-            if len(words) < min_words:
-                continue
-            joined = " ".join(words)
-            ends = np.cumsum([len(w) + 1 for w in words])
-            shortest = int((ends[min_words - 1 :] - np.concatenate([[0], ends[:-min_words]])).min()) - 1
-            c = _codes(np.frombuffer(joined.encode(), np.uint8), q)
-            codes.append(c)
-            owner.append(np.full(len(c), len(self.ids), np.int32))
-            place.append(np.arange(len(c), dtype=np.int32))
-            self.ids.append(item_id)
-            self.words.append(words)
-            self.text.append(joined)
-            self.least.append(max(1, shortest - q + 1 - edits * q))
-        if not self.ids:
-            return
-        codes, owner, place = map(np.concatenate, (codes, owner, place))
-        order = np.argsort(codes, kind="stable")
-        self.codes, first = np.unique(codes[order], return_index=True)
-        self.first = np.append(first, len(codes))
-        self.owner, self.place = owner[order], place[order]
-        self.least = np.array(self.least)
-        self.shift = np.uint64(64 - 22)
-        self.known = np.zeros(1 << 22, bool)
-        self.known[self._bucket(self.codes)] = True
-
-    def _bucket(self, codes: np.ndarray) -> np.ndarray:
-        return (codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in data, item, place in item) of every shared q-gram."""
-        found = []
-        for start in range(0, len(data), _SLICE):
-            c = _codes(data[start : start + _SLICE + self.q - 1], self.q)
-            at = np.flatnonzero(self.known[self._bucket(c)])
-            k = np.searchsorted(self.codes, c[at])
-            ok = (k < len(self.codes)) & (self.codes[np.minimum(k, len(self.codes) - 1)] == c[at])
-            at, k = at[ok], k[ok]
-            n = self.first[k + 1] - self.first[k]
-            index = np.repeat(self.first[k], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            found.append((np.repeat(at + start, n), self.owner[index], self.place[index]))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-
-    def regions(self, data: np.ndarray, base: np.ndarray) -> list[tuple[int, ...]]:
-        """(document, item, diagonal, hits, first, last, item's first, item's last) of the bands that meet the bound; ``base``: where each document begins.
-
-        ``first`` and ``last`` are the places of the band's outer q-grams in the document, the other two those in the item.
-        """
-        at, item, place = self.hits(data)
-        if not len(at):
-            return []
-        doc = np.searchsorted(base, at, side="right") - 1
-        diagonal = at - base[doc] - place
-        width = 2 * (self.edits + 1)
-        rows = []
-        for offset in (0, width // 2):
-            band = (diagonal + offset) // width
-            key = np.stack([doc, item, band], 1)
-            order = np.lexsort((at, band, item, doc))
-            key, a, there = key[order], at[order], place[order]
-            new = np.append(True, (key[1:] != key[:-1]).any(1))
-            distinct = new | np.append(True, a[1:] != a[:-1])  # a place counts once per band
-            group = np.cumsum(new) - 1
-            count = np.bincount(group, distinct)
-            firsts = np.flatnonzero(new)
-            keep = count >= self.least[key[firsts, 1]]
-            lasts = np.append(firsts[1:], len(a)) - 1
-            ends = zip(a[firsts[keep]], a[lasts[keep]], there[firsts[keep]], there[lasts[keep]])
-            rows += [(int(d), int(i), int(b) * width - offset, int(n), int(x - base[d]), int(y - base[d]), int(u), int(v)) for (d, i, b), n, (x, y, u, v) in zip(key[firsts[keep]], count[keep], ends)]
-        return rows
-
-
-def banded_distance(a: str, b: str, band: int) -> int:
-    """Edit distance of a and b over alignments that stay within ``band`` of the main diagonal; ``band + 1`` if it is more."""
-    n, m = len(a), len(b)
-    if abs(n - m) > band:
-        return band + 1
-    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-    offsets = np.arange(-band, band + 1)
-    far = np.int64(n + m + 1)
-    row = np.where((offsets >= 0) & (offsets <= m), offsets, far)
-    for i in range(1, n + 1):
-        j = i + offsets
-        inside = (j >= 1) & (j <= m)
-        same = np.where(inside, y[np.clip(j - 1, 0, m - 1)] == x[i - 1], False) if m else np.zeros(len(j), bool)
-        diagonal = np.where(inside, row + ~same, far)
-        above = np.append(row[1:], far) + 1
-        best = np.minimum(diagonal, np.where((j >= 0) & (j <= m), above, far))
-        best = np.where(j == 0, i, best)
-        best = np.minimum.accumulate(best - offsets) + offsets  # moves along the row
-        row = np.where((j >= 0) & (j <= m), best, far)
-    return int(min(row[m - n + band], band + 1))
-
-
-def longest_run(item: list[str], doc: list[str], least: int) -> tuple[int, int, int]:
-    """(words, start in item, start in doc) of the longest run of equal words of at least ``least``; zeros if there is none."""
-    starts: dict[tuple, list[int]] = {}
-    for i in range(len(item) - least + 1):
-        starts.setdefault(tuple(item[i : i + least]), []).append(i)
-    best = (0, 0, 0)
-    for j in range(len(doc) - least + 1):
-        for i in starts.get(tuple(doc[j : j + least]), ()):
-            if best[0] and i - best[1] == j - best[2] and best[1] <= i < best[1] + best[0]:
-                continue  # inside the run found last
-            n = least
-            while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
-                n += 1
-            best = max(best, (n, i, j), key=lambda x: x[0])
-    return best
 
+def _ends(plain: bytes) -> np.ndarray:
+    """Where each word ends, with its blank."""
+    data = np.frombuffer(plain, np.uint8)
+    return np.append(np.flatnonzero(data == 32) + 1, len(data) + 1)
 
-def _scan(block: list[tuple], q: int, min_words: int, edits: int):
-    def verified(items: _Items, texts: list[str]) -> list[tuple]:
-        base, data = [0], []
-        for t in texts:
-            data.append(t.encode() + b"\n" * q)
-            base.append(base[-1] + len(data[-1]))
-        regions = items.regions(np.frombuffer(b"".join(data), np.uint8), np.array(base[:-1]))
-        out: dict[tuple[int, int], tuple] = {}
-        by_pair: dict[tuple[int, int], list[tuple[int, ...]]] = {}
-        for d, i, diagonal, n, *ends in regions:
-            by_pair.setdefault((d, i), []).append((n, diagonal, *ends))
-        for (d, i), bands in by_pair.items():
-            # the exact check, over the part of the document that the bands can reach
-            low = max(0, min(g for _, g, *_ in bands) - 2 * items.edits)
-            high = max(g for _, g, *_ in bands) + len(items.text[i]) + 4 * (items.edits + 1)
-            while low > 0 and texts[d][low - 1] != " ":
-                low -= 1
-            while high < len(texts[d]) and texts[d][high] != " ":
-                high += 1
-            words = texts[d][low:high].split()
-            n, at, there = longest_run(items.words[i], words, min_words)
-            if not n:
-                continue
-            n_hits, _, first, last, item_first, item_last = max(bands)
-            doc_part = texts[d][first : last + items.q]
-            item_part = items.text[i][item_first : item_last + items.q]
-            distance = 0 if item_part == doc_part else banded_distance(item_part, doc_part, 4 * (items.edits + 1))
-            out[d, i] = (n, n / len(items.words[i]), int(n_hits), distance)
-        return [(d, i, *x) for (d, i), x in out.items()]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = _Items(block, q, min_words, edits)
-        if not items.ids:
-            return
+
+def _bounds(plain: bytes, min_words: int, q: int, edits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of every passage of ``min_words`` words of an item the first q-gram and the one after the last, and how many q-grams the shortest keeps within the edits, one at least."""
+    ends = _ends(plain)
+    starts = np.append(0, ends[:-min_words])
+    after = np.maximum(ends[min_words - 1 :] - 1 - q + 1, starts + 1)
+    return starts, after, max(1, int((after - starts).min()) - edits * q)
+
+
+def _item_grams(min_words: int, q: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
+                plain = plain_text(text)
+                if plain.count(b" ") + 1 >= min_words and len(plain) >= q:
+                    grams = codes(np.frombuffer(plain, np.uint8), q)
+                    yield pd.DataFrame({"_item": item, "_gram": grams.astype(np.int64), "_place": np.arange(len(grams), dtype=np.int32)})
+
+    return run
+
+
+def _rarest(min_words: int, q: int, edits: int):
+    """Of each item's q-grams those that are among the ``edits * q + 1`` rarest of a passage."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, pieces, size, rows = [], [], 0, []
+            for item, text, grams, uses in zip(*(batch[c] for c in ("_item", "_item_text", "_grams", "_uses"))):
+                starts, after, _ = _bounds(plain_text(text), min_words, q, edits)
+                grams, uses = np.asarray(grams), np.asarray(uses)
+                chosen = np.zeros(len(grams), bool)
+                for a, b in zip(starts, after):
+                    chosen[a + np.argsort(uses[a:b], kind="stable")[: edits * q + 1]] = True
+                yield pd.DataFrame({"_item": item, "_gram": grams[chosen], "_place": np.flatnonzero(chosen).astype(np.int32)})
+
+    return run
+
+
+#: Characters of documents that a worker turns into q-grams at a time.
+_SLICE = 1 << 20
+
+
+def _slices(batches: Iterator[pd.DataFrame], q: int) -> Iterator[tuple[list, list[bytes], np.ndarray, np.ndarray]]:
+    """(keys, plain texts, where each begins, q-grams of all) of some documents at a time."""
 
-            def flush():
-                nonlocal keys, pieces, size
-                rows.extend((keys[d], items.ids[i], *x) for d, i, *x in verified(items, pieces))
-                keys, pieces, size = [], [], 0
+    def done():
+        base = np.cumsum([0, *(len(t) + q for t in texts)])
+        return keys, texts, base, codes(np.frombuffer((b"\n" * q).join([*texts, b""]), np.uint8), q)
 
-            for key, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
-                words = plain_words(text)
-                if len(words) < min_words:
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
+            keys.append(key)
+            texts.append(plain_text(text))
+            size += len(texts[-1])
+            if size >= _SLICE:
+                yield done()
+                keys, texts, size = [], [], 0
+    if keys:
+        yield done()
+
+
+def _uses(packed: bytes, q: int):
+    """How often each q-gram that the bitmap has occurs in the documents of a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+        grams, uses = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def added(found: np.ndarray):
+            both, at = np.unique(np.concatenate([grams, found]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([uses, np.ones(len(found), np.int64)]), len(both)).astype(np.int64)
+
+        for _, _, _, all_grams in _slices(batches, q):
+            grams, uses = added(all_grams[known[bucket(all_grams)]])
+            if len(grams) > _SLICE:
+                yield pd.DataFrame({"_gram": grams.astype(np.int64), "_n": uses})
+                grams, uses = grams[:0], uses[:0]
+        yield pd.DataFrame({"_gram": grams.astype(np.int64), "_n": uses})
+
+    return run
+
+
+def _stretches(packed: bytes, q: int, margin: int):
+    """The stretches of documents around the q-grams that the bitmap has, with ``margin`` characters at either end."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+        for keys, texts, base, grams in _slices(batches, q):
+            at = np.flatnonzero(known[bucket(grams)])
+            if not len(at):
+                continue
+            doc, rows = np.searchsorted(base, at, side="right") - 1, []
+            for part in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) > margin) | (np.diff(doc) > 0)) + 1):
+                d = int(doc[part[0]])
+                places, text = at[part] - base[d], texts[d]
+                low, high = max(0, int(places[0]) - margin), min(len(text), int(places[-1]) + q + margin)
+                low = text.rfind(b" ", 0, low + 1) + 1
+                high = len(text) if (end := text.find(b" ", high)) < 0 else end
+                rows.append((keys[d], low, text[low:high].decode(), np.unique(grams[at[part]]).astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["_key", "_first", "_text", "_grams"])
+
+    return run
+
+
+class _Item:
+    """An item's words, its q-grams in order, and the bound for its bands."""
+
+    def __init__(self, text: str, min_words: int, q: int, edits: int):
+        plain = plain_text(text)
+        self.words = plain.decode().split()
+        self.starts = np.append(0, _ends(plain)[:-1])
+        grams = codes(np.frombuffer(plain, np.uint8), q)
+        self.order = np.argsort(grams, kind="stable")
+        self.grams = grams[self.order]
+        self.least = _bounds(plain, min_words, q, edits)[2]
+
+    def diagonals(self, starts: np.ndarray, grams: np.ndarray, edits: int) -> tuple[int, int] | None:
+        """The outermost diagonals, in words, of the bands of a text's q-grams that meet the bound; None if no band does. ``starts``: of the text's words."""
+        low, high = (np.searchsorted(self.grams, grams, side=side) for side in ("left", "right"))
+        n = high - low
+        at = np.repeat(np.arange(len(grams)), n)
+        place = self.order[np.repeat(low, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
+        diagonal, width = at - place, 2 * (edits + 1)
+        keep = np.zeros(len(at), bool)
+        # two sets of bands, shifted by half a band: diagonals that differ by at most e share a band in one of them
+        for shift in (0, width // 2):
+            _, band = np.unique((diagonal + shift) // width, return_inverse=True)
+            keep |= (np.bincount(band) >= self.least)[band]  # an item that repeats itself counts too high, which drops nothing
+        if not keep.any():
+            return None
+        words = np.searchsorted(starts, at[keep], side="right") - np.searchsorted(self.starts, place[keep], side="right")
+        return int(words.min()), int(words.max())
+
+
+def banded_passages(item: list[str], doc: list[str], low: int, high: int, edits: int) -> list[int]:
+    """For 0 to ``edits`` edits the longest passage of ``item``, in words, that stands in ``doc`` with so many word edits at most.
+
+    The alignment stays on the diagonals (place in doc minus place in item) from ``low`` to ``high``. A passage begins and ends with equal words.
+    """
+    numbers: dict[str, int] = {}
+    b = np.array([numbers.setdefault(w, len(numbers)) for w in doc], np.int64)
+    width = high - low + 1
+    rows = [np.zeros(width, np.int64) for _ in range(edits + 1)]
+    best = [0] * (edits + 1)
+    for i, word in enumerate(item):
+        j = i + low + np.arange(width)
+        inside = (j >= 0) & (j < len(b))
+        equal = np.zeros(width, bool)
+        if (code := numbers.get(word)) is not None:
+            equal[inside] = b[j[inside]] == code
+        new: list[np.ndarray] = []
+        for e in range(edits + 1):
+            row = np.where(equal, rows[e] + 1, 0)
+            best[e] = max(best[e], int(row.max(initial=0)))
+            if e:
+                # a word replaced; one more in the item (from the diagonal above); one more in the document (same item word)
+                replaced = np.where(rows[e - 1] > 0, rows[e - 1] + 1, 0)
+                above = np.append(rows[e - 1][1:], 0)
+                missing = np.where(above > 0, above + 1, 0)
+                extra = np.insert(new[e - 1][:-1], 0, 0)
+                row = np.maximum(row, np.where(inside, np.maximum(np.maximum(replaced, missing), extra), 0))
+            new.append(row)
+        rows = new
+    for e in range(1, edits + 1):
+        best[e] = max(best[e], best[e - 1])
+    return best
+
+
+def _aligned(min_words: int, q: int, edits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items: dict = {}
+        last, starts, grams, words = None, None, None, []
+        for batch in batches:
+            rows = []
+            for key, item, text, item_text in zip(*(batch[c] for c in ("_key", "_item", "_text", "_item_text"))):
+                if item not in items:
+                    if len(items) > 10_000:
+                        items.clear()
+                    items[item] = _Item(item_text, min_words, q, edits)
+                if text != last:
+                    data = np.frombuffer(text.encode(), np.uint8)
+                    last, starts, grams, words = text, np.append(0, np.flatnonzero(data == 32) + 1), codes(data, q), text.split()
+                own = items[item]
+                if (ends := own.diagonals(starts, grams, edits)) is None:
                     continue
-                keys.append(key)
-                pieces.append(" ".join(words))
-                size += len(pieces[-1])
-                if size >= _SLICE:
-                    flush()
-            flush()
+                best = banded_passages(own.words, words, ends[0] - edits, ends[1] + edits, edits)
+                if best[-1] >= min_words:
+                    rows.append((key, item, best[-1], best[0], best[-1] / len(own.words)))
             if rows:
-                yield pd.DataFrame(rows, columns=["_key", "_item", "n_words", "coverage", "shared", "distance"])
+                yield pd.DataFrame(rows, columns=["_key", "_item", "n_words", "n_equal", "coverage"])
+
+    return run
+
 
-    return scan
+def _bitmap(grams: DataFrame) -> bytes:
+    """A bit for each bucket of q-grams; at most as many numbers as it has bits reach the driver."""
+    bits = np.zeros(BITMAP_BITS, bool)
+    n = BITMAP_BITS.bit_length() - 1
+    bits[grams.select(F.shiftrightunsigned("_gram", 64 - n).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
 
-def find_leaks(
-    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = 12, q: int = 12, edits: int = 2, block_chars: int = 8_000_000
-) -> DataFrame:
-    """Rows ``(key, item_key, n_words, coverage, shared, distance)`` for each document with ``min_words`` consecutive words of an item.
+def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = 12, q: int = 12, edits: int = 1) -> DataFrame:
+    """Rows ``(key, item_key, n_words, n_equal, coverage)`` for each document that holds ``min_words`` words of an item in a row, but for ``edits`` edits.
 
-    ``n_words`` is the longest common run, ``coverage`` its share of the item's words, ``shared`` the q-grams in the best band,
-    ``distance`` the edits between the outer q-grams of that band (one more than the alignment's band if beyond it). Null and empty texts give no row, nor do items
-    of fewer words; repeated documents and items each give their own rows. Other columns are ignored. Empty tables give no row.
+    ``n_words`` is the longest such passage, with at most so many words changed, ``coverage`` its share of the item's words, ``n_equal`` the longest one without any edit. Null and empty
+    texts give no row, nor do items of fewer words; repeated documents and items each give their own rows. Other columns are ignored. Empty tables give no row.
     """
-    length = F.coalesce(F.length(F.col(f"`{item_text}`")), F.lit(0))
-    n, chars = items.agg(F.count(F.lit(1)), F.sum(length)).first()
-    n_blocks = max(1, -(-int(chars or 0) // block_chars))
     key_type, item_type = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"_key {key_type}, _item {item_type}, n_words int, coverage double, shared int, distance int"
-    source = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).filter(F.col(f"`{text}`").isNotNull())
-    own = items.select(F.col(f"`{item_key}`"), F.col(f"`{item_text}`"))
-    out = None
-    for b in range(n_blocks):
-        part = own if n_blocks == 1 else own.filter(F.pmod(F.xxhash64(F.col(f"`{item_text}`"), F.col(f"`{item_key}`")), F.lit(n_blocks)) == b)
-        block = [(r[0], r[1]) for r in part.collect()]
-        found = source.mapInPandas(_scan(block, q, min_words, edits), schema)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnsRenamed({"_key": key, "_item": item_key})
+    own = items.select(F.col(f"`{item_key}`").alias("_item"), F.col(f"`{item_text}`").alias("_item_text")).filter(F.col("_item_text").isNotNull())
+    source = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).filter(F.col("_text").isNotNull())
+    grams = written(own.mapInPandas(_item_grams(min_words, q), f"_item {item_type}, _gram long, _place int"))
+    uses = source.mapInPandas(_uses(_bitmap(grams), q), "_gram long, _n long").unionByName(grams.select("_gram", F.lit(1).cast("long").alias("_n")))
+    uses = written(uses.groupBy("_gram").agg(F.sum("_n").alias("_n")).join(grams.select("_gram").distinct(), "_gram", "left_semi"))
+    listed = F.array_sort(F.collect_list(F.struct("_place", "_gram", "_n")))
+    by_item = grams.join(uses, "_gram").groupBy("_item").agg(listed.alias("_l")).select("_item", F.col("_l._gram").alias("_grams"), F.col("_l._n").alias("_uses"))
+    rare = written(by_item.join(own.groupBy("_item").agg(F.first("_item_text").alias("_item_text")), "_item").mapInPandas(_rarest(min_words, q, edits), f"_item {item_type}, _gram long, _place int"))
+    # a passage that holds a chosen q-gram reaches no further from it than the item is long
+    longest = int(own.agg(F.coalesce(F.max(F.length("_item_text")), F.lit(0))).first()[0])
+    found = source.mapInPandas(_stretches(_bitmap(rare), q, longest), f"_key {key_type}, _first int, _text string, _grams array<long>")
+    found = written(found)
+    met = found.select("_key", "_first", F.explode("_grams").alias("_gram")).join(rare.select("_gram", "_item").distinct(), "_gram").select("_key", "_first", "_item").distinct()
+    pairs = met.join(found.select("_key", "_first", "_text"), ["_key", "_first"]).join(own, "_item")
+    aligned = pairs.mapInPandas(_aligned(min_words, q, edits), f"_key {key_type}, _item {item_type}, n_words int, n_equal int, coverage double")
+    best = aligned.groupBy("_key", "_item").agg(*(F.max(c).alias(c) for c in ("n_words", "n_equal", "coverage")))
+    return best.withColumnsRenamed({"_key": key, "_item": item_key})

@@ -135,11 +135,13 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    """Passages with edits inside count too."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return leaks.withColumn("coverage", F.round("coverage", 6))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_leaks(spark, sf_dir).filter("n_words >= 12").select("doc_id", "item_id")
+    return p9_leaks(spark, sf_dir).filter("n_equal >= 12").select("doc_id", "item_id")
 
 
 def p10_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +153,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p4_found, p4_matches, p5_found, p6_found, p6_scores, p7_found, p7_associations, p7_pairs, p8_pack, p9_found, p10_found, p10_residue)
+    f.__name__: f for f in (p2_found, p3_found, p4_found, p4_matches, p5_found, p6_found, p6_scores, p7_found, p7_associations, p7_pairs, p8_pack, p9_found, p9_leaks, p10_found, p10_residue)
 }
 
 
