@@ -63,8 +63,11 @@ def codes(data: np.ndarray, q: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - BITMAP_BITS.bit_length() + 1)).astype(np.int64)
+def _known(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which q-grams a bitmap may hold: both bits of a q-gram that it holds are set."""
+    shift = np.uint64(64 - (BITMAP_BITS.bit_length() - 1))
+    at = np.flatnonzero(bits[(grams >> shift).astype(np.int64)])
+    return at[bits[((grams[at] << np.uint64(64 - int(shift))) >> shift).astype(np.int64)]]
 
 
 def _ends(plain: bytes) -> np.ndarray:
@@ -104,7 +107,7 @@ def _rarest(min_words: int, q: int, edits: int):
                 chosen = np.zeros(len(grams), bool)
                 for a, b in zip(starts, after):
                     chosen[a + np.argsort(uses[a:b], kind="stable")[: edits * q + 1]] = True
-                yield pd.DataFrame({"_item": item, "_gram": grams[chosen], "_place": np.flatnonzero(chosen).astype(np.int32)})
+                yield pd.DataFrame({"_item": item, "_gram": np.unique(grams[chosen]), "_span": int((after - starts).max()) + q})
 
     return run
 
@@ -145,7 +148,7 @@ def _uses(packed: bytes, q: int):
             return both, np.bincount(at, np.concatenate([uses, np.ones(len(found), np.int64)]), len(both)).astype(np.int64)
 
         for _, _, _, all_grams in _slices(batches, q):
-            grams, uses = added(all_grams[known[bucket(all_grams)]])
+            grams, uses = added(all_grams[_known(all_grams, known)])
             if len(grams) > _SLICE:
                 yield pd.DataFrame({"_gram": grams.astype(np.int64), "_n": uses})
                 grams, uses = grams[:0], uses[:0]
@@ -160,7 +163,7 @@ def _stretches(packed: bytes, q: int, margin: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
         for keys, texts, base, grams in _slices(batches, q):
-            at = np.flatnonzero(known[bucket(grams)])
+            at = _known(grams, known)
             if not len(at):
                 continue
             doc, rows = np.searchsorted(base, at, side="right") - 1, []
@@ -176,12 +179,16 @@ def _stretches(packed: bytes, q: int, margin: int):
     return run
 
 
+def _numbers(text: str) -> np.ndarray:
+    return np.array([hash(w) for w in text.split()], np.int64)
+
+
 class _Item:
     """An item's words, its q-grams in order, and the bound for its bands."""
 
     def __init__(self, text: str, min_words: int, q: int, edits: int):
         plain = plain_text(text)
-        self.words = plain.decode().split()
+        self.words = _numbers(plain.decode())
         self.starts = np.append(0, _ends(plain)[:-1])
         grams = codes(np.frombuffer(plain, np.uint8), q)
         self.order = np.argsort(grams, kind="stable")
@@ -206,44 +213,33 @@ class _Item:
         return int(words.min()), int(words.max())
 
 
-def banded_passages(item: list[str], doc: list[str], low: int, high: int, edits: int) -> list[int]:
+def banded_passages(item: np.ndarray, doc: np.ndarray, low: int, high: int, edits: int) -> list[int]:
     """For 0 to ``edits`` edits the longest passage of ``item``, in words, that stands in ``doc`` with so many word edits at most.
 
-    The alignment stays on the diagonals (place in doc minus place in item) from ``low`` to ``high``. A passage begins and ends with equal words.
+    Both are arrays of numbers that stand for words. The alignment stays on the diagonals (place in doc minus place in item) from ``low`` to ``high``. A passage begins and ends with equal words.
     """
-    numbers: dict[str, int] = {}
-    b = np.array([numbers.setdefault(w, len(numbers)) for w in doc], np.int64)
-    width = high - low + 1
-    rows = [np.zeros(width, np.int64) for _ in range(edits + 1)]
-    best = [0] * (edits + 1)
-    for i, word in enumerate(item):
-        j = i + low + np.arange(width)
-        inside = (j >= 0) & (j < len(b))
-        equal = np.zeros(width, bool)
-        if (code := numbers.get(word)) is not None:
-            equal[inside] = b[j[inside]] == code
-        new: list[np.ndarray] = []
-        for e in range(edits + 1):
-            row = np.where(equal, rows[e] + 1, 0)
-            best[e] = max(best[e], int(row.max(initial=0)))
-            if e:
-                # a word replaced; one more in the item (from the diagonal above); one more in the document (same item word)
-                replaced = np.where(rows[e - 1] > 0, rows[e - 1] + 1, 0)
-                above = np.append(rows[e - 1][1:], 0)
-                missing = np.where(above > 0, above + 1, 0)
-                extra = np.insert(new[e - 1][:-1], 0, 0)
-                row = np.maximum(row, np.where(inside, np.maximum(np.maximum(replaced, missing), extra), 0))
-            new.append(row)
-        rows = new
-    for e in range(1, edits + 1):
-        best[e] = max(best[e], best[e - 1])
+    n, width = len(item), high - low + 1
+    i, d = np.arange(n)[None, :], np.arange(width)[:, None]
+    j = i + d + low
+    equal = (j >= 0) & (j < len(doc))
+    equal &= doc[np.clip(j, 0, len(doc) - 1)] == item[None, :]
+    # words of the run of equal ones that ends here
+    run = i + 1 - np.maximum.accumulate(np.where(equal, 0, i + 1), axis=1)
+    best, passage, before = [int(run.max(initial=0))], run, i - run
+    for _ in range(edits):
+        # what an edit just before the run goes on from: a word replaced, one that the document lacks, one that it has besides
+        p = np.pad(passage, ((1, 1), (2, 0)))
+        replaced, lacking, besides = p[d + 1, before + 1], p[d + 2, before + 1], p[d, before + 2]
+        earlier = np.maximum(np.where(replaced > 0, replaced + 1, 0), np.maximum(np.where(lacking > 0, lacking + 1, 0), besides))
+        passage = np.maximum(passage, np.where((run > 0) & (before >= 0), run + earlier, run))
+        best.append(int(passage.max(initial=0)))
     return best
 
 
 def _aligned(min_words: int, q: int, edits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items: dict = {}
-        last, starts, grams, words = None, None, None, []
+        last, starts, grams, words = None, None, None, None
         for batch in batches:
             rows = []
             for key, item, text, item_text in zip(*(batch[c] for c in ("_key", "_item", "_text", "_item_text"))):
@@ -253,7 +249,7 @@ def _aligned(min_words: int, q: int, edits: int):
                     items[item] = _Item(item_text, min_words, q, edits)
                 if text != last:
                     data = np.frombuffer(text.encode(), np.uint8)
-                    last, starts, grams, words = text, np.append(0, np.flatnonzero(data == 32) + 1), codes(data, q), text.split()
+                    last, starts, grams, words = text, np.append(0, np.flatnonzero(data == 32) + 1), codes(data, q), _numbers(text)
                 own = items[item]
                 if (ends := own.diagonals(starts, grams, edits)) is None:
                     continue
@@ -267,10 +263,11 @@ def _aligned(min_words: int, q: int, edits: int):
 
 
 def _bitmap(grams: DataFrame) -> bytes:
-    """A bit for each bucket of q-grams; at most as many numbers as it has bits reach the driver."""
+    """Two bits for each q-gram; at most as many numbers as it has bits reach the driver."""
     bits = np.zeros(BITMAP_BITS, bool)
     n = BITMAP_BITS.bit_length() - 1
-    bits[grams.select(F.shiftrightunsigned("_gram", 64 - n).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
+    both = F.array(F.shiftrightunsigned("_gram", 64 - n), F.shiftrightunsigned(F.shiftleft("_gram", n), 64 - n))
+    bits[grams.select(F.explode(both).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -288,12 +285,12 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     uses = written(uses.groupBy("_gram").agg(F.sum("_n").alias("_n")).join(grams.select("_gram").distinct(), "_gram", "left_semi"))
     listed = F.array_sort(F.collect_list(F.struct("_place", "_gram", "_n")))
     by_item = grams.join(uses, "_gram").groupBy("_item").agg(listed.alias("_l")).select("_item", F.col("_l._gram").alias("_grams"), F.col("_l._n").alias("_uses"))
-    rare = written(by_item.join(own.groupBy("_item").agg(F.first("_item_text").alias("_item_text")), "_item").mapInPandas(_rarest(min_words, q, edits), f"_item {item_type}, _gram long, _place int"))
-    # a passage that holds a chosen q-gram reaches no further from it than the item is long
-    longest = int(own.agg(F.coalesce(F.max(F.length("_item_text")), F.lit(0))).first()[0])
-    found = source.mapInPandas(_stretches(_bitmap(rare), q, longest), f"_key {key_type}, _first int, _text string, _grams array<long>")
+    rare = written(by_item.join(own.groupBy("_item").agg(F.first("_item_text").alias("_item_text")), "_item").mapInPandas(_rarest(min_words, q, edits), f"_item {item_type}, _gram long, _span int"))
+    # every passage of min_words words holds a chosen q-gram, so one that is found ends no further from such a one than they are long
+    span = int(rare.agg(F.coalesce(F.max("_span"), F.lit(0))).first()[0]) + edits
+    found = source.mapInPandas(_stretches(_bitmap(rare), q, span), f"_key {key_type}, _first int, _text string, _grams array<long>")
     found = written(found)
-    met = found.select("_key", "_first", F.explode("_grams").alias("_gram")).join(rare.select("_gram", "_item").distinct(), "_gram").select("_key", "_first", "_item").distinct()
+    met = found.select("_key", "_first", F.explode("_grams").alias("_gram")).join(rare.select("_gram", "_item"), "_gram").select("_key", "_first", "_item").distinct()
     pairs = met.join(found.select("_key", "_first", "_text"), ["_key", "_first"]).join(own, "_item")
     aligned = pairs.mapInPandas(_aligned(min_words, q, edits), f"_key {key_type}, _item {item_type}, n_words int, n_equal int, coverage double")
     best = aligned.groupBy("_key", "_item").agg(*(F.max(c).alias(c) for c in ("n_words", "n_equal", "coverage")))
