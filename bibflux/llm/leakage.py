@@ -266,8 +266,8 @@ def _bitmap(grams: DataFrame) -> bytes:
     """Two bits for each q-gram; at most as many numbers as it has bits reach the driver."""
     bits = np.zeros(BITMAP_BITS, bool)
     n = BITMAP_BITS.bit_length() - 1
-    both = F.array(F.shiftrightunsigned("_gram", 64 - n), F.shiftrightunsigned(F.shiftleft("_gram", n), 64 - n))
-    bits[grams.select(F.explode(both).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
+    both = F.array(F.shiftrightunsigned("_gram", 64 - n).cast("int"), F.shiftrightunsigned(F.shiftleft("_gram", n), 64 - n).cast("int"))
+    bits[grams.select(F.explode(both).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
