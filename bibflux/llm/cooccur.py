@@ -2,8 +2,8 @@
 
 Equal baskets are counted once with a weight before anything is paired, so a basket that a third of all
 records repeat costs as much as one. Baskets of up to ``chunk`` items make their pairs inside their row.
-Larger ones are split into chunks of that many items; each two chunks are one unit of work, and the units are
-spread over all tasks before they make their pairs, so no task ever holds all pairs of a huge basket.
+Larger ones are cut into chunks of that many items, a row each; every two chunks of a basket are one unit of work, and the units, numbers
+at first, get their two chunks by equality joins that spread them over all tasks. So no task ever holds all pairs of a huge basket, and no row more than two chunks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibflux.functions.let import let
-from bibflux.session import cut_lineage
+from bibflux.session import written
 
 
 def _pairs_within(items: Column) -> Column:
@@ -37,23 +37,22 @@ def pair_associations(baskets: DataFrame, items: str = "items", n_records: DataF
     """
     col = F.col(f"`{items}`")
     own = baskets.select(F.sort_array(F.array_distinct(F.filter(col, lambda x: x.isNotNull()))).alias("_items")).filter(F.size("_items") > 0)
-    own = cut_lineage(own.groupBy("_items").agg(F.count(F.lit(1)).alias("_w")))  # read four times below
+    own = written(own.groupBy("_items").agg(F.count(F.lit(1)).alias("_w")))  # read four times below
     counts = own.select(F.explode("_items").alias("item"), "_w").groupBy("item").agg(F.sum("_w").alias("n_item"))
     if n_records is None:
-        n_records = own.agg(F.sum("_w").alias("n"))
+        n_records = own.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"))
     small = own.filter(F.size("_items") <= chunk).select("_w", F.explode_outer(_pairs_within(F.col("_items"))).alias("_p"))
-    big = own.filter(F.size("_items") > chunk)
-    n_chunks = F.ceil(F.size("_items") / chunk).cast("int")
-    units = big.select("_w", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("_i"), "_items", n_chunks.alias("_m"))
-    units = units.select("_w", "_i", F.explode(F.sequence(F.col("_i"), F.col("_m") - 1)).alias("_j"), "_items")
-    cut = lambda k: F.slice("_items", F.col(k) * chunk + 1, F.lit(chunk))
-    units = units.select("_w", (F.col("_i") == F.col("_j")).alias("_same"), cut("_i").alias("_l"), cut("_j").alias("_r"))
-    units = units.repartition(F.xxhash64("_l", "_r"))
-    large = units.select("_w", F.explode_outer(F.when(F.col("_same"), _pairs_within(F.col("_l"))).otherwise(_pairs_between(F.col("_l"), F.col("_r")))).alias("_p"))
+    big = own.filter(F.size("_items") > chunk).withColumn("_m", F.ceil(F.size("_items") / chunk).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda i: F.slice("_items", i * chunk + 1, F.lit(chunk)))
+    chunks = big.select(F.struct(F.xxhash64("_items"), F.hash("_items"), F.size("_items")).alias("_b"), "_w", "_m", F.posexplode(cut).alias("_i", "_c"))
+    other = chunks.select("_b", F.col("_i").alias("_j"), F.col("_c").alias("_d"))
+    units = chunks.select("_b", "_i", F.explode(F.sequence(F.col("_i"), F.col("_m") - 1)).alias("_j"))
+    units = units.join(other, ["_b", "_j"]).join(chunks.select("_b", "_i", "_w", "_c"), ["_b", "_i"])
+    large = units.select("_w", F.explode_outer(F.when(F.col("_i") == F.col("_j"), _pairs_within(F.col("_c"))).otherwise(_pairs_between(F.col("_c"), F.col("_d")))).alias("_p"))
     pairs = small.unionByName(large).filter(F.col("_p").isNotNull()).groupBy("_p.item_a", "_p.item_b").agg(F.sum("_w").alias("n_ab")).filter(F.col("n_ab") >= min_pairs)
     a = counts.select(F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))
     b = counts.select(F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
-    n = n_records.select(F.col(n_records.columns[0]).cast("long").alias("n"), F.lit(1).alias("_one"))
-    out = pairs.join(a, "item_a").join(b, "item_b").withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")  # n is one row
+    n = int(n_records.first()[0])
+    out = pairs.join(a, "item_a").join(b, "item_b").withColumn("n", F.lit(n).cast("long"))
     lift = F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
     return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", lift.alias("lift"), F.log2(lift).alias("pmi"))

@@ -3,7 +3,7 @@
 For a term that occurs o times in a record of r tokens and t times among all n tokens, e = r * t / n is
 expected. The standardised residual (o - e) / sqrt(e) has the variance (1 - r/n) * (1 - t/n);
 the score is the residual divided by the square root of that (the adjusted residual).
-Everything is DataFrame arithmetic. A record's own counts are made inside its row, so the only
+Everything is DataFrame arithmetic. A record's own counts are made inside its row and written once, so the only
 shuffles are the one of the vocabulary (combined before it moves) and the one that brings each term's totals back.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibflux.functions.blank import is_blank
-from bibflux.functions.let import let
+from bibflux.functions.text import counted
+from bibflux.session import written
 
 
 def terms_of(text: Column, min_letters: int = 5) -> Column:
@@ -21,17 +22,6 @@ def terms_of(text: Column, min_letters: int = 5) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{min_letters},}}"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _runs(terms: Column) -> Column:
-    """``array<struct<term,tf>>`` of an array of terms: its sorted runs, linear after the sort."""
-
-    def runs(ordered: Column) -> Column:
-        n = F.size(ordered)
-        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-        return let(first, lambda at: F.transform(at, lambda s, k: F.struct(F.get(ordered, s).alias("term"), (F.coalesce(F.get(at, k + 1), n) - s).cast("long").alias("tf"))))
-
-    return F.when(F.size(terms) > 0, let(F.sort_array(terms), runs))
-
-
 def term_scores(df: DataFrame, key: str, text: str, min_letters: int = 5) -> DataFrame:
     """Rows ``(key, term, tf, df, score)`` for each term of each record's text.
 
@@ -41,11 +31,12 @@ def term_scores(df: DataFrame, key: str, text: str, min_letters: int = 5) -> Dat
     ``text`` are ignored; an empty table gives an empty result.
     """
     rows = df.filter(~is_blank(F.col(f"`{text}`"))).select(F.col(f"`{key}`").alias("_key"), terms_of(F.col(f"`{text}`"), min_letters).alias("_terms"))
-    rows = rows.select("_key", F.size("_terms").cast("double").alias("_row"), F.explode_outer(_runs(F.col("_terms"))).alias("_t"))
-    rows = rows.filter(F.col("_t").isNotNull()).select("_key", "_row", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
-    totals = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("double").alias("_col"))
-    everything = totals.agg(F.sum("_col").alias("_n"), F.lit(1).alias("_one"))
-    totals = totals.withColumn("_one", F.lit(1)).join(F.broadcast(everything), "_one").drop("_one")  # one row
+    # one row per record with its counts, written once: the texts are read and cut into terms a single time
+    counts = written(rows.select("_key", F.size("_terms").cast("double").alias("_row"), counted(F.col("_terms")).alias("_t")).filter("_t is not null"))
+    rows = counts.select("_key", "_row", F.explode("_t").alias("_t")).select("_key", "_row", F.col("_t.item").alias("term"), F.col("_t.k").alias("tf"))
+    totals = written(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("double").alias("_col")))
+    n = totals.agg(F.coalesce(F.sum("_col"), F.lit(0.0))).first()[0]
+    totals = totals.withColumn("_n", F.lit(n))
     expected = F.col("_row") * F.col("_col") / F.col("_n")
     variance = (1 - F.col("_row") / F.col("_n")) * (1 - F.col("_col") / F.col("_n"))
     score = F.when(variance <= 0, F.lit(0.0)).otherwise((F.col("tf") - expected) / F.sqrt(expected * variance))

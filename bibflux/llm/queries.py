@@ -16,7 +16,7 @@ from bibflux.llm.countries import country_names
 from bibflux.llm.distinctive import term_scores
 from bibflux.llm.leakage import find_leaks
 from bibflux.llm.linkage import link_between, link_within, profile
-from bibflux.llm.packing import pack_documents
+from bibflux.llm.packing import certificate, pack_documents
 from bibflux.llm.residue import find_residue
 from bibflux.llm.survivors import survivors
 from bibflux.llm.variants import person_variants, venue_variants
@@ -117,7 +117,7 @@ def p7_pairs(spark: SparkSession, sf_dir: str, min_pairs: int = 1) -> DataFrame:
     by_keyword = pair_associations(keywords, min_pairs=min_pairs)
     by_concept = pair_associations(concepts, n_records=abstracts.agg(F.count(F.lit(1)).alias("n")), min_pairs=min_pairs)
     both = by_keyword.withColumn("field", F.lit("keywords")).unionByName(by_concept.withColumn("field", F.lit("abstract")))
-    return both.withColumns({"lift": F.round("lift", 6), "pmi": F.round("pmi", 6)})
+    return both.withColumns({"lift": F.round("lift", 9), "pmi": F.round("pmi", 9)})
 
 
 def p7_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +130,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_associations(spark, sf_dir).filter(strong).select("field", "item_a", "item_b")
 
 
+def p7_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that evaluation sets share: few baskets, each of many hundred items, which go through chunks."""
+    words = table(spark, sf_dir, "eval_items").select("item_set", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{5,}"), F.lit(0))).alias("w"))
+    baskets = words.groupBy("item_set").agg(F.collect_set("w").alias("items"))
+    return pair_associations(baskets, min_pairs=2).withColumns({"lift": F.round("lift", 9), "pmi": F.round("pmi", 9)})
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return certificate(written(p8_pack(spark, sf_dir)))
+
+
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages with edits inside count too."""
     leaks = find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
@@ -153,15 +164,15 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p4_found, p4_matches, p5_found, p6_found, p6_scores, p7_found, p7_associations, p7_pairs, p8_pack, p9_found, p9_leaks, p10_found, p10_residue)
+    f.__name__: f for f in (p2_found, p3_found, p4_found, p4_matches, p5_found, p6_found, p6_scores, p7_found, p7_associations, p7_pairs, p7_wide, p8_pack, p8_certificate, p9_found, p9_leaks, p10_found, p10_residue)
 }
 
 
-def _pairs_sql(items: str, n: str) -> str:
+def _pairs_sql(items: str, n: str, least: int = 4) -> str:
     """Pair counts of ``items(r, item)``; ``n`` counts the records."""
     return (
-        f"i as materialized ({items}), c as (select item, count(*) as k from i group by 1), n as ({n}), p as (select a.item as item_a, b.item as item_b, count(*) as n_ab from i a join i b on a.r = b.r and a.item < b.item group by 1, 2 having count(*) >= 4)"
-        " select item_a, item_b, n_ab, x.k as n_a, y.k as n_b, n.n, round(n_ab::double * n.n / (x.k::double * y.k), 6) as lift, round(log2(n_ab::double * n.n / (x.k::double * y.k)), 6) as pmi from p join c x on x.item = item_a join c y on y.item = item_b, n"
+        f"i as materialized ({items}), c as (select item, count(*) as k from i group by 1), n as ({n}), p as (select a.item as item_a, b.item as item_b, count(*) as n_ab from i a join i b on a.r = b.r and a.item < b.item group by 1, 2 having count(*) >= {least})"
+        " select item_a, item_b, n_ab, x.k as n_a, y.k as n_b, n.n, round(n_ab::double * n.n / (x.k::double * y.k), 9) as lift, round(log2(n_ab::double * n.n / (x.k::double * y.k)), 9) as pmi from p join c x on x.item = item_a join c y on y.item = item_b, n"
     )
 
 
@@ -169,10 +180,17 @@ _KEYWORD_ITEMS = f"select distinct record_id as r, lower(unnest({sql_packed('key
 _SPACED = "' ' || regexp_replace(lower({c}), '\\P{{L}}+', ' ', 'g') || ' '"
 _CONCEPT_ITEMS = f"select record_id as r, term as item from unified join concept_terms on contains({_SPACED.format(c='abstract')}, ' ' || trim({_SPACED.format(c='term')}, ' ') || ' ') where not {sql_blank('abstract')}"
 _N_ABSTRACTS = f"select count(*) as n from unified where not {sql_blank('abstract')}"
-_ASSOCIATIONS = (
-    f"select 'keywords' as field, * from (with {_pairs_sql(_KEYWORD_ITEMS, 'select count(distinct r) as n from i')})"
-    f" union all select 'abstract', * from (with {_pairs_sql(_CONCEPT_ITEMS, _N_ABSTRACTS)})"
-)
+_SET_WORDS = "select distinct item_set as r, unnest(regexp_extract_all(lower(text), '\\p{L}{5,}')) as item from eval_items"
+
+
+def _every(least: int) -> str:
+    return (
+        f"select 'keywords' as field, * from (with {_pairs_sql(_KEYWORD_ITEMS, 'select count(distinct r) as n from i', least)})"
+        f" union all select 'abstract', * from (with {_pairs_sql(_CONCEPT_ITEMS, _N_ABSTRACTS, least)})"
+    )
+
+
+_ASSOCIATIONS = _every(4)
 
 ORACLE: dict[str, str] = {
     "p6_found": (
@@ -186,4 +204,6 @@ ORACLE: dict[str, str] = {
     ),
     "p7_found": f"select field, item_a, item_b from ({_ASSOCIATIONS}) where n_ab * n >= 4 * n_a * n_b",
     "p7_associations": _ASSOCIATIONS,
+    "p7_pairs": _every(1),
+    "p7_wide": f"with {_pairs_sql(_SET_WORDS, 'select count(distinct r) as n from i', 2)}",
 }
