@@ -225,14 +225,18 @@ def banded_passages(item: np.ndarray, doc: np.ndarray, low: int, high: int, edit
     equal &= doc[np.clip(j, 0, len(doc) - 1)] == item[None, :]
     # words of the run of equal ones that ends here
     run = i + 1 - np.maximum.accumulate(np.where(equal, 0, i + 1), axis=1)
-    best, passage, before = [int(run.max(initial=0))], run, i - run
+    best, state = [int(run.max(initial=0))], run
+    # a run and the place before it are one segment; what an edit leaves anywhere in it can go on to its end
+    segment = np.cumsum(~equal, axis=1) * (4 * n)
     for _ in range(edits):
-        # what an edit just before the run goes on from: a word replaced, one that the document lacks, one that it has besides
-        p = np.pad(passage, ((1, 1), (2, 0)))
-        replaced, lacking, besides = p[d + 1, before + 1], p[d + 2, before + 1], p[d, before + 2]
-        earlier = np.maximum(np.where(replaced > 0, replaced + 1, 0), np.maximum(np.where(lacking > 0, lacking + 1, 0), besides))
-        passage = np.maximum(passage, np.where((run > 0) & (before >= 0), run + earlier, run))
-        best.append(int(passage.max(initial=0)))
+        # an edit: a word replaced, one that the document lacks, one that it has besides
+        p = np.pad(state, ((1, 1), (1, 0)))
+        replaced, lacking, besides = p[1:-1, :-1], p[2:, :-1], p[:-2, 1:]
+        edited = np.maximum(np.where(replaced > 0, replaced + 1, 0), np.maximum(np.where(lacking > 0, lacking + 1, 0), besides))
+        carried = np.maximum.accumulate(segment + np.where(edited > 0, edited - i, -2 * n), axis=1) - segment
+        ended = np.where(equal, np.maximum(run, np.pad(carried, ((0, 0), (1, 0)), constant_values=-2 * n)[:, :-1] + i), 0)
+        state = np.maximum(state, np.maximum(edited, ended))
+        best.append(max(best[-1], int(ended.max(initial=0))))
     return best
 
 

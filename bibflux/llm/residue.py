@@ -42,13 +42,13 @@ SLOT = "(?:" + "|".join(SLOTS) + ")"
 PHRASES = {
     "filler": (
         r"\blorem ipsum\b",
-        r"(?:\bblah\b[ ,.]*){2,}",
-        r"(?:\basdf\b\W*){2,}",
-        r"(?:\bqwer(?:ty)?\b\W*){2,}",
-        r"(?:\btest\b \d*\W*){2,}",
-        r"(?:\btext\b\W*){3,}",
-        r"(?:\bfoo bar\b\W*){1,}",
-        r"\bx{4,}\b(?:\W+x{3,}\b)+",
+        r"(?:\bblah\b[ ,.]*){2}",
+        r"(?:\basdf\b\W{0,9}){2}",
+        r"(?:\bqwer(?:ty)?\b\W{0,9}){2}",
+        r"(?:\btest\b \d*\W{0,9}){2}",
+        r"(?:\btext\b\W{0,9}){3}",
+        r"\bfoo bar\b",
+        r"\bx{4,}\W+x{3,}\b",
         r"\bdummy (?:text|paragraph|content|copy)\b",
         r"\b(?:this is|replace this) (?:some |a )?(?:sample|example|dummy|placeholder|filler|default) (?:text|paragraph|content|copy)\b",
         r"\b(?:stand-in|placeholder) until the real\b",
@@ -131,8 +131,19 @@ def masked(message: Column) -> Column:
     m = step(m, r"[@/]|www\.", r"\b(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "⟨address⟩")
     m = step(m, r"[{<%$«\[@#]|__", SLOT, "⟨slot⟩")
     m = step(m, r"\d", r"\b[0-9a-f]*\d[0-9a-f]{5,}\b|\d+(?:[.,/:-]\d+)*", "0")
-    # one thing said over and over is the same however often
-    return F.regexp_replace(m, r"^(.{2,40}?)(?: ?\1)+[ .!?…]*$", "$1 $1 $1")
+    return let(m, _said_once)
+
+
+def _said_once(m: Column) -> Column:
+    """A message that says one thing over and over says it three times; no pattern runs along the whole message, which may be very long."""
+    unit = F.regexp_extract(m, r"^(.{2,40}?) ?\1(?: ?\1|[ .!?…]*$)", 1)
+
+    def checked(s: Column) -> Column:
+        whole = s["x"] == F.repeat(s["y"], F.floor(F.length(s["x"]) / F.greatest(F.length(s["y"]), F.lit(1))).cast("int"))
+        return F.when(whole, F.concat_ws(" ", s["u"], s["u"], s["u"])).otherwise(m)
+
+    bare = lambda c: F.regexp_replace(c, "[ .!?…]", "")
+    return let(unit, lambda u: F.when(u == "", m).otherwise(let(F.struct(F.trim(u).alias("u"), bare(m).alias("x"), bare(u).alias("y")), checked)))
 
 
 def _any(*patterns: str) -> str:
