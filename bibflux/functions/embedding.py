@@ -29,6 +29,16 @@ def mean_by(df: DataFrame, group: str, vector: str) -> DataFrame:
     return rows.groupBy(group, (F.col("_p") + 1).cast("int").alias("pos")).agg(F.avg(F.col("_x").cast("double")).alias("mean"))
 
 
+def text_vectors(words: DataFrame, key: str, word: str, vectors: DataFrame, vector: str) -> DataFrame:
+    """Rows ``(key, vector)``: the mean of the vectors of a text's words, each as often as it stands there; words without a vector do not count, texts of none have no row.
+
+    ``words(key, word)`` has a row per word of a text, ``vectors(word, vector)`` one per known word.
+    """
+    known = words.select(key, F.col(word).alias("_w")).join(vectors.select(F.col(word).alias("_w"), F.col(vector).alias("_v")), "_w")
+    means = known.select(key, F.posexplode("_v").alias("_p", "_x")).groupBy(key, "_p").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias(vector))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
     """Rows ``(query_id, neighbour_id, cosine)``: the ``k`` vectors of highest cosine for each query, itself left out; ties by smaller id.
 

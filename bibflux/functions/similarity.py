@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibflux.functions.let import let
@@ -118,5 +120,27 @@ def vector_cosine(x: Column, y: Column) -> Column:
     return F.greatest(F.lit(0.0), _cosine(x, y))
 
 
+def encoded_similarity(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Cosine of the vectors ``x`` and ``y`` of two texts, never negative; 1 for two blank texts, 0 for one."""
+    blank = lambda c: F.trim(c) == ""
+    return F.when(blank(a) & blank(b), 1.0).when(blank(a) | blank(b), 0.0).otherwise(vector_cosine(x, y))
+
+
 #: The registry of measures over texts.
 MEASURES = {"levenshtein": levenshtein_similarity, "jaccard": jaccard_similarity, "cosine_tfidf": cosine_similarity, "hamming": hamming_similarity}
+
+
+def score_table(pairs: DataFrame, a: str, b: str, measures: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """The columns of ``pairs`` but the two texts, with a row ``(measure, similarity)`` for each chosen measure, to four places; null where a measure gives none."""
+    chosen = MEASURES if measures is None else measures
+    keys = [c for c in pairs.columns if c not in (a, b)]
+    scores = F.array(*(F.struct(F.lit(name).alias("measure"), F.round(f(F.col(a), F.col(b)), 4).alias("similarity")) for name, f in chosen.items()))
+    return pairs.select(*keys, F.explode(scores).alias("_s")).select(*keys, "_s.measure", "_s.similarity")
+
+
+def similarity_matrix(docs: DataFrame, key: str, text: str, measure: str = "levenshtein") -> DataFrame:
+    """Rows ``(id_a, id_b, similarity)`` of the whole square matrix of a small set, to four places: 1 on the diagonal, each other pair measured once."""
+    left, right = docs.select(F.col(key).alias("id_a"), F.col(text).alias("_a")), docs.select(F.col(key).alias("id_b"), F.col(text).alias("_b"))
+    half = left.join(right, F.col("id_a") < F.col("id_b")).select("id_a", "id_b", F.round(MEASURES[measure](F.col("_a"), F.col("_b")), 4).alias("similarity"))
+    both = F.explode(F.array(F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))).alias("_p")
+    return half.select(both, "similarity").select("_p.*", "similarity").unionByName(docs.select(F.col(key).alias("id_a"), F.col(key).alias("id_b"), F.lit(1.0).alias("similarity")))

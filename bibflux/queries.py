@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibflux.functions import embedding, similarity
-from bibflux.functions.lexicon import CLUSTER_STOP_WORDS, FREQUENCY_STOP_WORDS, SUFFIXES, TERM_STOP_WORDS, affiliation_table
+from bibflux.functions.fold import fold_accents
+from bibflux.functions.lexicon import ADJECTIVES, CLUSTER_STOP_WORDS, FREQUENCY_STOP_WORDS, SUBJECT_ALIASES, SUBJECT_COUNTRIES, SUFFIXES, TERM_STOP_WORDS, affiliation_table
 from bibflux.functions.text import bigrams, cluster_tokens, extract_year, frequency_tokens, normalize_title, shorten, unigrams, word_tokens
 from bibflux.operators import category, clustering, dedup, geography, records, timeline, vectors, words
 from bibflux.operators.packed import HARD, explode_packed
-from bibflux.plans.pipelines import cluster_documents
+from bibflux.plans.pipelines import cluster_documents, with_record_ids
 from bibflux.schema import CANONICAL, canonical, unioned
-from bibflux.session import table
-from bibflux.sources.exports import parse_ebsco
-from bibflux.sources.works import map_works
-from bibflux.streaming.ingest import session_counts, window_counts
+from bibflux.session import scratch_path, table
+from bibflux.sources.exports import parse_ebsco, read_export, read_unified, write_csv
+from bibflux.sources.works import map_works, read_jsonl, read_jsonl_slice, save_jsonl
+from bibflux.streaming.ingest import append_records, for_each_batch, session_counts, stream_works, window_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,6 +131,23 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.summary(table(spark, sf_dir, "unified"))
 
 
+_WORKS_ROWS = "(select * from openalex_works where trim(coalesce(title, ''), ' ') <> '' and lower(trim(title, ' ')) not in ('nan', 'none'))"
+
+
+@query(
+    f"select count(*) as total, count(*) filter (where len(map_keys(abstract_inverted_index)) > 0 and exists(select 1 from (select unnest(flatten(map_values(abstract_inverted_index))) as p) where p is not null)) as with_abstract,"
+    f" count(*) filter (where len(list_filter(flatten(list_transform(authorships, lambda a: list_transform(coalesce(a.institutions, []), lambda i: upper(trim(i.country_code, ' '))))), lambda c: c is not null and c <> '')) > 0) as with_country,"
+    f" count(*) filter (where {sql_clean('doi')} <> '') as with_doi from {_WORKS_ROWS}"
+)
+def works_preview_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.preview_figures(map_works(table(spark, sf_dir, "openalex_works")))
+
+
+@query(f"select publication_year::varchar as year, count(*) as n from {_WORKS_ROWS} where publication_year is not null group by 1")
+def works_year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.year_counts(map_works(table(spark, sf_dir, "openalex_works")))
+
+
 @query(
     "select source_db, count(*) as n from (select coalesce(source_db, '') as source_db from unified where trim(coalesce(title, ''), ' ') <> '' and lower(trim(title, ' ')) not in ('nan', 'none')"
     " union all select 'EBSCO' from ebsco_raw where trim(coalesce(title, ''), ' ') <> '' and lower(trim(title, ' ')) not in ('nan', 'none')"
@@ -145,23 +163,39 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EY = "case when regexp_extract({d}, '\\b((?:19|20)\\d{{2}})\\b', 1) <> '' then regexp_extract({d}, '\\b((?:19|20)\\d{{2}})\\b', 1) else regexp_extract({d}, '(\\d{{4}})', 1) end"
 
 
-@query(
-    f"select * from (select ebsco_row, {sql_clean('title')} as title, {sql_clean('contributors')} as authors, {_EY.format(d=sql_clean('publicationdate'))} as year, {sql_clean('country_')} as country"
-    f" from (select *, authorlocations as country_ from ebsco_raw)) where title <> ''"
-)
-def ebsco_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "ebsco_raw")
-    from bibflux.schema import cleaned
-
-    c = {k: cleaned(F.col(k)) for k in ("title", "contributors", "publicationdate", "authorlocations")}
-    return raw.select("ebsco_row", c["title"].alias("title"), c["contributors"].alias("authors"), extract_year(c["publicationdate"]).alias("year"), c["authorlocations"].alias("country")).filter("title <> ''")
+_EBSCO_COLS = {
+    "title": sql_clean("title"), "authors": sql_clean("contributors"), "year": _EY.format(d=sql_clean("publicationdate")), "source": sql_clean("source"), "doi": sql_clean("doi"), "abstract": sql_clean("abstract"), "document_type": sql_clean("doctypes"),
+    "url": sql_clean("plink"), "issn": sql_clean("issns"), "keywords": sql_clean("subjects"), "country": sql_clean("authorlocations"), "source_db": "'EBSCO'",
+}
+_EBSCO = "select " + ", ".join(f"{e} as {c}" for c, e in _EBSCO_COLS.items()) + " from ebsco_raw"
 
 
-@query()
+@query(f"select * from ({_EBSCO}) where title <> ''")
 def ebsco_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_ebsco(table(spark, sf_dir, "ebsco_raw"))
 
 
+@query(f"select * from ({_EBSCO}) where title <> ''")
+def ebsco_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as an export with a byte-order mark, then read as one."""
+    path = scratch_path(spark)
+    write_csv(table(spark, sf_dir, "ebsco_raw").drop("ebsco_row", "loaded_at"), path)
+    return read_export(spark, path, "EBSCO")
+
+
+@query(f"select * from (select {_CANON} from unified) where title <> ''")
+def unified_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified table written as CSV and read again."""
+    path = scratch_path(spark)
+    write_csv(canonical(table(spark, sf_dir, "unified")), path)
+    return read_unified(spark, path)
+
+
+@query(f"select row_number() over (order by {', '.join(CANONICAL)}) - 1 as record_id, title from (select {_CANON} from unified) where title <> ''")
+def numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_record_ids(canonical(table(spark, sf_dir, "unified"))).select("record_id", "title")
+
+
 _CODES = "list_filter(flatten(list_transform(authorships, lambda a: list_transform(coalesce(a.institutions, []), lambda i: upper(trim(i.country_code, ' '))))), lambda c: c is not null and c <> '')"
 
 
@@ -185,6 +219,37 @@ def works_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_works(table(spark, sf_dir, "openalex_works"), ("work_id",)).select("work_id", "abstract")
 
 
+def _jsonl(spark: SparkSession, sf_dir: str, extra: str = "") -> str:
+    """The works as a folder of JSON lines, as the fetching of the API leaves them."""
+    path = scratch_path(spark)
+    works = table(spark, sf_dir, "openalex_works").drop("harvested_at")
+    save_jsonl(works.select(F.to_json(F.struct("*")).alias("value")), path, overwrite=True)
+    return path
+
+
+_WORKS_COLS = "title, authors, year, source, doi, url, issn, keywords, country"
+
+
+@query(ORACLE["works_mapped"].replace("select work_id, ", "select ", 1))
+def works_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_works(read_jsonl(spark, _jsonl(spark, sf_dir))).select(*_WORKS_COLS.split(", "))
+
+
+@query(ORACLE["works_mapped"].replace("select work_id, ", "select ", 1))
+def works_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON lines read as a stream that appends canonical records."""
+    target = scratch_path(spark)
+    append_records(stream_works(spark, _jsonl(spark, sf_dir)), target, scratch_path(spark)).awaitTermination()
+    return spark.read.parquet(target).select(*_WORKS_COLS.split(", "))
+
+
+@query("select work_id, title, (select count(*) from openalex_works) as total from openalex_works order by work_id limit 50 offset 100")
+def works_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 100 to 150 and the number of all: the slice is the feature."""
+    rows, total = read_jsonl_slice(spark, _jsonl(spark, sf_dir), 100, 50, "work_id long, title string", "work_id")
+    return rows.withColumn("total", F.lit(total).cast("long"))
+
+
 # --- timeline --------------------------------------------------------------------------------------------------------------------
 
 _DATED = f"(select y as year, case when length(s) > 45 then left(s, 45) || '…' else s end as source_short from (select {_YEAR} as y, coalesce(source, '') as s from unified) where y >= 2000)"
@@ -239,6 +304,13 @@ def geo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geography.geography(table(spark, sf_dir, "unified"))
 
 
+@query(_geo_sql() + " select best.c as country, count(*) as n from t join h using (t) where trim(best.i, ' ') <> '' group by 1 order by n desc, country limit 20")
+def geo_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty leading countries that a map can show."""
+    shown, _ = geography.split_by_code(geography.geography(table(spark, sf_dir, "unified")))
+    return shown.select("country", "n").orderBy(F.desc("n"), "country").limit(20)
+
+
 @query(
     _geo_sql()
     + ", g as (select best.c as country, count(*) as n from t join h using (t) group by 1) select count(*) as n_countries, coalesce(sum(n), 0)::bigint as total, (select country from g order by n desc, country limit 1) as leader from g"
@@ -247,7 +319,19 @@ def geo_key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geography.geography_figures(table(spark, sf_dir, "unified"))
 
 
-@query()
+def _sql_map(pairs: dict[str, str]) -> str:
+    return "map {" + ", ".join(f"{_quoted([k])}: {_quoted([v])}" for k, v in pairs.items()) + "}"
+
+
+_SUBJECTS = _sql_map({**{a.lower(): n for a, n in SUBJECT_ALIASES.items()}, **{n.lower(): n for n in SUBJECT_COUNTRIES}})
+_FOUND = "coalesce(list_filter({l}, lambda x: x is not null)[1], '')"
+
+
+@query(
+    f"select ebsco_row, case when {sql_blank('subjects')} then '' else {_FOUND.format(l=f"list_transform(string_split(subjects, ';'), lambda t: {_SUBJECTS}[lower(trim(t, ' '))])")} end as subject_country,"
+    f" case when {sql_blank('abstract')} then '' when len(list_filter(list_transform(w, lambda x: {_sql_map(ADJECTIVES)}[lower(x)]), lambda x: x is not null)) > 0 then {_FOUND.format(l=f'list_transform(w, lambda x: {_sql_map(ADJECTIVES)}[lower(x)])')}"
+    f" else coalesce(list_filter(w, lambda x: x in ({_quoted(SUBJECT_COUNTRIES)}))[1], '') end as text_country from (select *, regexp_extract_all(abstract, '\\b[A-Za-z]+\\b') as w from ebsco_raw)"
+)
 def ebsco_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "ebsco_raw")
     return raw.select("ebsco_row", geography.subject_country(F.col("subjects")).alias("subject_country"), geography.text_country(F.col("abstract")).alias("text_country"))
@@ -399,8 +483,6 @@ _ITEM_PAIRS = f"(select a.item_id as id_a, b.item_id as id_b, a.t as ta, b.t as
 
 def _item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two evaluation texts, in ASCII: a fixed table, whose pairs are the matrix that is asked for."""
-    from bibflux.functions.fold import fold_accents
-
     items = table(spark, sf_dir, "eval_items").select("item_id", F.regexp_replace(fold_accents(F.col("text")), r"[^\x00-\x7F]", "").alias("t"))
     a, b = items.withColumnsRenamed({"item_id": "id_a", "t": "ta"}), items.withColumnsRenamed({"item_id": "id_b", "t": "tb"})
     return a.join(b, F.col("id_a") < F.col("id_b")).repartition(32, "id_a", "id_b")
@@ -428,11 +510,57 @@ ORACLE["sim_cosine"] = (
 )
 
 
-@query()
+_TRACE_TOK = "regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')"
+_TA, _TB = _TRACE_TOK.format(t="a"), _TRACE_TOK.format(t="b")
+
+
+@query(
+    f"select country_id, levenshtein(a, b) as lev_distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b), 1)::double, 4) as lev_similarity, length(a) + 1 as lev_rows, levenshtein(a, b) as lev_corner,"
+    f" len(list_intersect(list_distinct({_TA}), list_distinct({_TB}))) as jac_intersection, len(list_distinct(list_concat({_TA}, {_TB}))) as jac_union,"
+    f" round(len(list_intersect(list_distinct({_TA}), list_distinct({_TB}))) / len(list_distinct(list_concat({_TA}, {_TB})))::double, 4) as jac_similarity, len(list_distinct(list_concat({_TA}, {_TB}))) as cos_vocabulary,"
+    " hamming(rpad(lower(a), m, ' '), rpad(lower(b), m, ' ')) as ham_distance, m as ham_positions, least(m, 50) as ham_sample, round(1 - hamming(rpad(lower(a), m, ' '), rpad(lower(b), m, ' ')) / m::double, 4) as ham_similarity"
+    " from (select country_id, country as a, iso3 as b, greatest(length(country), length(iso3))::int as m from country_ref)"
+)
 def sim_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the four traces of each country's name against its code."""
     c = table(spark, sf_dir, "country_ref")
     a, b = F.col("country"), F.col("iso3")
-    return c.select("country_id", similarity.levenshtein_trace(a, b).alias("levenshtein"), similarity.jaccard_trace(a, b).alias("jaccard"), similarity.cosine_trace(a, b).alias("cosine"), similarity.hamming_trace(a, b).alias("hamming"))
+    t = c.select("country_id", similarity.levenshtein_trace(a, b).alias("l"), similarity.jaccard_trace(a, b).alias("j"), similarity.cosine_trace(a, b).alias("c"), similarity.hamming_trace(a, b).alias("h"))
+    corner = F.element_at(F.element_at("l.matrix", -1), -1)
+    return t.select(
+        "country_id", F.col("l.distance").alias("lev_distance"), F.col("l.similarity").alias("lev_similarity"), F.size("l.matrix").alias("lev_rows"), corner.alias("lev_corner"),
+        F.col("j.intersection_size").alias("jac_intersection"), F.col("j.union_size").alias("jac_union"), F.col("j.similarity").alias("jac_similarity"), F.size("c.vocabulary").alias("cos_vocabulary"),
+        F.col("h.distance").alias("ham_distance"), F.col("h.total_positions").alias("ham_positions"), F.size("h.comparisons_sample").alias("ham_sample"), F.col("h.similarity").alias("ham_similarity"),
+    )
+
+
+@query(
+    f"select id_a, id_b, round(similarity, 4) as similarity from (select id_a, id_b, case when ta = tb then 1.0 else 1 - levenshtein(ta, tb) / greatest(length(ta), length(tb))::double end as similarity from {_ITEM_PAIRS}"
+    f" union all select id_b, id_a, case when ta = tb then 1.0 else 1 - levenshtein(ta, tb) / greatest(length(ta), length(tb))::double end from {_ITEM_PAIRS} union all select item_id, item_id, 1.0 from eval_items)"
+)
+def sim_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "eval_items").select("item_id", F.regexp_replace(fold_accents(F.col("text")), r"[^\x00-\x7F]", "").alias("t"))
+    return similarity.similarity_matrix(items, "item_id", "t", "levenshtein")
+
+
+@query(
+    "select country_id, unnest(['levenshtein', 'jaccard', 'hamming']) as measure, unnest([round(1 - levenshtein(a, b) / m::double, 4),"
+    f" round(len(list_intersect(list_distinct({_TA}), list_distinct({_TB}))) / len(list_distinct(list_concat({_TA}, {_TB})))::double, 4), round(1 - hamming(rpad(lower(a), m, ' '), rpad(lower(b), m, ' ')) / m::double, 4)]) as similarity"
+    " from (select country_id, country as a, iso3 as b, greatest(length(country), length(iso3))::int as m from country_ref)"
+)
+def sim_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "country_ref").select("country_id", F.col("country").alias("a"), F.col("iso3").alias("b"))
+    return similarity.score_table(pairs, "a", "b", {k: similarity.MEASURES[k] for k in ("levenshtein", "jaccard", "hamming")})
+
+
+@query(
+    f"select record_id, work_id, x <> '' and y <> '' and 1 - levenshtein(x, y) / greatest(length(x), length(y), 1)::double >= 0.92 as duplicate from (select record_id, work_id, {sql_title('u.title')} as x, {sql_title('w.title')} as y from unified u join openalex_works w on u.record_id = w.work_id)"
+)
+def title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the record and the work of one number have duplicate titles."""
+    u = table(spark, sf_dir, "unified").select("record_id", F.col("title").alias("_a"))
+    w = table(spark, sf_dir, "openalex_works").select("work_id", F.col("title").alias("_b"))
+    return u.join(w, u.record_id == w.work_id).select("record_id", "work_id", dedup.titles_are_duplicate(F.col("_a"), F.col("_b")).alias("duplicate"))
 
 
 @query("select label, pos, round(avg(x), 6) as mean from (select label, unnest(range(1, len(embedding) + 1))::int as pos, unnest(embedding)::double as x from embeddings) group by 1, 2")
@@ -569,6 +697,41 @@ def flat_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.flat_clusters(cluster_documents(table(spark, sf_dir, "eval_items"), "item_id", "text")["merges"])
 
 
+_SETS = "(select *, (item_id - 1) // 3 as s from eval_items)"
+_TRIPLES = (
+    f"with w as materialized (select s, item_id, case when length(w) > 4 then regexp_replace(w, '{_STEM_RE}', '\\1') else w end as term from (select s, item_id, unnest({_ITEM_RAW}) as w from {_SETS}) where length(w) >= 3 and w not in ({_quoted(sorted(CLUSTER_STOP_WORDS))})),"
+    f" i as (select s, term, ln((n + 1) / (count(distinct item_id) + 1)::double) + 1 as idf from w join (select s, count(*) as n from {_SETS} group by 1) using (s) group by s, term, n),"
+    " v as materialized (select s, item_id, term, k / n * idf as w from (select s, item_id, term, count(*)::double as k, sum(count(*)) over (partition by item_id) as n from w group by 1, 2, 3) join i using (s, term)), q as (select item_id, sqrt(sum(w * w)) as l from v group by 1),"
+    f" d as (select a.s, a.item_id as id_a, b.item_id as id_b, 1 - greatest(-1, least(1, coalesce(dot, 0))) as d from {_SETS} a join {_SETS} b on a.s = b.s and a.item_id < b.item_id"
+    " left join (select x.item_id as ia, y.item_id as ib, sum(x.w / qx.l * y.w / qy.l) as dot from v x join v y on x.s = y.s and x.term = y.term and x.item_id < y.item_id join q qx on qx.item_id = x.item_id join q qy on qy.item_id = y.item_id group by 1, 2) on ia = a.item_id and ib = b.item_id),"
+    " t as (select s, list(d order by id_a, id_b) as ds from d group by 1 having count(*) = 3), f as (select s, ds, list_min(ds) as m, list_position(ds, list_min(ds)) as p from t),"
+    " g as (select s, ds, m, p, ds[case when p = 1 then 2 else 1 end] as x, ds[case when p = 3 then 2 else 3 end] as y from f),"
+    " h as (select s, ds, m, p, unnest(['complete', 'average', 'ward']) as method, unnest([greatest(x, y), (x + y) / 2, sqrt(greatest((2 * x * x + 2 * y * y - m * m) / 3, 0))]) as h0 from g), r as (select *, case when h0 >= m then h0 else m + 1e-10 end as h from h)"
+)
+
+
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "eval_items").withColumn("s", F.floor((F.col("item_id") - 1) / 3))
+    return cluster_documents(items, "item_id", "text", "s")["merges"]
+
+
+@query(
+    _TRIPLES
+    + " select s as set_id, method, 0 as step, case p when 3 then 1 else 0 end as a, case p when 1 then 1 else 2 end as b, round(m, 6) as dist, 2 as size from r union all select s, method, 1, case p when 1 then 2 when 2 then 1 else 0 end, 3, round(h, 6), 3 from r"
+)
+def linkage_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every three neighbouring evaluation texts as a set of its own, whose linkage has a closed form."""
+    return _triples(spark, sf_dir).select("set_id", "method", "step", "a", "b", F.round("dist", 6).alias("dist"), "size")
+
+
+@query(
+    _TRIPLES
+    + " select s as set_id, method, coalesce(round((select case when isfinite(corr(u.x, u.y)) then corr(u.x, u.y) else 0 end from (select unnest(ds) as x, unnest(list_transform(range(1, 4), lambda k: case when k = p then m else h end)) as y) u), 6), 0) as cophenetic from r"
+)
+def cophenetic_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.scores(_triples(spark, sf_dir)).select("set_id", "method", F.round("cophenetic", 6).alias("cophenetic"))
+
+
 # --- events ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -583,3 +746,14 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_counts(table(spark, sf_dir, "events"))
+
+
+@query("select date_trunc('day', ts) as window_start, event_type, count(*) as n from events group by 1, 2")
+def event_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts from a stream over the table's files, whose whole state is written after its last batch."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    target = scratch_path(spark)
+    # a stream's event time has a zone; the table's has none
+    counts = window_counts(events.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    for_each_batch(counts, lambda batch, _: batch.write.mode("overwrite").parquet(target), scratch_path(spark), "complete").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(target)

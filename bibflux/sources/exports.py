@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +37,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _named(df: DataFrame, source_db: str) -> DataFrame:
-    """One column per target: the first synonym that is there, filled from later ones where it is empty."""
+    """One column per target: the first of its synonyms that is there; later ones are left out."""
     have = set(df.columns)
     cols = []
     for target, names in HEADERS[source_db].items():
         found = [F.nullif(cleaned(F.col(f"`{n}`")), F.lit("")) for n in names if n in have]
         if found:
-            cols.append(F.coalesce(*found, F.lit("")).alias(target))
+            cols.append(F.coalesce(found[0], F.lit("")).alias(target))
     return df.select(*cols)
 
 
@@ -89,15 +93,28 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder of CSV files with header, one per partition; each begins with a byte-order mark, as spreadsheet programs expect."""
     first, *rest = df.columns
     marked = df.select(F.col(first).alias("﻿" + first), *rest)
-    marked.write.mode(mode).options(header=True, escape='"', quote='"').csv(path)
-
-
-def csv_bytes(df: DataFrame, max_rows: int = 100_000) -> bytes:
-    """A table of at most ``max_rows`` rows as one CSV download; raises beyond that."""
-    rows = df.limit(max_rows + 1).toPandas()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: write them with write_csv")
-    return rows.to_csv(index=False).encode("utf-8-sig")
+    marked.write.mode(mode).options(header=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def csv_chunks(df: DataFrame) -> Iterator[bytes]:
+    """A table of any size as the pieces of one CSV download, fetched partition by partition, so that the driver never holds more than one."""
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(df.columns)
+    mark = "\ufeff"
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        writer.writerow(["" if v is None else v for v in row])
+        if out.tell() > 1 << 20:
+            yield (mark + out.getvalue()).encode()
+            mark = ""
+            out.seek(0)
+            out.truncate()
+    yield (mark + out.getvalue()).encode()
+
+
+def csv_bytes(df: DataFrame) -> bytes:
+    """The whole download at once, for tables that a browser would take; larger ones go through ``csv_chunks``."""
+    return b"".join(csv_chunks(df))
 
 
 def read_unified(spark: SparkSession, path: str) -> DataFrame:

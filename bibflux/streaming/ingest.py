@@ -28,8 +28,8 @@ def append_records(records: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return records.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
 
 
-def for_each_batch(records: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return records.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def for_each_batch(records: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    return records.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def window_counts(events: DataFrame, time: str = "ts", by: str = "event_type", width: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:

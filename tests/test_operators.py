@@ -173,6 +173,6 @@ def test_distances_and_idf(spark):
 
 def test_records(spark):
     df = frame(spark, [{"title": "t", "year": "2020"}, {"title": "nan", "year": None}])
-    assert dict(rows(records.completeness(df, ["title", "year", "doi"]))) == {"title": 50.0, "year": 50.0, "doi": 0.0}
+    assert dict(rows(records.completeness(df, ["title", "year", "doi"]))) == {"title": 100.0, "year": 50.0, "doi": 0.0}
     assert records.completeness(df.limit(0), ["title"]).count() == 0
     assert records.sample_rows(df, "record_id", 1).count() == 1
