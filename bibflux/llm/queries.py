@@ -104,7 +104,8 @@ def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p6_scores(spark, sf_dir).filter("tf >= 3 and df between 2 and 8").select("record_id", "term")
+    """The rare terms that a record repeats, each with a score, which is what makes it a case's evidence."""
+    return _p6_scores(spark, sf_dir).filter("tf >= 3 and df between 2 and 8 and score is not null").select("record_id", "term")
 
 
 def p7_pairs(spark: SparkSession, sf_dir: str, min_pairs: int = 1) -> DataFrame:
