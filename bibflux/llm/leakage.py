@@ -296,8 +296,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     found = written(found)
     met = found.select("_key", "_first", F.explode("_grams").alias("_gram")).join(rare.select("_gram", "_item"), "_gram").select("_key", "_first", "_item").distinct()
     pairs = met.join(found.select("_key", "_first", "_text"), ["_key", "_first"]).join(own, "_item")
-    # few bytes but much work: as many tasks as the session has for a shuffle
-    pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key", "_first").sortWithinPartitions("_key", "_first")
+    # few bytes but much work: as many tasks as the session has for a shuffle (by a hash of its own, else the join's partitions would do, which are merged by their bytes)
+    pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("_key", "_first")).sortWithinPartitions("_key", "_first")
     aligned = pairs.mapInPandas(_aligned(min_words, q, edits), f"_key {key_type}, _item {item_type}, n_words int, n_equal int, coverage double")
     best = aligned.groupBy("_key", "_item").agg(*(F.max(c).alias(c) for c in ("n_words", "n_equal", "coverage")))
     return best.withColumnsRenamed({"_key": key, "_item": item_key})

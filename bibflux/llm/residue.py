@@ -117,7 +117,8 @@ _INLINE = rf"(?<!<)(?!<{FIELD}>)</?[a-z][a-z0-9]*(?:\s[^<>]{{0,300}})?/?>(?!>)"
 def messages(text: Column) -> Column:
     """The sentences and lines of a text without tags, with single spaces; a long line that ends within a sentence goes on in the next."""
     plain = F.when(F.contains(text, F.lit("<")), F.regexp_replace(F.regexp_replace(text, rf"(?i){_BLOCK}", "\n"), rf"(?i){_INLINE}", " ")).otherwise(text)
-    lines = F.regexp_replace(plain, r"\n(?<=[^\n]{30}[\p{Ll},][ \t]{0,4}\r?\n)[ \t]*(?=\p{Ll})", " ")
+    broken = F.contains(plain, F.lit("\n"))
+    lines = F.when(~broken, plain).otherwise(F.regexp_replace(plain, r"\n(?<=[^\n]{30}[\p{Ll},][ \t]{0,4}\r?\n)[ \t]*(?=\p{Ll})", " "))
     return F.split(lines, r"\s*[\r\n]\s*|(?<=[.!?…])\s+")
 
 
