@@ -49,9 +49,8 @@ def geography(df: DataFrame, column: str = "country") -> DataFrame:
 
 def geography_figures(df: DataFrame, column: str = "country") -> DataFrame:
     """One row: countries, publications and the leading country (of equals, the first by name)."""
-    g = geography(df, column)
-    ranked = g.orderBy(F.desc("n"), "country").limit(1).select(F.col("country").alias("leader"), F.lit(1).alias("_one"))
-    return g.agg(F.count(F.lit(1)).alias("n_countries"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.lit(1).alias("_one")).join(ranked, "_one", "left").drop("_one")
+    leader = F.min_by("country", F.struct((-F.col("n")).alias("n"), "country"))
+    return geography(df, column).agg(F.count(F.lit(1)).alias("n_countries"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), leader.alias("leader"))
 
 
 def subject_country(c: Column) -> Column:

@@ -41,4 +41,4 @@ def key_figures(df: DataFrame, min_year: int = 2000) -> DataFrame:
     """One row: publications, years, first year with most of them, and different sources."""
     years = by_year(df, min_year).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n_years"), F.max_by("year", F.struct("n", -F.col("year"))).alias("peak_year"))
     sources = dated(df, min_year).agg(F.count_distinct("source_short").alias("n_sources"))
-    return years.withColumn("_one", F.lit(1)).join(sources.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return years.select("*", sources.scalar().alias("n_sources"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibflux.functions.blank import is_blank
@@ -31,9 +31,4 @@ def word_frequencies(df: DataFrame, top: int = 150, abstracts: bool = True, keyw
 def leading_mean(freqs: DataFrame, n: int = 5) -> DataFrame:
     """One row: the most frequent term and the mean frequency of the first ``n``."""
     first = freqs.orderBy(F.desc("freq"), "term").limit(n)
-    return first.agg(F.max_by("term", F.struct("freq", _backwards(F.col("term")))).alias("top_term"), F.avg("freq").alias("mean_freq"))
-
-
-def _backwards(c: Column) -> Column:
-    """Orders texts from last to first by code point."""
-    return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: -F.ascii(x))
+    return first.agg(F.min_by("term", F.struct((-F.col("freq")).alias("f"), "term")).alias("top_term"), F.avg("freq").alias("mean_freq"))

@@ -458,7 +458,7 @@ _PREC = (
 )
 
 
-@query(_PREC + f" select row_number() over (order by round(p, 4) desc, npmi desc, npmi_rank) as precision_rank, npmi_rank, term, npmi, round(p, 4) as precision, round(p * 100, 1) as precision_pct, {_LABEL.format(p='p')} as precision_label from p")
+@query(_PREC + f" select (row_number() over (order by round(p, 4) desc, npmi desc, npmi_rank))::int as precision_rank, npmi_rank::int as npmi_rank, term, npmi, round(p, 4) as precision, round(p * 100, 1) as precision_pct, {_LABEL.format(p='p')} as precision_label from p")
 def npmi_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = table(spark, sf_dir, "unified")
     found = category.associated_terms(u, "abstract", terms=CONCEPTS)
@@ -515,10 +515,10 @@ _TA, _TB = _TRACE_TOK.format(t="a"), _TRACE_TOK.format(t="b")
 
 
 @query(
-    f"select country_id, levenshtein(a, b) as lev_distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b), 1)::double, 4) as lev_similarity, length(a) + 1 as lev_rows, levenshtein(a, b) as lev_corner,"
-    f" len(list_intersect(list_distinct({_TA}), list_distinct({_TB}))) as jac_intersection, len(list_distinct(list_concat({_TA}, {_TB}))) as jac_union,"
-    f" round(len(list_intersect(list_distinct({_TA}), list_distinct({_TB}))) / len(list_distinct(list_concat({_TA}, {_TB})))::double, 4) as jac_similarity, len(list_distinct(list_concat({_TA}, {_TB}))) as cos_vocabulary,"
-    " hamming(rpad(lower(a), m, ' '), rpad(lower(b), m, ' ')) as ham_distance, m as ham_positions, least(m, 50) as ham_sample, round(1 - hamming(rpad(lower(a), m, ' '), rpad(lower(b), m, ' ')) / m::double, 4) as ham_similarity"
+    f"select country_id, levenshtein(a, b)::int as lev_distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b), 1)::double, 4) as lev_similarity, (length(a) + 1)::int as lev_rows, levenshtein(a, b)::int as lev_corner,"
+    f" len(list_intersect(list_distinct({_TA}), list_distinct({_TB})))::int as jac_intersection, len(list_distinct(list_concat({_TA}, {_TB})))::int as jac_union,"
+    f" round(len(list_intersect(list_distinct({_TA}), list_distinct({_TB}))) / len(list_distinct(list_concat({_TA}, {_TB})))::double, 4) as jac_similarity, len(list_distinct(list_concat({_TA}, {_TB})))::int as cos_vocabulary,"
+    " hamming(rpad(lower(a), m, ' '), rpad(lower(b), m, ' '))::int as ham_distance, m as ham_positions, least(m, 50) as ham_sample, round(1 - hamming(rpad(lower(a), m, ' '), rpad(lower(b), m, ' ')) / m::double, 4) as ham_similarity"
     " from (select country_id, country as a, iso3 as b, greatest(length(country), length(iso3))::int as m from country_ref)"
 )
 def sim_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
