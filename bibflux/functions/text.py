@@ -31,23 +31,33 @@ def raw_tokens(c: Column) -> Column:
     return F.coalesce(_words(F.regexp_replace(F.lower(c), r"[^a-z\s]", " ")), F.array().cast("array<string>"))
 
 
-def unigrams(c: Column, stop: frozenset[str] = TERM_STOP_WORDS, least: int = 3) -> Column:
-    return F.filter(raw_tokens(c), lambda w: (F.length(w) >= least) & ~w.isin(*sorted(stop)))
+def is_unigram(w: Column, stop: frozenset[str] = TERM_STOP_WORDS, least: int = 3) -> Column:
+    """Whether a raw word counts as a term."""
+    return (F.length(w) >= least) & ~w.isin(*sorted(stop))
 
 
-def bigrams(c: Column, stop: frozenset[str] = TERM_STOP_WORDS) -> Column:
-    """Neighbours among all raw words, both of two letters or more, one of three or more, not both stop words."""
+def is_bigram(a: Column, b: Column, stop: frozenset[str] = TERM_STOP_WORDS) -> Column:
+    """Whether two neighbours among all raw words count as a term: both of two letters or more, one of three or more, not both stop words."""
+    both_stop = a.isin(*sorted(stop)) & b.isin(*sorted(stop))
+    return (F.length(a) >= 2) & (F.length(b) >= 2) & (F.greatest(F.length(a), F.length(b)) >= 3) & ~both_stop
+
+
+def unigrams(c: Column, stop: frozenset[str] = TERM_STOP_WORDS, least: int = 3) -> Column:
+    return F.filter(raw_tokens(c), lambda w: is_unigram(w, stop, least))
 
-    def fits(a: Column, b: Column) -> Column:
-        both_stop = a.isin(*sorted(stop)) & b.isin(*sorted(stop))
-        return (F.length(a) >= 2) & (F.length(b) >= 2) & (F.greatest(F.length(a), F.length(b)) >= 3) & ~both_stop
 
+def bigrams(c: Column, stop: frozenset[str] = TERM_STOP_WORDS) -> Column:
     def pairs(t: Column) -> Column:
-        return F.transform(F.slice(t, 2, F.size(t)), lambda b, i: F.when(fits(F.get(t, i), b), F.concat_ws(" ", F.get(t, i), b)))
+        return F.transform(F.slice(t, 2, F.size(t)), lambda b, i: F.when(is_bigram(F.get(t, i), b, stop), F.concat_ws(" ", F.get(t, i), b)))
 
     return F.filter(let(raw_tokens(c), pairs), lambda x: x.isNotNull())
 
 
+def words_and_pairs(c: Column) -> Column:
+    """All raw words of a text and all neighbours among them, whether they count as terms or not."""
+    return let(raw_tokens(c), lambda t: F.concat(t, F.transform(F.slice(t, 2, F.size(t)), lambda b, i: F.concat_ws(" ", F.get(t, i), b))))
+
+
 def stem(w: Column) -> Column:
     """The word without the first listed suffix that leaves three letters; words of up to four letters stay."""
     return F.when(F.length(w) > 4, F.regexp_replace(w, rf"^(.{{3,}}?)(?:{'|'.join(SUFFIXES)})$", "$1")).otherwise(w)

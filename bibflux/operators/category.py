@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibflux.functions.lexicon import CATEGORY_TERMS
-from bibflux.functions.text import bigrams, counted, term_pattern, unigrams
+from bibflux.functions.text import counted, is_bigram, is_unigram, raw_tokens, term_pattern, words_and_pairs
 from bibflux.session import written
 
 
@@ -17,8 +17,13 @@ def _texts(df: DataFrame, text: str) -> DataFrame:
 
 
 def in_category(text: Column, terms: tuple[str, ...] = CATEGORY_TERMS) -> Column:
-    """Whether any term stands in the text; one pattern for all."""
-    return text.rlike("|".join(f"(?:{term_pattern(t)})" for t in terms))
+    """Whether any term stands in the text; one pattern for all, which only looks where a word begins."""
+    return text.rlike(rf"(?iU)\b(?:{_bodies(terms)})\b") if terms else F.lit(False)
+
+
+def _bodies(terms: tuple[str, ...]) -> str:
+    """The alternatives of all terms, the longest first, without the word boundaries around them."""
+    return "|".join(term_pattern(t).removeprefix(r"(?iU)\b").removesuffix(r"\b") for t in sorted(terms, key=len, reverse=True))
 
 
 def _plain(term: str) -> str:
@@ -37,8 +42,7 @@ def _found(text: Column, terms: tuple[str, ...]) -> Column:
     """``array<struct<item,k>>``: the number of each term that stands in the text and how often; null if none does."""
     if _one_scan(terms):
         # a look ahead, so that terms may overlap
-        bodies = "|".join(term_pattern(t).removeprefix(r"(?iU)\b").removesuffix(r"\b") for t in sorted(terms, key=len, reverse=True))
-        hits = F.regexp_extract_all(text, F.lit(rf"(?iU)\b(?=({bodies})\b)"), F.lit(1))
+        hits = F.regexp_extract_all(text, F.lit(rf"(?iU)\b(?=({_bodies(terms)})\b)"), F.lit(1))
         number = F.create_map(*(x for i, t in enumerate(terms) for x in (F.lit(_plain(t)), F.lit(i))))
         return counted(F.filter(F.transform(hits, lambda h: F.element_at(number, F.regexp_replace(F.lower(h), r"(?U)[-\s]", ""))), lambda i: i.isNotNull()))
     counts = F.array(*(F.struct(F.lit(i).alias("item"), F.regexp_count(text, F.lit(term_pattern(t))).cast("long").alias("k")) for i, t in enumerate(terms)))
@@ -91,13 +95,16 @@ def candidates(df: DataFrame, text: str, terms: tuple[str, ...] = CATEGORY_TERMS
     A text's repeats are counted inside its row, so the only shuffle is the one by term, which is combined before it moves.
     """
     t = F.col(text)
-    grams = F.concat(unigrams(t), bigrams(t)) if with_bigrams else unigrams(t)
+    grams = words_and_pairs(t) if with_bigrams else raw_tokens(t)
     texts = _texts(df, text).select(in_category(t, terms).alias("_cat"), counted(grams).alias("_g"))
     # each text also counts once under an empty term, so that the same pass counts texts and those of the category
     whole = F.array(F.struct(F.lit("").alias("item"), F.lit(0).cast("long").alias("k")))
     rows = texts.select("_cat", F.explode(F.concat(whole, F.coalesce("_g", F.array().cast("array<struct<item:string,k:bigint>>")))).alias("_t"))
     rows = rows.groupBy(F.col("_t.item").alias("term")).agg(F.count(F.lit(1)).alias("doc_frequency"), F.sum("_t.k").alias("total_occurrences"), F.count_if("_cat").alias("docs_with_category"))
-    rows = written(rows)
+    # what counts as a term depends on its words alone, so that is asked once per term and not once per word of a text
+    pair = F.split("term", " ")
+    a, b = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
+    rows = written(rows.filter((F.col("term") == "") | F.when(b.isNull(), is_unigram(a)).otherwise(is_bigram(a, b))))
     all_texts = rows.filter("term = ''").first()
     n, n_cat = (all_texts["doc_frequency"], all_texts["docs_with_category"]) if all_texts else (0, 0)
     return rows.filter((F.col("term") != "") & ~F.col("term").isin(*_excluded(terms))).withColumns({"n": F.lit(n), "n_cat": F.lit(n_cat)})
