@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from bibflux.functions.let import let
 from bibflux.schema import CANONICAL, WORK_DDL, canonical, cleaned
@@ -106,9 +106,9 @@ def fetch_page(base_url: str, params: dict[str, str], opener=urllib.request.urlo
     raise AssertionError
 
 
-def pages(base_url: str, query: str, max_results: int, filters: str = "", mail: str = "", opener=urllib.request.urlopen, pause: float = 2.0) -> Iterator[tuple[list[dict], int, int]]:
-    """(works, works so far, works in all) page by page along the cursor; a page is never larger than what is still wanted."""
-    cursor, done = "*", 0
+def _pages(base_url: str, query: str, max_results: int, filters: str = "", mail: str = "", opener=urllib.request.urlopen, pause: float = 2.0, cursor: str = "*") -> Iterator[tuple[list[dict], int, int, str | None]]:
+    """(works, works so far, works in all, next cursor) page by page from a cursor on; a page is never larger than what is still wanted."""
+    done = 0
     while cursor and done < max_results:
         params = {"search": query, "per-page": str(min(PER_PAGE, max_results - done)), "cursor": cursor}
         params |= {k: v for k, v in (("filter", filters), ("mailto", mail)) if v}
@@ -119,8 +119,14 @@ def pages(base_url: str, query: str, max_results: int, filters: str = "", mail:
         works = works[: max_results - done]
         done += len(works)
         meta = page.get("meta") or {}
-        yield works, done, int(meta.get("count") or 0)
         cursor = meta.get("next_cursor")
+        yield works, done, int(meta.get("count") or 0), cursor
+
+
+def pages(base_url: str, query: str, max_results: int, filters: str = "", mail: str = "", opener=urllib.request.urlopen, pause: float = 2.0) -> Iterator[tuple[list[dict], int, int]]:
+    """(works, works so far, works in all) page by page along the cursor."""
+    for works, done, total, _ in _pages(base_url, query, max_results, filters, mail, opener, pause):
+        yield works, done, total
 
 
 class _WorksReader(DataSourceReader):
@@ -138,10 +144,31 @@ class _WorksReader(DataSourceReader):
                 yield (json.dumps(work, ensure_ascii=False),)
 
 
+class _WorksStream(SimpleDataSourceStreamReader):
+    """One page of the API per micro-batch; the offset is the cursor with the number of works so far, so a query that is started again goes on where it stopped."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {"cursor": "*", "done": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple[str]], dict]:
+        o = self.options
+        left = int(o.get("max_results", "1000")) - start["done"]
+        for works, _, _, cursor in _pages(o["url"], o.get("query", ""), left, o.get("filters", ""), o.get("mail", ""), pause=float(o.get("pause", "2")), cursor=start["cursor"]):
+            return iter([(json.dumps(w, ensure_ascii=False),) for w in works]), {"cursor": cursor or "", "done": start["done"] + len(works)}
+        return iter([]), start
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str]]:
+        return self.read(start)[0] if start != end else iter([])
+
+
 class WorksApi(DataSource):
     """``spark.read.format("works_api").options(url=…, query=…, filters="a:1|a:2", max_results=…)``: one JSON text per work.
 
-    The filters go to the API, each to a task of its own; ``max_results`` bounds each of them.
+    The filters go to the API, each to a task of its own; ``max_results`` bounds each of them. ``spark.readStream`` with the same options
+    gives a page per micro-batch.
     """
 
     @classmethod
@@ -154,6 +181,9 @@ class WorksApi(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _WorksReader(self.options)
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _WorksStream(self.options)
+
 
 def read_api(spark: SparkSession, **options: str) -> DataFrame:
     """Works of the API with their nested schema."""
@@ -162,6 +192,13 @@ def read_api(spark: SparkSession, **options: str) -> DataFrame:
     return raw.select(F.from_json("value", WORK_DDL).alias("w")).select("w.*")
 
 
+def stream_api(spark: SparkSession, **options: str) -> DataFrame:
+    """Works of the API as a stream, a page per micro-batch."""
+    spark.dataSource.register(WorksApi)
+    raw = spark.readStream.format("works_api").options(**options).load()
+    return raw.select(F.from_json("value", WORK_DDL).alias("w")).select("w.*")
+
+
 def save_jsonl(raw: DataFrame, path: str, overwrite: bool = False) -> None:
     """Appends (or writes anew) fetched works as JSON lines."""
     raw.write.mode("overwrite" if overwrite else "append").text(path)

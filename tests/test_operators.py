@@ -176,3 +176,59 @@ def test_records(spark):
     assert dict(rows(records.completeness(df, ["title", "year", "doi"]))) == {"title": 100.0, "year": 50.0, "doi": 0.0}
     assert records.completeness(df.limit(0), ["title"]).count() == 0
     assert records.sample_rows(df, "record_id", 1).count() == 1
+
+
+def test_places_and_previews(spark):
+    df = spark.createDataFrame([("x", " ", "Oslo", "2020"), ("x", None, None, "")], "title string, country string, authorLocations string, year string")
+    assert geography.country_column(df) == "authorLocations" and geography.country_column(df.select("title")) is None
+    assert geography.country_column(df.select("title", "country")) is None
+    shown, other = geography.split_by_code(spark.createDataFrame([("A", "AAA"), ("B", ""), ("C", None)], "country string, iso_a3 string"))
+    assert shown.count() == 1 and other.count() == 2
+    names = spark.createDataFrame([("Dept, Hong Kong and China",), ("north korea",), ("nowhere",), (None,), ("usa. us",)], "c string")
+    assert [r[0] for r in names.select(geography.affiliation_country(F.col("c"))).collect()] == ["Hong Kong", "South Korea", None, None, "United States"]
+    p = spark.createDataFrame([("a", "", "10.1", "2021"), ("", "DE", None, "2020"), ("b", "FR", "", "")], "abstract string, country string, doi string, year string")
+    assert tuple(records.preview_figures(p).first()) == (3, 2, 2, 1)
+    assert [tuple(r) for r in records.year_counts(p).collect()] == [("2020", 1), ("2021", 1)]
+
+
+def test_order_of_precision(spark):
+    texts = [("prompting alpha beta",), ("prompting alpha gamma",), ("alpha plain words",), ("gamma gamma text",), ("prompting gamma",)]
+    df = spark.createDataFrame(texts, "abstract string")
+    found = category.associated_terms(df, "abstract", terms=("prompting",), min_doc_freq=1)
+    rated = category.precision(df, "abstract", found, ("prompting",)).collect()
+    assert [r.precision_rank for r in rated] == list(range(1, len(rated) + 1))
+    assert [(-r.precision, -r.npmi) for r in rated] == sorted((-r.precision, -r.npmi) for r in rated)
+    counts = category.term_counts(df, "abstract", ("gamma", "prompting", "never", "co-writing")).collect()
+    assert [(r.term, r.doc_frequency, r.total_occurrences) for r in counts] == [("gamma", 3, 4), ("prompting", 3, 3), ("never", 0, 0), ("co-writing", 0, 0)]
+    # terms that begin one another or overlap are counted one by one
+    nested = spark.createDataFrame([("machine learning machine learning",)], "abstract string")
+    assert {r.term: r.total_occurrences for r in category.term_counts(nested, "abstract", ("machine", "machine learning")).collect()} == {"machine": 2, "machine learning": 2}
+    assert [r.doc_frequency for r in category.term_counts(df.limit(0), "abstract", ("gamma",)).collect()] == [0]
+
+
+def test_titles_against_brute_force(spark):
+    """The join loses no pair, whatever the lengths and the places of the edits."""
+    import random
+
+    rng = random.Random(7)
+    titles = {"".join(rng.choice("abcd ") for _ in range(rng.randint(1, 40))).strip() or "a" for _ in range(60)}
+    for t in list(titles):
+        for _ in range(3):
+            x = t
+            for _ in range(rng.randint(1, 4)):
+                k = rng.randrange(len(x) + 1)
+                x = rng.choice([x[:k] + "z" + x[k:], x[:k] + x[k + 1 :], x[:k] + "z" + x[k + 1 :]])
+            titles.add(x or "a")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    every = sorted(titles, key=lambda t: (len(t), t))
+    want = {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if 1.0 - distance(a, b) / len(b) >= 0.85}
+    df = spark.createDataFrame([(t,) for t in titles], "title string")
+    assert {(r.title_a, r.title_b) for r in dedup.similar_titles(df, 0.85).collect()} == want and len(want) > 50

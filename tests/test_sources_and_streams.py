@@ -101,3 +101,62 @@ def test_pipelines(spark):
     texts = spark.createDataFrame([("prompting helps tokens",), ("prompting needs tokens",), ("nothing here",)], "abstract string")
     report = terms_report(texts)
     assert report["coverage"].first().n_category_docs == 2 and "tokens" in {r.term for r in report["new_terms"].collect()}
+
+
+def test_api_as_table_and_stream(spark, tmp_path):
+    """A server of five works, two to a page at most; one answer in between is busy."""
+    import http.server
+    import threading
+    import urllib.parse
+
+    asked = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+            asked.append(q)
+            if len(asked) == 2:
+                self.send_response(503)
+                self.end_headers()
+                return
+            at = 0 if q["cursor"] == "*" else int(q["cursor"])
+            n = min(2, int(q["per-page"]), 5 - at)
+            body = json.dumps({"results": [{"title": f"Work {at + k}"} for k in range(n)], "meta": {"count": 5, "next_cursor": str(at + n) if at + n < 5 else None}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        options = {"url": f"http://127.0.0.1:{server.server_port}", "query": "x", "pause": "0"}
+        assert sorted(r.title for r in works.read_api(spark, **options).collect()) == [f"Work {k}" for k in range(5)]
+        assert works.read_api(spark, **options, max_results="3").count() == 3 and asked[-1]["per-page"] == "1"
+        out = str(tmp_path / "out")
+        titles = works.stream_api(spark, **options, max_results="4").select("title")
+        query = titles.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).start(out)
+        try:
+            for _ in range(60):
+                query.awaitTermination(0.5)
+                if spark.read.schema("title string").parquet(out).count() >= 4:
+                    break
+        finally:
+            query.stop()
+        assert sorted(r.title for r in spark.read.parquet(out).collect()) == [f"Work {k}" for k in range(4)]
+    finally:
+        server.shutdown()
+
+
+def test_csv_chunks(spark):
+    df = spark.createDataFrame([(k, 'a "quoted", text\n' if k % 2 else None) for k in range(90_000)], "k int, t string")
+    pieces = list(exports.csv_chunks(df))
+    whole = b"".join(pieces).decode("utf-8-sig")
+    assert len(pieces) > 1 and whole.count("\ufeff") == 0
+    import csv
+
+    got = list(csv.reader(io.StringIO(whole)))
+    assert got[0] == ["k", "t"] and len(got) == 90_001 and got[2] == ["1", 'a "quoted", text\n'] and got[1] == ["0", ""]
+    assert exports.csv_bytes(df.limit(0)) == "\ufeffk,t\n".encode()

@@ -61,3 +61,23 @@ def test_traces(spark):
     assert (h.distance, h.total_positions, len(h.comparisons_sample)) == (2, 4, 4)
     c = value(spark, S.cosine_trace(L(""), L("")))
     assert c.similarity == 0.0
+
+
+def test_tables_of_measures(spark):
+    from bibflux.functions import embedding, similarity
+    from bibflux.operators.dedup import titles_are_duplicate
+
+    docs = spark.createDataFrame([(1, "abcd"), (2, "abxd"), (3, "")], "id int, t string")
+    m = {(r.id_a, r.id_b): r.similarity for r in similarity.similarity_matrix(docs, "id", "t").collect()}
+    assert len(m) == 9 and m[1, 1] == m[3, 3] == 1.0 and m[1, 2] == m[2, 1] == 0.75 and m[1, 3] == 0.0
+    pairs = spark.createDataFrame([(7, "abcd", "abxd")], "id int, a string, b string")
+    failing = {"levenshtein": similarity.levenshtein_similarity, "none": lambda a, b: F.lit(None).cast("double")}
+    assert {(r.id, r.measure, r.similarity) for r in similarity.score_table(pairs, "a", "b", failing).collect()} == {(7, "levenshtein", 0.75), (7, "none", None)}
+    titles = spark.createDataFrame([("A title, of some length here", "a TITLE of some length here!"), ("a", "b"), ("", ""), (None, "x")], "a string, b string")
+    assert [r[0] for r in titles.select(titles_are_duplicate(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
+    encoded = spark.createDataFrame([("a", "b", [1.0, 0.0], [1.0, 1.0]), (" ", "", [1.0], [1.0]), ("a", "", [1.0], [1.0]), ("a", "b", [1.0], [-1.0])], "a string, b string, x array<double>, y array<double>")
+    got = [r[0] for r in encoded.select(similarity.encoded_similarity(*map(F.col, "abxy"))).collect()]
+    assert [round(g, 6) for g in got] == [0.707107, 1.0, 0.0, 0.0]
+    words = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (1, "?"), (2, "?")], "id int, w string")
+    vectors = spark.createDataFrame([("x", [3.0, 0.0]), ("y", [0.0, 3.0])], "w string, v array<double>")
+    assert [(r.id, r.v) for r in embedding.text_vectors(words, "id", "w", vectors, "v").collect()] == [(1, [1.0, 2.0])]
