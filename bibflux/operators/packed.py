@@ -21,7 +21,8 @@ HARD = rf"[;；|、\n\r\t\x{{2028}}\x{{2029}}]|{SPACE}+[·•/]{SPACE}+"
 NAME_JOINERS = rf",?{SPACE}+(?:and|&|y){SPACE}+"
 #: Words that belong to the surname that follows them.
 PARTICLES = ("von", "van", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "der", "den", "ter", "ten", "zu", "bin", "al", "el")
-_SURNAME = rf"{SPACE}*(?:(?i:{'|'.join(PARTICLES)}){SPACE}+)*[^\s\x01\x02\"]+{SPACE}*"
+#: A surname has eight particles at most; a repetition without bound would take a stack as deep as the text is long.
+_SURNAME = rf"{SPACE}*(?:(?i:{'|'.join(PARTICLES)}){SPACE}+){{0,8}}[^\s\x01\x02\"]+{SPACE}*"
 
 
 def packed_values(field: Column, names: bool = False) -> Column:
@@ -53,11 +54,12 @@ def packed_values(field: Column, names: bool = False) -> Column:
         joined = F.regexp_replace(joined, rf"(^|[\x01\x02])({_SURNAME})\x02({SPACE}*[^\s\x01\x02])", "$1$2,$3")
     else:
         joined = let(joined, lambda j: F.when(F.contains(j, F.lit(_HARD)), F.translate(j, _COMMA, ",")).otherwise(j))
-    quoted = r'(?s)^"(?:[^"]|"")*"$'
 
     def value(v: Column) -> Column:
-        inner = lambda x: strip(F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), '""', '"'))
-        return let(strip(v), lambda x: F.when(x.rlike(quoted), inner(x)).otherwise(x))
+        # in quotes: every quote between the outer two is doubled (told without a pattern, which long values would overtax)
+        inner = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
+        quoted = lambda x: F.startswith(x, F.lit('"')) & F.endswith(x, F.lit('"')) & (F.length(x) > 1) & ~F.contains(F.replace(inner(x), F.lit('""'), F.lit("")), F.lit('"'))
+        return let(strip(v), lambda x: F.when(quoted(x), strip(F.replace(inner(x), F.lit('""'), F.lit('"')))).otherwise(x))
 
     values = F.filter(F.transform(F.split(joined, r"[\x01\x02]"), value), lambda v: v != "")
     return F.when(is_blank(field), F.array().cast("array<string>")).otherwise(values)
