@@ -179,8 +179,10 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def _grams(c: Column, q: int) -> Column:
     """``array<struct<gram,pos>>`` of the q-grams of a string with marked ends."""
-    padded = F.concat(F.lit("^"), c, F.lit("$"))
-    return let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - q + 1, F.lit(1))), lambda i: F.struct(F.substring(p, i, F.lit(q)).alias("gram"), i.alias("pos"))))
+    # letters by place, since a substring is counted off from the beginning each time
+    letters = F.filter(F.split(F.concat(F.lit("^"), c, F.lit("$")), ""), lambda x: x != "")
+    gram = lambda l, i: F.concat_ws("", *(F.get(l, i + k - 1) for k in range(q)))
+    return let(letters, lambda l: F.transform(F.sequence(F.lit(1), F.greatest(F.size(l) - q + 1, F.lit(1))), lambda i: F.struct(gram(l, i).alias("gram"), i.alias("pos"))))
 
 
 def _deletions(c: Column) -> Column:
@@ -196,16 +198,16 @@ def close_keys(keys: DataFrame, text: str, block: str, prefix: int = 5, q: int =
     whose q-grams one edit can all change, share a string after one deletion each.
     """
     carried = [c for c in keys.columns if c != block]
-    of = F.struct(*carried).alias("_k")
-    rows = keys.filter(F.length(text) >= 5).select(of, block, F.length(text).alias("_n"), F.explode(_grams(F.col(text), q)).alias("_g"))
-    rows = rows.select("_k", block, "_n", "_g.gram", "_g.pos")
+    # only numbers and grams move while a key is in pieces; the keys themselves, which may be long, come back once few pieces are left
+    rows = keys.filter(F.length(text) >= 5).select("id", block, F.length(text).alias("_n"), F.explode(_grams(F.col(text), q)).alias("_g"))
+    rows = rows.select("id", block, "_n", "_g.gram", "_g.pos")
     rarity = rows.groupBy(block, "gram").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
     # a gram that only one key has meets nothing, but keeps its place at the head of the order
-    kept = rows.join(rarity, [block, "gram"]).groupBy("_k", block, "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "gram", "pos"))).alias("_l"))
+    kept = rows.join(rarity, [block, "gram"]).groupBy("id", block, "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "gram", "pos"))).alias("_l"))
     room = F.lit(prefix) - (F.col("_n") - F.size("_l"))
-    kept = kept.filter(room > 0).select("_k", block, F.explode(F.slice("_l", F.lit(1), room)).alias("_g")).select("_k", block, "_g.gram", "_g.pos")
-    short = keys.filter(F.length(text) <= 5).select(of, block, F.explode(_deletions(F.col(text))).alias("gram")).select("_k", block, F.concat(F.lit("-"), "gram").alias("gram"), F.lit(0).alias("pos"))
-    kept = kept.unionByName(short)
+    kept = kept.filter(room > 0).select("id", block, F.explode(F.slice("_l", F.lit(1), room)).alias("_g")).select("id", block, "_g.gram", "_g.pos")
+    short = keys.filter(F.length(text) <= 5).select("id", block, F.explode(_deletions(F.col(text))).alias("gram")).select("id", block, F.concat(F.lit("-"), "gram").alias("gram"), F.lit(0).alias("pos"))
+    kept = kept.unionByName(short).join(keys.select("id", F.struct(*carried).alias("_k")), "id").drop("id")
     a, b = (kept.select(F.col("_k").alias(f"_{s}"), block, "gram", F.col("pos").alias(f"_p{s}")) for s in "ab")
     ta, tb = F.col(f"_a.{text}"), F.col(f"_b.{text}")
     met = a.join(b, [block, "gram"]).filter((F.col("_a.id") < F.col("_b.id")) & (F.abs(F.col("_pa") - F.col("_pb")) <= 1) & (F.abs(F.length(ta) - F.length(tb)) <= 1))
@@ -265,9 +267,9 @@ def parse_venues(spellings: DataFrame) -> DataFrame:
     Bracketed notes, subtitles after a colon, series notes and articles are dropped; "X, Annals of" is read as "Annals of X".
     """
     text = F.lower(fold_accents(F.regexp_replace(F.col("name"), "&", " and ")))
-    text = F.regexp_replace(text, r"\s*[(\[][^)\]]*[)\]]\s*", " ")
+    text = F.regexp_replace(text, r"\s*[(\[][^()\[\]]*[)\]]\s*", " ")
     text = F.regexp_replace(text, r"\s+:.*$|,?\s+new series\s*$|:\s.*$", "")
-    turn = rf"^\s*(.*\S)\s*,\s*((?:\S+\s+)+(?:{'|'.join(_STOP)}))\s*$"
+    turn = rf"^\s*(.*\S)\s*,\s*((?:\S+\s+){{1,6}}(?:{'|'.join(_STOP)}))\s*$"
     text = F.regexp_replace(F.regexp_replace(text, turn, "$2 $1"), r"(?<=\p{L})[-‐](?=\p{L})", "")
     tokens = F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\d]+", " "), " "), lambda w: (w != "") & ~w.isin(*_STOP))
     acronym = F.when(F.trim("name").rlike(r"^\p{Lu}{2,}$"), F.lower(F.trim("name")))
@@ -291,9 +293,9 @@ def venue_variants(spellings: DataFrame, evidence: DataFrame | None = None, leas
     n, total = F.posexplode("tokens").alias("_p", "w"), v.count()
     df = v.select(F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("_df"))
     listed = F.sort_array(F.collect_list(F.struct("_p", F.log1p(F.lit(total) / F.col("_df")).alias("_w"))))
-    weight = v.select(F.struct(*v.columns).alias("_v"), n).join(df, "w").groupBy("_v").agg(F.transform(listed, lambda s: s["_w"]).alias("weights"))
+    weight = v.select("id", n).join(df, "w").groupBy("id").agg(F.transform(listed, lambda s: s["_w"]).alias("weights"))
     letters = lambda c: F.array_join(F.transform(c, lambda w: F.substring(w, 1, 1)), "")
-    v = written(weight.select("_v.*", "weights").withColumn("initials", F.coalesce("acronym", letters("tokens"))).withColumn("whole", F.array_join("tokens", "")))
+    v = written(v.join(weight, "id").withColumn("initials", F.coalesce("acronym", letters("tokens"))).withColumn("whole", F.array_join("tokens", "")))
     cols = ("id", "name", "tokens", "acronym", "initials", "whole", "weights", "marks")
     a, b = (v.select(*(F.col(c).alias(f"{c}_{s}") for c in cols)) for s in "ab")
     same = v.select("initials", F.col("id").alias("id_a")).join(v.select("initials", F.col("id").alias("id_b")), "initials").filter("id_a < id_b").select("id_a", "id_b")
@@ -331,8 +333,10 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     rarity = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
     ordered = rows.join(rarity, "gram").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_df", "gram"))), lambda s: s["gram"]).alias("grams"))
     n = F.size("grams")
-    first = ordered.select("id", "grams", F.explode(F.slice("grams", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("gram"))
-    a, b = (first.select(F.col("id").alias(f"id_{s}"), F.col("grams").alias(f"_{s}"), "gram") for s in "ab")
-    met = a.join(b, "gram").filter((F.col("id_a") < F.col("id_b")) & (F.size("_a") >= F.size("_b") * least) & (F.size("_b") >= F.size("_a") * least))
+    ordered = written(ordered)
+    first = ordered.select("id", n.alias("_n"), F.explode(F.slice("grams", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("gram"))
+    a, b = (first.select(F.col("id").alias(f"id_{s}"), F.col("_n").alias(f"_{s}"), "gram") for s in "ab")
+    met = a.join(b, "gram").filter((F.col("id_a") < F.col("id_b")) & (F.col("_a") >= F.col("_b") * least) & (F.col("_b") >= F.col("_a") * least)).select("id_a", "id_b").distinct()
+    x, y = (ordered.select(F.col("id").alias(f"id_{s}"), F.col("grams").alias(f"_{s}")) for s in "ab")
     common = F.size(F.array_intersect("_a", "_b"))
-    return met.filter(common >= least * (F.size("_a") + F.size("_b") - common)).select("id_a", "id_b").distinct()
+    return met.join(x, "id_a").join(y, "id_b").filter(common >= least * (F.size("_a") + F.size("_b") - common)).select("id_a", "id_b")
