@@ -49,3 +49,11 @@ def test_explode_positions_and_clashing_columns(spark):
     got = rows(explode_packed(df, "record_id", {"authors": True, "keywords": False}))
     assert got == [(1, "keywords", 1, "x"), (1, "keywords", 1, "x"), (1, "keywords", 2, "y"), (1, "keywords", 2, "y")]
     assert explode_packed(df.limit(0), "record_id", {"keywords": False}).count() == 0
+
+
+def test_very_long_fields(spark):
+    """No pattern goes as deep as a field is long."""
+    long = ["de " * 20000 + "x", '"' + 'a""b' * 20000 + '"', '"' * 5001 + ";" * 3000, "x, " * 20000, "a" * 100000]
+    df = spark.createDataFrame([(k, v, v) for k, v in enumerate(long)], "record_id int, authors string, keywords string")
+    got = {(r.record_id, r.field): r.n for r in explode_packed(df, "record_id", {"authors": True, "keywords": False}).groupBy("record_id", "field").count().withColumnRenamed("count", "n").collect()}
+    assert got[1, "keywords"] == got[4, "keywords"] == got[4, "authors"] == 1 and got[3, "keywords"] == 20000
