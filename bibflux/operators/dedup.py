@@ -1,12 +1,18 @@
 """Duplicate records by fuzzy title: pairs, groups, representatives, what was discarded, and enrichment.
 
-The title join loses nothing: titles are collapsed to distinct ones, cut into k + 1 segments where k is the number of edits
-the threshold allows, and joined on equal segments, since k edits leave one segment as it was. Where that segment can stand in the
-longer title is limited by its number from either end. The threshold itself is then tested exactly.
+The title join loses nothing: titles are collapsed to distinct ones and cut into tiles by length; tiles whose lengths can meet are compared
+in one task each, all titles with all by a word of letter counts, in which each edit changes two bits at most. Titles made alike share most of
+their words, so no index of parts is selective there; the letters of the whole title are. What they let pass is tested exactly. The comparisons grow
+with the square of the distinct titles, at about a nanosecond each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +27,126 @@ DEFAULT_THRESHOLD = 0.92
 PRIORITY = {"ScienceDirect": 3, "EBSCO": 2, "ACM": 1, "OpenAlex": 0}
 
 
-def _edits(length: Column, threshold: float) -> Column:
-    return F.floor(length * (1 - threshold) + 1e-9).cast("int")
+def _edits(length, threshold: float):
+    """Edits that a longer title of this length may have, an edge of rounding more; what decides is the similarity itself."""
+    return np.floor(length * (1 - threshold) + 1e-6).astype(np.int64)
+
+
+def _longest(length, threshold: float):
+    """Length of the longest partner of a title as the shorter one."""
+    return np.floor(length / threshold + 1e-6).astype(np.int64)
+
+
+#: Bits for the counts of blanks and of the letters a to z, 64 in all. Other characters count with these.
+_WIDTHS = (3, 3, 2, 3, 3, 3, 2, 2, 2, 3, 1, 2, 2, 3, 3, 3, 2, 1, 3, 3, 3, 3, 2, 2, 2, 2, 1)
+#: Columns for pairs of neighbouring characters.
+_PAIRS = 101
+#: Titles of one tile that a title is compared with at once.
+_CHUNK = 1 << 16
+
+
+def _counts(titles: list[str], n: np.ndarray) -> np.ndarray:
+    """For each title how often it has each letter, in 27 columns, then the pairs of neighbours, in columns by their hash."""
+    cp = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    kind = np.where((cp >= 97) & (cp <= 122), cp - 96, np.where(cp == 32, 0, cp % 27))
+    inside = row[:-1] == row[1:]
+    pair = (cp[:-1] * 31 + cp[1:] * 1009) % _PAIRS
+    letters = np.bincount(row * 27 + kind, minlength=27 * len(n)).reshape(-1, 27)
+    pairs = np.bincount((row[:-1] * _PAIRS + pair)[inside], minlength=_PAIRS * len(n)).reshape(-1, _PAIRS)
+    return np.minimum(np.concatenate([letters, pairs], axis=1), 255).astype(np.uint8)
+
 
+def _signatures(counts: np.ndarray) -> np.ndarray:
+    """A word of 64 bits for each title in which one more of a letter changes one bit (its bits are a ring that fills and empties)."""
+    words, at = np.zeros(len(counts), dtype=np.uint64), 0
+    for letter, width in enumerate(_WIDTHS):
+        for j in range(width):
+            words |= ((counts[:, letter].astype(np.int64) + j) // width % 2).astype(np.uint64) << np.uint64(at)
+            at += 1
+    return words
 
-def _segment(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
-    """(start from 1, size) of segment i from 0 of k + 1 nearly even ones, the longer ones last."""
-    base = F.floor(length / (k + 1)).cast("int")
-    short = k + 1 - length % (k + 1)
-    return i * base + F.greatest(i - short, F.lit(0)) + 1, base + (i >= short).cast("int")
+
+class _Tile:
+    """Titles of one tile in the order of their lengths."""
+
+    def __init__(self, titles: pa.Array):
+        n = np.asarray(pc.utf8_length(titles), dtype=np.int64)
+        order = np.argsort(n, kind="stable")
+        self.n, self.titles = n[order], titles.take(pa.array(order))
+        self.counts = np.concatenate([_counts(self.titles[k : k + 8192].to_pylist(), self.n[k : k + 8192]) for k in range(0, len(n), 8192)])
+        self.words = _signatures(self.counts)
+
+
+def _allowed(a: _Tile, b: _Tile, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates whose letters and pairs of neighbours differ in no more places than the edits explain."""
+    k, d = _edits(b.n[j], threshold), b.n[j] - a.n[i]
+    keep = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), 4096):
+        s = slice(at, at + 4096)
+        x, y = a.counts[i[s]], b.counts[j[s]]
+        apart = np.maximum(x, y) - np.minimum(x, y)
+        keep[s] = (apart[:, :27].sum(axis=1, dtype=np.int64) <= 2 * k[s] - d[s]) & (apart[:, 27:].sum(axis=1, dtype=np.int64) <= 4 * k[s] - d[s])
+    return i[keep], j[keep]
+
+
+def _near(a: _Tile, b: _Tile, threshold: float, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in ``a`` and ``b`` of titles whose counts allow that they are alike, the one of ``b`` not shorter (``strict``: longer); of a tile with itself, each pair once.
+
+    An edit changes the count of one letter by one, or of two if it is a replacement, and removes two pairs of neighbours and adds two, one less if it
+    changes the length; so k edits that make up a difference of d letters change letters by 2 k - d and pairs by 4 k - d at most.
+    """
+    left, right, held = [], [], 0
+    x, c, ok = np.empty(_CHUNK, np.uint64), np.empty(_CHUNK, np.uint8), np.empty(_CHUNK, bool)
+    for n in np.unique(a.n):
+        first, last = np.searchsorted(a.n, [n, n + 1])
+        low, high = np.searchsorted(b.n, n, "right" if strict else "left"), np.searchsorted(b.n, _longest(n, threshold), "right")
+        most = np.clip(2 * _edits(b.n[low:high], threshold) - (b.n[low:high] - n), 0, 255).astype(np.uint8)
+        for i in range(first, last):
+            for at in range(max(low, i + 1) if a is b else low, high, _CHUNK):
+                to = min(at + _CHUNK, high)
+                size = to - at
+                np.bitwise_xor(b.words[at:to], a.words[i], out=x[:size])
+                np.bitwise_count(x[:size], out=c[:size])
+                found = np.flatnonzero(np.less_equal(c[:size], most[at - low : to - low], out=ok[:size]))
+                if found.size:
+                    left.append(np.full(found.size, i))
+                    right.append(at + found)
+                    held += found.size
+            if held >= 50_000:
+                yield _allowed(a, b, np.concatenate(left), np.concatenate(right), threshold)
+                left, right, held = [], [], 0
+    if held:
+        yield _allowed(a, b, np.concatenate(left), np.concatenate(right), threshold)
+
+
+def _met(threshold: float):
+    """For ``mapInArrow`` over rows ``(band, x, y, side, title)`` in the order of the first three: the candidates of each pair of tiles."""
+
+    def pairs(sides: dict[int, list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+        tiles = {side: _Tile(pa.concat_arrays(parts)) for side, parts in sides.items()}
+        turns = [(tiles[0], tiles[0], False)] if sides.keys() == {0} else [(tiles[0], tiles[1], False), (tiles[1], tiles[0], True)] if len(sides) == 2 else []
+        for a, b, strict in turns:
+            for i, j in _near(a, b, threshold, strict):
+                for k in range(0, len(i), 100_000):
+                    yield pa.RecordBatch.from_arrays([a.titles.take(pa.array(i[k : k + 100_000])), b.titles.take(pa.array(j[k : k + 100_000]))], ["title_a", "title_b"])
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(k)) for k in range(4)])
+            ends = [*(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip([0, *ends], ends):
+                *pair, side = keys[:, start].tolist()
+                if pair != now:
+                    yield from pairs(sides)
+                    now, sides = pair, {}
+                sides.setdefault(side, []).append(batch.column(4).slice(start, end - start))
+        yield from pairs(sides)
+
+    return of_task
 
 
 def similar_titles(titles: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -39,35 +156,35 @@ def similar_titles(titles: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> D
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    t = titles.select("title").filter("title <> ''").distinct().withColumn("n", F.length("title"))
-    # few rows become very many below: spread them over all tasks first
-    t = t.repartition(F.xxhash64("title"))
-    longest = F.floor(F.col("n") / threshold + 1e-9).cast("int")
-    # as the shorter one: cut for every number of edits that a partner may allow
-    ks = F.array_distinct(F.transform(F.sequence(F.col("n"), longest), lambda m: _edits(m, threshold)))
-    index = t.select("title", "n", F.explode(ks).alias("k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    start, size = _segment(F.col("n"), F.col("k"), F.col("i"))
-    index = index.select(F.col("title").alias("title_a"), "k", "i", start.cast("int").alias("p"), size.cast("int").alias("s"), F.xxhash64("n", "k", "i", F.substring(F.col("title"), start, size)).alias("key"))
-    # as the longer one: every place where that segment can stand
-    probe = t.withColumn("m", F.col("n")).withColumn("k", _edits(F.col("m"), threshold))
-    probe = probe.withColumn("n", F.explode(F.sequence(F.greatest(F.col("m") - F.col("k"), F.lit(1)), F.col("m")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    start, size = _segment(F.col("n"), F.col("k"), F.col("i"))
-    probe = probe.withColumns({"p": start, "s": size, "d": F.col("m") - F.col("n")})
-    low = F.greatest(F.col("p") - F.col("i"), F.col("p") + F.col("d") - (F.col("k") - F.col("i")), F.lit(1))
-    high = F.least(F.col("p") + F.col("i"), F.col("p") + F.col("d") + (F.col("k") - F.col("i")), F.col("m") - F.col("s") + 1)
-    probe = probe.filter(low <= high).withColumn("at", F.explode(F.sequence(low, high)))
-    probe = probe.select(F.col("title").alias("title_b"), F.col("at").cast("int").alias("at"), F.xxhash64("n", "k", "i", F.substring(F.col("title"), F.col("at"), F.col("s"))).alias("key"))
-    met = index.hint("merge").join(probe, "key")
-    # what stands before the segment may hold i edits, what stands after it the rest
-    part = lambda c, start, size: F.substring(F.col(c), start, size)
-    before = F.call_function("levenshtein", part("title_a", F.lit(1), F.col("p") - 1), part("title_b", F.lit(1), F.col("at") - 1), F.col("i"))
-    after = F.call_function("levenshtein", part("title_a", F.col("p") + F.col("s"), F.length("title_a")), part("title_b", F.col("at") + F.col("s"), F.length("title_b")), F.col("k") - F.col("i"))
-    same_length = F.length("title_a") == F.length("title_b")
-    met = met.filter((F.col("title_a") != F.col("title_b")) & (~same_length | (F.col("title_a") < F.col("title_b")))).filter(before >= 0).filter(after >= 0)
-    met = met.select("title_a", "title_b", "k").distinct()
-    d = F.call_function("levenshtein", F.col("title_a"), F.col("title_b"), F.col("k"))
-    similarity = 1.0 - d / F.length("title_b")
-    return met.withColumn("_d", d).filter("_d >= 0").withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select("title_a", "title_b", "similarity")
+    t = written(titles.select("title").filter("title <> ''").distinct().withColumn("n", F.length("title")))
+    # bands of lengths, so that the longer title of a pair is in the band of the shorter one or in the next
+    lengths = sorted((r[0], r[1]) for r in t.groupBy("n").count().collect())
+    total, starts, bands, sizes = sum(k for _, k in lengths), [1], {}, {}
+    for n, k in lengths:  # a band ends with the longest partner of its shortest title
+        while (following := int(_longest(starts[-1], threshold)) + 1) <= n:
+            starts.append(following)
+        bands[n] = band = len(starts)
+        sizes[band] = sizes.get(band, 0) + k
+    tile = max(1 << 14, min(1 << 16, total // 16), total // 100)
+    tiles = {b: -(-k // tile) for b, k in sizes.items()}
+    groups = sum(k * (k + 1) // 2 + k * tiles.get(b + 1, 0) for b, k in tiles.items())
+    places = [(n, b, tiles.get(b - 1, 0), tiles[b], tiles.get(b + 1, 0)) for n, b in bands.items()]
+    places = titles.sparkSession.createDataFrame(places, "n int, band int, before int, own int, after int")
+    t = t.join(F.broadcast(places), "n").withColumn("r", F.pmod(F.xxhash64("title"), F.col("own")).cast("int"))  # as many rows as lengths
+    # tiles of a band are numbered on into the next one
+    each = lambda size, f: F.transform(F.filter(F.sequence(F.lit(0), size), lambda s: s < size), lambda s: F.struct(*(x.cast("int").alias(k) for k, x in zip(("band", "x", "y", "side"), f(s)))))
+    band, r = F.col("band"), F.col("r")
+    own = each(F.col("own"), lambda s: (band, F.least(r, s), F.greatest(r, s), r > s))
+    shorter = each(F.col("after"), lambda s: (band, r, F.col("own") + s, F.lit(0)))
+    longer = each(F.col("before"), lambda s: (band - 1, s, F.col("before") + r, F.lit(1)))
+    met = t.select("title", F.explode(F.concat(own, shorter, longer)).alias("g")).select("g.*", "title")
+    tasks = max(1, min(groups, 8 * int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    met = met.repartition(tasks, "band", "x", "y").sortWithinPartitions("band", "x", "y", "side").mapInArrow(_met(threshold), "title_a string, title_b string")
+    swap = (F.length("title_a") == F.length("title_b")) & (F.col("title_a") > F.col("title_b"))
+    met = met.select(F.when(swap, F.col("title_b")).otherwise(F.col("title_a")).alias("title_a"), F.when(swap, F.col("title_a")).otherwise(F.col("title_b")).alias("title_b"))
+    most = F.floor(F.length("title_b") * (1 - threshold) + 1e-6).cast("int")
+    met = met.withColumn("_d", F.call_function("levenshtein", F.col("title_a"), F.col("title_b"), most)).filter("_d >= 0")
+    return met.withColumn("similarity", 1.0 - F.col("_d") / F.length("title_b")).filter(F.col("similarity") >= threshold).select("title_a", "title_b", "similarity")
 
 
 def titles_are_duplicate(a: Column, b: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
