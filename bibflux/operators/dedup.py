@@ -203,7 +203,7 @@ def duplicate_groups(df: DataFrame, key: str = "record_id", threshold: float = D
     if not strict_empty:
         rows = rows.filter("title <> ''")
     rows = written(rows)
-    classes = rows.groupBy("title").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("_n"))
+    classes = written(rows.groupBy("title").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("_n")))
     pairs = similar_titles(classes, threshold)
     rep = classes.select("title", "rep")
     edges = pairs.join(rep.withColumnsRenamed({"title": "title_a", "rep": "a"}), "title_a").join(rep.withColumnsRenamed({"title": "title_b", "rep": "b"}), "title_b").select("a", "b")
@@ -216,7 +216,8 @@ def record_score(columns: list[str]) -> Column:
     """Priority of the source times 1000, plus the fields that are not empty, plus the length of the abstract."""
     priority = F.coalesce(F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv))[F.col("source_db")], F.lit(0))
     filled = sum((F.coalesce(F.trim(F.col(c)) != "", F.lit(False)).cast("int") for c in columns[1:]), F.coalesce(F.trim(F.col(columns[0])) != "", F.lit(False)).cast("int"))
-    named = (normalize_title(F.col("title")) != "").cast("int")
+    # normalised only where no letter or digit shows at once that something is left
+    named = F.when(F.col("title").rlike("[A-Za-z0-9]"), 1).otherwise((normalize_title(F.col("title")) != "").cast("int"))
     return priority * 1000 + filled + named + F.length(F.coalesce("abstract", F.lit("")))
 
 

@@ -118,6 +118,23 @@ def test_similar_titles_made_alike(spark):
     assert time.time() - began < 60
 
 
+def records_made_alike(spark):
+    """12,000 records whose titles share most of their words; of each of the first 50, an OpenAlex copy with one letter less and an abstract, 20,000 further."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 14))
+    data = [(i, f"Supporting {word()} through writing assistants and {word()} in a regional network of schools", "ACM", None) for i in range(12_000)]
+    copies = [(i + 20_000, t.replace("network", "networ"), "OpenAlex", f"about {i}") for i, t, _, _ in data[:50]]
+    df = spark.createDataFrame(data + copies, "record_id long, title string, source_db string, abstract string")
+    return df.select("record_id", *(F.col(c) if c in df.columns else F.lit("").alias(c) for c in CANONICAL))
+
+
+def test_discarded_made_alike(spark):
+    df, began = records_made_alike(spark), time.time()
+    lost = {(r.record_id, r.kept_record_id) for r in dedup.unify(df)[1].collect()}
+    assert lost == {(i + 20_000, i) for i in range(50)}
+    assert time.time() - began < 90
+
+
 def test_unify(spark):
     long_title = "A study of generative models in higher education"
     df = frame(
