@@ -135,6 +135,13 @@ def test_discarded_made_alike(spark):
     assert time.time() - began < 90
 
 
+def test_kept_made_alike(spark):
+    df, began = records_made_alike(spark), time.time()
+    kept = {r.record_id: r.abstract for r in dedup.unify(df)[0].collect()}
+    assert kept == {i: f"about {i}" if i < 50 else "" for i in range(12_000)}
+    assert time.time() - began < 90
+
+
 def test_unify(spark):
     long_title = "A study of generative models in higher education"
     df = frame(
