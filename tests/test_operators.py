@@ -142,6 +142,14 @@ def test_kept_made_alike(spark):
     assert time.time() - began < 90
 
 
+def test_groups_and_representatives_made_alike(spark):
+    df, began = records_made_alike(spark), time.time()
+    groups = dedup.written(dedup.duplicate_groups(df))
+    assert {(r.record_id, r.group_id) for r in groups.collect()} == {(j, i) for i in range(50) for j in (i, i + 20_000)}
+    assert {tuple(r) for r in dedup.representatives(df, groups).collect()} == {(i, i) for i in range(50)}
+    assert time.time() - began < 90
+
+
 def test_unify(spark):
     long_title = "A study of generative models in higher education"
     df = frame(
