@@ -18,7 +18,8 @@ def _words(c: Column) -> Column:
 
 def normalize_title(c: Column) -> Column:
     """Lower-case ASCII letters and digits with single spaces; empty for null."""
-    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(fold_ascii(c), r"[^a-z0-9\s]", " "), r"\s+", " ")), F.lit(""))
+    ascii_only = F.octet_length(c) == F.length(c)  # these are not folded
+    return F.coalesce(F.trim(F.regexp_replace(F.when(ascii_only, F.lower(c)).otherwise(fold_ascii(c)), "[^a-z0-9]+", " ")), F.lit(""))
 
 
 def word_tokens(c: Column) -> Column:

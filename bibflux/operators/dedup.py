@@ -1,9 +1,9 @@
 """Duplicate records by fuzzy title: pairs, groups, representatives, what was discarded, and enrichment.
 
 The title join loses nothing: titles are collapsed to distinct ones and cut into tiles by length; tiles whose lengths can meet are compared
-in one task each, all titles with all by a word of letter counts, in which each edit changes two bits at most. Titles made alike share most of
-their words, so no index of parts is selective there; the letters of the whole title are. What they let pass is tested exactly. The comparisons grow
-with the square of the distinct titles, at about two nanoseconds each.
+in one task each, all titles whose letters sum up to nearly the same along an axis, by a word of letter counts, in which each edit changes two bits
+at most. Titles made alike share most of their words, so no index of parts is selective there; the letters of the whole title are. What they let pass
+is tested exactly. The comparisons grow with the square of the distinct titles, at about one nanosecond for each pair of fitting lengths.
 """
 
 from __future__ import annotations
@@ -41,40 +41,65 @@ def _longest(length, threshold: float):
 _WIDTHS = (3, 3, 2, 3, 3, 3, 2, 2, 2, 3, 1, 2, 2, 3, 3, 3, 2, 1, 3, 3, 3, 3, 2, 2, 2, 2, 1)
 #: Columns for pairs of neighbouring characters.
 _PAIRS = 101
-#: Titles of one tile that a title is compared with at once.
-_CHUNK = 1 << 16
+#: Titles of one tile, and of the other, that are compared at once.
+_ROWS, _CHUNK = 64, 1024
 
 
-def _counts(titles: list[str], n: np.ndarray) -> np.ndarray:
-    """For each title how often it has each letter, in 27 columns, then the pairs of neighbours, in columns by their hash."""
-    cp = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    kind = np.where((cp >= 97) & (cp <= 122), cp - 96, np.where(cp == 32, 0, cp % 27))
-    inside = row[:-1] == row[1:]
-    pair = (cp[:-1] * 31 + cp[1:] * 1009) % _PAIRS
-    letters = np.bincount(row * 27 + kind, minlength=27 * len(n)).reshape(-1, 27)
-    pairs = np.bincount((row[:-1] * _PAIRS + pair)[inside], minlength=_PAIRS * len(n)).reshape(-1, _PAIRS)
-    return np.minimum(np.concatenate([letters, pairs], axis=1), 255).astype(np.uint8)
+#: The column of each character.
+_KINDS = np.arange(0x110000, dtype=np.int32) % 27
+_KINDS[[32, *range(97, 123)]] = range(27)
 
 
-def _signatures(counts: np.ndarray) -> np.ndarray:
-    """A word of 64 bits for each title in which one more of a letter changes one bit (its bits are a ring that fills and empties)."""
-    words, at = np.zeros(len(counts), dtype=np.uint64), 0
+def _rings() -> np.ndarray:
+    """For each letter and count the bits of a signature in which they show."""
+    rings, at = np.zeros((27, 256), dtype=np.uint64), 0
     for letter, width in enumerate(_WIDTHS):
         for j in range(width):
-            words |= ((counts[:, letter].astype(np.int64) + j) // width % 2).astype(np.uint64) << np.uint64(at)
+            rings[letter] |= ((np.arange(256) + j) // width % 2).astype(np.uint64) << np.uint64(at)
             at += 1
+    return rings
+
+
+_RINGS = _rings()
+
+
+def _counts(titles: list[str], n: np.ndarray) -> np.ndarray:
+    """For each title, none of them empty, how often it has each letter, in 27 columns, then the pairs of neighbours, in columns by their hash."""
+    cp = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    pair = (cp[:-1] * np.int32(31) + cp[1:] * np.int32(1009)) % np.int32(_PAIRS)
+    pair[np.cumsum(n)[:-1] - 1] = _PAIRS  # of two titles
+    counts = np.empty((len(n), 27 + _PAIRS), dtype=np.uint8)
+    counts[:, :27] = np.minimum(np.bincount(row * np.int32(27) + _KINDS[cp], minlength=27 * len(n)).reshape(-1, 27), 255)
+    counts[:, 27:] = np.minimum(np.bincount(row[:-1] * np.int32(_PAIRS + 1) + pair, minlength=(_PAIRS + 1) * len(n)).reshape(-1, _PAIRS + 1)[:, :_PAIRS], 255)
+    return counts
+
+
+def _signatures(counts: np.ndarray) -> np.ndarray:
+    """A word of 64 bits for each title in which one more of a letter changes one bit (its bits are a ring that fills and empties)."""
+    words = _RINGS[0][counts[:, 0]]
+    for letter in range(1, 27):
+        words |= _RINGS[letter][counts[:, letter]]
     return words
 
 
+def _axis(counts: np.ndarray) -> np.ndarray:
+    """1 or -1 for each letter, so that the sums over a title's letters lie far apart."""
+    some = counts[:: -(-len(counts) // 4096), :27].astype(np.float64)
+    some -= some.mean(axis=0)
+    return np.where(np.linalg.eigh(some.T @ some)[1][:, -1] < 0, -1, 1).astype(np.int16)
+
+
 class _Tile:
-    """Titles of one tile in the order of their lengths."""
+    """Titles of one tile, with their ids, in the order of their lengths and sums along ``axis`` (default: the tile's own)."""
 
-    def __init__(self, titles: pa.Array):
+    def __init__(self, titles: pa.Array, ids: pa.Array, axis: np.ndarray | None = None):
         n = np.asarray(pc.utf8_length(titles), dtype=np.int64)
-        order = np.argsort(n, kind="stable")
-        self.n, self.titles = n[order], titles.take(pa.array(order))
-        self.counts = np.concatenate([_counts(self.titles[k : k + 8192].to_pylist(), self.n[k : k + 8192]) for k in range(0, len(n), 8192)])
+        counts = np.concatenate([_counts(titles[k : k + 8192].to_pylist(), n[k : k + 8192]) for k in range(0, len(n), 8192)])
+        self.axis = _axis(counts) if axis is None else axis
+        sums = counts[:, :27] @ self.axis
+        order = np.lexsort((sums, n))
+        self.n, self.sums, self.counts, self.titles, self.ids = n[order], sums[order].astype(np.int64), counts[order], titles.take(pa.array(order)), ids.take(pa.array(order))
         self.words = _signatures(self.counts)
 
 
@@ -94,25 +119,41 @@ def _near(a: _Tile, b: _Tile, threshold: float, strict: bool) -> Iterator[tuple[
     """Positions in ``a`` and ``b`` of titles whose counts allow that they are alike, the one of ``b`` not shorter (``strict``: longer); of a tile with itself, each pair once.
 
     An edit changes the count of one letter by one, or of two if it is a replacement, and removes two pairs of neighbours and adds two, one less if it
-    changes the length; so k edits that make up a difference of d letters change letters by 2 k - d and pairs by 4 k - d at most.
+    changes the length; so k edits that make up a difference of d letters change letters, and their sum along an axis, by 2 k - d and pairs by 4 k - d at most.
     """
     left, right, held = [], [], 0
-    x, c, ok = np.empty(_CHUNK, np.uint64), np.empty(_CHUNK, np.uint8), np.empty(_CHUNK, bool)
-    for n in np.unique(a.n):
-        first, last = np.searchsorted(a.n, [n, n + 1])
-        low, high = np.searchsorted(b.n, n, "right" if strict else "left"), np.searchsorted(b.n, _longest(n, threshold), "right")
-        most = np.clip(2 * _edits(b.n[low:high], threshold) - (b.n[low:high] - n), 0, 255).astype(np.uint8)
-        for i in range(first, last):
-            for at in range(max(low, i + 1) if a is b else low, high, _CHUNK):
-                to = min(at + _CHUNK, high)
-                size = to - at
-                np.bitwise_xor(b.words[at:to], a.words[i], out=x[:size])
-                np.bitwise_count(x[:size], out=c[:size])
-                found = np.flatnonzero(np.less_equal(c[:size], most[at - low : to - low], out=ok[:size]))
-                if found.size:
-                    left.append(np.full(found.size, i))
-                    right.append(at + found)
-                    held += found.size
+    x, c, ok = np.empty(_ROWS * _CHUNK, np.uint64), np.empty(_ROWS * _CHUNK, np.uint8), np.empty(_ROWS * _CHUNK, bool)
+    eights, eight = ok.view(np.uint64), np.arange(8)  # answers are looked through by eights, since few are yes
+    lengths, starts = np.unique(b.n, return_index=True)
+    spans = list(zip(lengths.tolist(), starts.tolist(), [*starts[1:].tolist(), len(b.n)]))
+    for n in np.unique(a.n).tolist():
+        first, last = np.searchsorted(a.n, [n, n + 1]).tolist()
+        near = [(from_, to, int(2 * _edits(m, threshold) - (m - n))) for m, from_, to in spans if n + strict <= m <= _longest(n, threshold)]
+        for top in range(first, last, _ROWS):
+            end = min(top + _ROWS, last)
+            rows = a.words[top:end, None]
+            for from_, to, most in near:
+                low, high = (from_ + np.searchsorted(b.sums[from_:to], [a.sums[top] - most, a.sums[end - 1] + most + 1])).tolist()
+                if a is b:
+                    low = max(low, top + 1)
+                for at in range(low, high, _CHUNK):
+                    wide = min(_CHUNK, high - at)
+                    size = (end - top) * wide
+                    shape = (end - top, wide)
+                    np.bitwise_xor(rows, b.words[at : at + wide], out=x[:size].reshape(shape))
+                    np.bitwise_count(x[:size], out=c[:size])
+                    np.less_equal(c[:size], min(most, 64), out=ok[:size])
+                    ok[size : -(-size // 8) * 8] = False
+                    some = np.flatnonzero(eights[: -(-size // 8)] != 0)
+                    if some.size:
+                        found = (some[:, None] * 8 + eight).ravel()
+                        i, j = np.divmod(found[ok[found]], wide)
+                        i, j = i + top, j + at
+                        if a is b and at < end:
+                            i, j = i[i < j], j[i < j]
+                        left.append(i)
+                        right.append(j)
+                        held += len(i)
             if held >= 50_000:
                 yield _allowed(a, b, np.concatenate(left), np.concatenate(right), threshold)
                 left, right, held = [], [], 0
@@ -121,70 +162,83 @@ def _near(a: _Tile, b: _Tile, threshold: float, strict: bool) -> Iterator[tuple[
 
 
 def _met(threshold: float):
-    """For ``mapInArrow`` over rows ``(band, x, y, side, title)`` in the order of the first three: the candidates of each pair of tiles."""
+    """For ``mapInArrow`` over rows ``(place, title, id)`` in the order of their places: the candidates of each pair of tiles."""
 
-    def pairs(sides: dict[int, list[pa.Array]]) -> Iterator[pa.RecordBatch]:
-        tiles = {side: _Tile(pa.concat_arrays(parts)) for side, parts in sides.items()}
+    def pairs(sides: dict[int, tuple[list[pa.Array], list[pa.Array]]]) -> Iterator[pa.RecordBatch]:
+        tiles = {}
+        for side, parts in sides.items():
+            tiles[side] = _Tile(*map(pa.concat_arrays, parts), *(x.axis for x in tiles.values()))
         turns = [(tiles[0], tiles[0], False)] if sides.keys() == {0} else [(tiles[0], tiles[1], False), (tiles[1], tiles[0], True)] if len(sides) == 2 else []
         for a, b, strict in turns:
             for i, j in _near(a, b, threshold, strict):
                 for k in range(0, len(i), 100_000):
-                    yield pa.RecordBatch.from_arrays([a.titles.take(pa.array(i[k : k + 100_000])), b.titles.take(pa.array(j[k : k + 100_000]))], ["title_a", "title_b"])
+                    x, y = pa.array(i[k : k + 100_000]), pa.array(j[k : k + 100_000])
+                    yield pa.RecordBatch.from_arrays([a.titles.take(x), a.ids.take(x), b.titles.take(y), b.ids.take(y)], ["title_a", "id_a", "title_b", "id_b"])
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides = None, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([np.asarray(batch.column(k)) for k in range(4)])
-            ends = [*(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            places = np.asarray(batch.column(0))
+            ends = [*(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), batch.num_rows]
             for start, end in zip([0, *ends], ends):
-                *pair, side = keys[:, start].tolist()
+                pair, side = divmod(int(places[start]), 2)
                 if pair != now:
                     yield from pairs(sides)
                     now, sides = pair, {}
-                sides.setdefault(side, []).append(batch.column(4).slice(start, end - start))
+                titles, ids = sides.setdefault(side, ([], []))
+                titles.append(batch.column(1).slice(start, end - start))
+                ids.append(batch.column(2).slice(start, end - start))
         yield from pairs(sides)
 
     return of_task
 
 
-def similar_titles(titles: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Pairs ``(title_a, title_b, similarity)`` of different ``titles(title)`` with 1 - edits / longer length >= threshold.
-
-    ``title_a`` is the shorter one (of equal length, the smaller). Repeated, null and empty titles are ignored.
-    """
+def _close(t: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(title_a, id_a, title_b, id_b, similarity)`` of different titles of ``t(title, id)``, a written table of distinct titles, none empty; ``title_a`` is not the longer one."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    t = written(titles.select("title").filter("title <> ''").distinct().withColumn("n", F.length("title")))
     # bands of lengths, so that the longer title of a pair is in the band of the shorter one or in the next
-    lengths = sorted((r[0], r[1]) for r in t.groupBy("n").count().collect())
+    lengths = sorted((r[0], r[1]) for r in t.groupBy(F.length("title")).count().collect())
     total, starts, bands, sizes = sum(k for _, k in lengths), [1], {}, {}
     for n, k in lengths:  # a band ends with the longest partner of its shortest title
         while (following := int(_longest(starts[-1], threshold)) + 1) <= n:
             starts.append(following)
         bands[n] = band = len(starts)
         sizes[band] = sizes.get(band, 0) + k
-    tile = max(1 << 14, min(1 << 16, total // 16), total // 100)
+    tile = max(1 << 14, min(1 << 17, total // 10), total // 100)
     tiles = {b: -(-k // tile) for b, k in sizes.items()}
     groups = sum(k * (k + 1) // 2 + k * tiles.get(b + 1, 0) for b, k in tiles.items())
-    places = [(n, b, tiles.get(b - 1, 0), tiles[b], tiles.get(b + 1, 0)) for n, b in bands.items()]
-    places = titles.sparkSession.createDataFrame(places, "n int, band int, before int, own int, after int")
-    t = t.join(F.broadcast(places), "n").withColumn("r", F.pmod(F.xxhash64("title"), F.col("own")).cast("int"))  # as many rows as lengths
-    # tiles of a band are numbered on into the next one
-    each = lambda size, f: F.transform(F.filter(F.sequence(F.lit(0), size), lambda s: s < size), lambda s: F.struct(*(x.cast("int").alias(k) for k, x in zip(("band", "x", "y", "side"), f(s)))))
-    band, r = F.col("band"), F.col("r")
-    own = each(F.col("own"), lambda s: (band, F.least(r, s), F.greatest(r, s), r > s))
-    shorter = each(F.col("after"), lambda s: (band, r, F.col("own") + s, F.lit(0)))
-    longer = each(F.col("before"), lambda s: (band - 1, s, F.col("before") + r, F.lit(1)))
-    met = t.select("title", F.explode(F.concat(own, shorter, longer)).alias("g")).select("g.*", "title")
-    tasks = max(1, min(groups, 8 * int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    met = met.repartition(tasks, "band", "x", "y").sortWithinPartitions("band", "x", "y", "side").mapInArrow(_met(threshold), "title_a string, title_b string")
-    swap = (F.length("title_a") == F.length("title_b")) & (F.col("title_a") > F.col("title_b"))
-    met = met.select(F.when(swap, F.col("title_b")).otherwise(F.col("title_a")).alias("title_a"), F.when(swap, F.col("title_a")).otherwise(F.col("title_b")).alias("title_b"))
+    # places where the titles of each tile of a band are compared: the pair of tiles, those of a band numbered on into the next one, and a bit for the side
+    place = lambda band, x, y, side: (((band << 20) + x << 20) + y) * 2 + side
+    places = {}
+    for b, own in tiles.items():
+        before, after = tiles.get(b - 1, 0), tiles.get(b + 1, 0)
+        places[b] = [
+            [place(b, min(r, k), max(r, k), r > k) for k in range(own)] + [place(b, r, own + k, 0) for k in range(after)] + [place(b - 1, k, before + r, 1) for k in range(before)]
+            for r in range(own)
+        ]
+    spark = t.sparkSession
+    rows = pa.table({"n": pa.array(list(bands), pa.int32()), "places": pa.array([places[b] for b in bands.values()], pa.list_(pa.list_(pa.int64())))})
+    met = t.join(F.broadcast(spark.createDataFrame(rows)), F.length("title") == F.col("n"))  # as many rows as lengths
+    met = met.select(F.explode(F.get("places", F.pmod(F.xxhash64("title"), F.size("places")).cast("int"))).alias("place"), "title", "id")
+    tasks = max(1, min(groups, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    kind = t.schema["id"].dataType.simpleString()
+    met = met.repartition(tasks, F.shiftright("place", 1)).sortWithinPartitions("place").mapInArrow(_met(threshold), f"title_a string, id_a {kind}, title_b string, id_b {kind}")
     most = F.floor(F.length("title_b") * (1 - threshold) + 1e-6).cast("int")
-    met = met.withColumn("_d", F.call_function("levenshtein", F.col("title_a"), F.col("title_b"), most)).filter("_d >= 0")
-    return met.withColumn("similarity", 1.0 - F.col("_d") / F.length("title_b")).filter(F.col("similarity") >= threshold).select("title_a", "title_b", "similarity")
+    edits = F.call_function("levenshtein", F.col("title_a"), F.col("title_b"), most).bitwiseAND((1 << 30) - 1)  # -1, for more than these, becomes very many: one test, so that edits are counted once
+    return met.withColumn("similarity", 1.0 - edits / F.length("title_b")).filter(F.col("similarity") >= threshold)
+
+
+def similar_titles(titles: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Pairs ``(title_a, title_b, similarity)`` of different ``titles(title)`` with 1 - edits / longer length >= threshold.
+
+    ``title_a`` is the shorter one (of equal length, the smaller). Repeated, null and empty titles are ignored.
+    """
+    met = _close(written(titles.select("title").filter("title <> ''").distinct().withColumn("id", F.lit(0))), threshold)
+    swap = (F.length("title_a") == F.length("title_b")) & (F.col("title_a") > F.col("title_b"))
+    return met.select(F.when(swap, F.col("title_b")).otherwise(F.col("title_a")).alias("title_a"), F.when(swap, F.col("title_a")).otherwise(F.col("title_b")).alias("title_b"), "similarity")
 
 
 def titles_are_duplicate(a: Column, b: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
@@ -204,10 +258,8 @@ def duplicate_groups(df: DataFrame, key: str = "record_id", threshold: float = D
         rows = rows.filter("title <> ''")
     rows = written(rows)
     classes = written(rows.groupBy("title").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("_n")))
-    pairs = similar_titles(classes, threshold)
-    rep = classes.select("title", "rep")
-    edges = pairs.join(rep.withColumnsRenamed({"title": "title_a", "rep": "a"}), "title_a").join(rep.withColumnsRenamed({"title": "title_b", "rep": "b"}), "title_b").select("a", "b")
-    component = connected_components(edges, "a", "b").withColumnRenamed("id", "rep")
+    edges = _close(classes.filter("title <> ''").select("title", F.col("rep").alias("id")), threshold)
+    component = connected_components(edges, "id_a", "id_b").withColumnRenamed("id", "rep")
     grouped = classes.join(component, "rep", "left").filter("_n > 1 or component is not null").select("title", F.coalesce("component", "rep").alias("group_id"))
     return rows.join(grouped, "title").select(F.col("_id").alias(key), "group_id")
 

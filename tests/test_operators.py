@@ -1,10 +1,12 @@
 import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bibflux.operators import category, clustering, dedup, geography, records, timeline, vectors, words
+from bibflux.operators import category, clustering, components, dedup, geography, records, timeline, vectors, words
 from bibflux.operators.components import connected_components
 from bibflux.schema import CANONICAL
 from tests.conftest import rows
@@ -76,6 +78,37 @@ def test_components_against_union_find(spark):
     assert connected_components(df.limit(0), "u", "v").count() == 0
 
 
+def test_components_of_few_edges_in_three_tables(spark, monkeypatch):
+    """A chain that crosses many tasks took a table for each round; so few edges are left to one task, and more give the same."""
+    tables, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df: tables.append(df) or write(df))
+    rng = np.random.default_rng(5)
+    chain = spark.createDataFrame([(int(i), int(i) + 1) for i in rng.permutation(600)], "u long, v long").repartition(8)
+    assert rows(connected_components(chain, "u", "v")) == sorted(((i, 0) for i in range(601)), key=repr)
+    assert len(tables) == 3
+    assert rows(connected_components(chain, "u", "v", few=0)) == sorted(((i, 0) for i in range(601)), key=repr)
+
+
+def test_near_titles_lose_none(spark):
+    """Titles of several blocks of rows and columns: what the letters allow is found whichever tile holds it, each pair once."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base = [f"{word()} and {word()} in {word()}" for _ in range(1500)]
+    near = [t[:k] + "xyz"[k % 3] * (k % 2) + t[k + 1 :] for t, k in zip(base, rng.integers(0, 20, 1500))]
+    tiles = [pa.array(base), pa.array(near)]
+    a = dedup._Tile(tiles[0], tiles[0])
+    b = dedup._Tile(tiles[1], tiles[1], a.axis)
+    found = Counter()
+    for x, y, strict in ((a, b, False), (b, a, True)):
+        for i, j in dedup._near(x, y, 0.92, strict):
+            found.update(frozenset(p) for p in zip(x.titles.take(pa.array(i)).to_pylist(), y.titles.take(pa.array(j)).to_pylist()))
+    assert max(found.values()) == 1
+    assert {frozenset(p) for p in zip(base, near)} <= found.keys()
+    both = pa.array(base + near)
+    own = Counter(frozenset((i, j)) for t in [dedup._Tile(both, pa.array(range(3000)))] for i, j in dedup._near(t, t, 0.92, False) for i, j in zip(t.ids.take(pa.array(i)).to_pylist(), t.ids.take(pa.array(j)).to_pylist()))
+    assert max(own.values()) == 1 and {frozenset((i, i + 1500)) for i in range(1500)} <= own.keys()
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
