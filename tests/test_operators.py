@@ -80,13 +80,17 @@ def test_components_against_union_find(spark):
 
 def test_components_of_few_edges_in_three_tables(spark, monkeypatch):
     """A chain that crosses many tasks took a table for each round; so few edges are left to one task, and more give the same."""
-    tables, write = [], components.written
+    tables, write, setting = [], components.written, "spark.sql.adaptive.coalescePartitions.enabled"
     monkeypatch.setattr(components, "written", lambda df: tables.append(df) or write(df))
     rng = np.random.default_rng(5)
-    chain = spark.createDataFrame([(int(i), int(i) + 1) for i in rng.permutation(600)], "u long, v long").repartition(8)
-    assert rows(connected_components(chain, "u", "v")) == sorted(((i, 0) for i in range(601)), key=repr)
-    assert len(tables) == 3
-    assert rows(connected_components(chain, "u", "v", few=0)) == sorted(((i, 0) for i in range(601)), key=repr)
+    chain = spark.createDataFrame([(int(i), int(i) + 1) for i in rng.permutation(3000)], "u long, v long").repartition(8)
+    spark.conf.set(setting, "false")  # or all edges are soon in one task
+    try:
+        assert rows(connected_components(chain, "u", "v")) == sorted(((i, 0) for i in range(3001)), key=repr)
+        assert len(tables) == 3
+        assert rows(connected_components(chain, "u", "v", few=0)) == sorted(((i, 0) for i in range(3001)), key=repr)
+    finally:
+        spark.conf.unset(setting)
 
 
 def test_near_titles_lose_none(spark):
